@@ -221,7 +221,7 @@ def learn_lexicon(rows: DataFrame, most: int = 400, least: int = 4) -> list[tupl
     if not nt or not nc:
         return []
     found = rows.select("label", "text").mapInArrow(counts, "unit string, clean long, toxic long").groupBy("unit").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    lean = found.where((F.col("toxic") >= least) & (F.col("toxic") / nt >= 20 * (F.col("clean") + 0.5) / nc))
+    lean = found.where((F.col("toxic") >= least) & (F.col("clean") * 50 <= F.col("toxic")) & (F.col("toxic") / nt >= 20 * (F.col("clean") + 0.5) / nc))
     # A bounded list: the sample is bounded, and so are the candidates taken from it.
     listed = lean.orderBy(F.desc("toxic"), "unit").limit(20_000).collect()
     strong = {r["unit"]: (r["toxic"], r["clean"]) for r in listed if _g2(r["toxic"], r["clean"], nt, nc) >= 18}
