@@ -33,8 +33,8 @@ BLOCK_ROWS = 32_768
 CHUNK_ROWS = 512
 PROJECTIONS = 40
 ALPHA = 0.5
-CONFIDENCE = 0.97
-GROWTH = 1.35
+CONFIDENCE = 0.93
+GROWTH = 1.5
 
 
 def window_ratio(m: int, alpha: float, confidence: float) -> float:
@@ -60,9 +60,12 @@ class CollisionIndex:
         self.axes = np.random.default_rng(seed).standard_normal((vectors.shape[1] + 1, m))
         lift = np.sqrt(np.maximum(0.0, 1.0 - (norms / self.top) ** 2))
         flat = (vectors / self.top) @ self.axes[:-1] + lift[:, None] * self.axes[-1]
-        self.order = np.ascontiguousarray(np.argsort(flat, axis=0, kind="stable").T.astype(np.int32))
+        self.order = np.ascontiguousarray(np.argsort(flat, axis=0, kind="stable").T)
         self.sorted = np.ascontiguousarray(np.sort(flat, axis=0).T)
         self.verified = 0
+        # Single precision, scaled to at most 1, screens candidates; what it leaves is measured in double precision.
+        self.coarse = (vectors / self.top).astype(np.float32)
+        self.slack = 2e-7 * max(16, vectors.shape[1])
 
     def search(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best, best first, ties to the smaller id; never the query's own id."""
@@ -71,11 +74,12 @@ class CollisionIndex:
         centre = (q / norm) @ self.axes[:-1]
         left = np.array([np.searchsorted(self.sorted[j], centre[j]) for j in range(m)])
         right = left.copy()
-        counts = np.zeros(n, dtype=np.int32)
+        counts = np.zeros(n, dtype=np.int64)
         seen = np.zeros(n, dtype=bool)
         ids = np.empty(0, dtype=np.int64)
         scores = np.empty(0)
-        t = 0.25
+        unit = (q / norm).astype(np.float32)
+        t = 0.6
         while True:
             parts = []
             full = True
@@ -90,12 +94,17 @@ class CollisionIndex:
                 left[j], right[j] = lo, hi
                 full = full and lo == 0 and hi == n
             if parts:
-                counts += np.bincount(np.concatenate(parts), minlength=n).astype(np.int32)
+                counts += np.bincount(np.concatenate(parts), minlength=n)
             new = np.flatnonzero((counts >= self.need) & ~seen)
             if len(new):
                 seen[new] = True
                 self.verified += len(new)
                 new = new[self.ids[new] != query_id]
+                near = (self.coarse @ unit)[new] if len(new) > n // 8 else self.coarse[new] @ unit
+                bar = scores.min() / (self.top * norm) - self.slack if len(ids) >= k else -np.inf
+                if len(new) > k:
+                    bar = max(bar, float(np.partition(near, -k)[-k]) - 2 * self.slack)
+                new = new[near >= bar]
                 got = (self.vectors[new] * q).sum(axis=1)
                 ids, scores = np.concatenate([ids, self.ids[new]]), np.concatenate([scores, got])
                 if len(ids) > k:
