@@ -1,0 +1,27 @@
+"""Connected components of an undirected graph given as an edge table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fieldmark.llm._base import store
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(a, b) -> (node, root): the least node that each node of an edge reaches.
+
+    Labels fall to the least among neighbours and then jump to their label's label, so rounds grow with the logarithm of
+    a component's width. Each round's labels are written, which cuts the lineage; a hub's neighbours are combined before
+    they are shuffled. Self-loops are allowed, null ends are not.
+    """
+    both = store(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
+    labels = store(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), "cc-labels")
+    while True:
+        around = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("least"))
+        near = labels.join(around, "node", "left").select("node", F.least("root", "least").alias("near"), "root")
+        hop = labels.select(F.col("node").alias("near"), F.col("root").alias("far"))
+        moved = store(near.join(hop, "near", "left").select("node", F.least("near", "far").alias("to"), "root"), "cc-labels")
+        labels = moved.select("node", F.col("to").alias("root"))
+        if not moved.where(F.col("to") != F.col("root")).limit(1).count():
+            return labels

@@ -6,15 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldmark.llm import ann, mixing, quality, sharding, toxicity, warc
+from fieldmark.llm import ann, jaccard, mixing, quality, sharding, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
     "op2_ann": ann.op2_ann,
+    "op3_jaccard": jaccard.op3_jaccard,
     "op4_warc": warc.op4_warc,
     "op6_quality": quality.op6_quality,
     "op8_sharding": sharding.op8_sharding,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.ORACLE_SQL, "op4_warc": warc.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.ORACLE_SQL, "op3_jaccard": jaccard.ORACLE_SQL, "op4_warc": warc.ORACLE_SQL}
