@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldmark.llm import ann, jaccard, mixing, quality, sharding, toxicity, warc
+from fieldmark.llm import ann, jaccard, lm, mixing, quality, sharding, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_jaccard": jaccard.op3_jaccard,
     "op4_warc": warc.op4_warc,
     "op6_quality": quality.op6_quality,
+    "op7_lm": lm.op7_lm,
     "op8_sharding": sharding.op8_sharding,
     "op10_toxicity": toxicity.op10_toxicity,
 }
