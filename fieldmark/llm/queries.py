@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldmark.llm import ann, jaccard, lm, mixing, quality, sharding, toxicity, warc
+from fieldmark.llm import ann, decontam, jaccard, lm, mixing, quality, sharding, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
     "op2_ann": ann.op2_ann,
     "op3_jaccard": jaccard.op3_jaccard,
     "op4_warc": warc.op4_warc,
+    "op5_decontam": decontam.op5_decontam,
     "op6_quality": quality.op6_quality,
     "op7_lm": lm.op7_lm,
     "op8_sharding": sharding.op8_sharding,
