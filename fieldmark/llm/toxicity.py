@@ -31,7 +31,7 @@ from fieldmark.llm._base import held_out, store, table, words_of
 from fieldmark.llm.quality import sample
 
 TRAIN_DOCS = 6000
-MEMORY_WORDS = 500_000
+MEMORY_WORDS = 150_000
 #: Words on either side of a match that make its context.
 WINDOW = 6
 STEM_LENGTHS = (4, 5, 6, 7)
@@ -149,6 +149,10 @@ class ToxicModel:
             got = self._memory[word] = self._lexicon.match(plain(word))
         return got
 
+    def forget(self) -> None:
+        self._memory.clear()
+        self._lexicon = None
+
     def matches(self, text: str | None) -> list[tuple[int, tuple[tuple[int, int], ...], list[str]]]:
         """(position, entries matched, context words) of each match."""
         words = words_of(text or "")
@@ -319,8 +323,12 @@ def score_udf(model: ToxicModel) -> Any:
     import pyarrow as pa
 
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for b in batches:
-            yield pa.array(model.scores(b.to_pylist()), pa.float64())
+        try:
+            for b in batches:
+                yield pa.array(model.scores(b.to_pylist()), pa.float64())
+        finally:
+            # A worker outlives its tasks, and a task's model may wait long for the garbage collector.
+            model.forget()
 
     scored.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(scored, "double")
