@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldmark.llm import ann, decontam, jaccard, lm, mixing, quality, sharding, toxicity, warc
+from fieldmark.llm import ann, decontam, jaccard, lm, mixing, pii, quality, sharding, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": quality.op6_quality,
     "op7_lm": lm.op7_lm,
     "op8_sharding": sharding.op8_sharding,
+    "op9_pii": pii.op9_pii,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
