@@ -6,11 +6,11 @@ n - ceil(t n) + 1 of each under any global order of elements. Two orders are use
 (frequency from a hashed count of all elements of all documents, of fixed size) and else by independent hashes; a pair
 must meet under both before it is verified on the sets.
 
-Pairs come from posting lists of the first order. Lists of at most SHORT classes give all pairs. In a longer list, all
-are paired with one member drawn by hash, which differs from list to list, so a large group of near copies falls into
-one component with a number of pairs linear in the list's length; what then still lies outside the list's main
-component is paired with every member of another component. Pairs within a component need no test, so components are
-exact while no group is expanded into all its pairs.
+Pairs come from posting lists of the first order. First all of a list are paired with one member drawn by hash; then, for
+a few rounds, what lies outside the component of the list's best linked member is paired with that member, so a large
+group of near copies falls into one component with a number of pairs linear in its size. What then still lies outside a
+list's main component is paired with every member of another component. Pairs within a component need no test, so
+components are exact while no group is expanded into all its pairs.
 
 Edge cases: null and empty texts have an empty set (0 shingles) and link with nothing; texts of fewer words than n are
 one shingle; repeated rows are copies of each other; rows with a null id take part in classes, but never name a
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from fieldmark.llm._base import fold, fresh_name, store, table, words_of
 from fieldmark.llm.graph import components
 
-SHORT = 64
+#: Rounds in which lists are linked to one member before what is left is tested in full.
+STAR_ROUNDS = 3
 #: Ids of up to so many candidate classes (16 bytes each) are broadcast to pick their texts; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 CHUNKS = 64
@@ -149,10 +150,10 @@ def describe(docs: DataFrame, key: str, text: str, n: int, num: int, den: int, o
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, node long, n long, prefix array<long>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, n: int, num: int, den: int, orders: Any, wide: bool) -> DataFrame:
-    """(node, second, items) of the wanted classes (node, rep), from the text of the document rep.
+def _candidates(docs: DataFrame, wanted: DataFrame, key: str, text: str, n: int, num: int, den: int, orders: Any) -> DataFrame:
+    """(node, second, high, low) of the wanted classes (node, rep), from the text of the document rep.
 
-    second: the prefix under the second order; items: the sorted set, 64 bits each if wide, else their upper 32.
+    second: the prefix under the second order; high, low: upper and lower halves of the sorted set's hashes.
     """
     few = wanted.count() <= BROADCAST_ROWS
     side = wanted.select(F.col("rep").alias("_rep"), F.col("node").alias("_node"))
@@ -166,46 +167,81 @@ def _sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, n: int, num:
         for b in batches:
             for at in range(0, len(b), 500):
                 part = b.slice(at, 500)
-                out: list[list[Any]] = [[], [], []]
+                out: list[list[Any]] = [[], [], [], []]
                 for node, t in zip(part.column("node").to_pylist(), part.column("text").to_pylist(), strict=True):
                     s = shingles(t, n, known)
                     # Another text may bear the same id.
                     if signature(s) == node:
+                        halves = s.view(np.uint32).reshape(-1, 2)
                         out[0].append(node)
                         out[1].append((order.prefix(s, prefix_length(len(s), num, den), True) >> np.uint64(32)).astype(np.uint32).astype(np.int32))
-                        out[2].append((s if wide else (s >> np.uint64(32)).astype(np.uint32)).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int32())), pa.array(out[2], pa.binary())], names=["node", "second", "items"])
+                        out[2].append(np.ascontiguousarray(halves[:, 1]).tobytes())
+                        out[3].append(np.ascontiguousarray(halves[:, 0]).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int32())), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], names=["node", "second", "high", "low"])
+        known.clear()
 
-    return rows.mapInArrow(run, "node long, second array<int>, items binary").dropDuplicates(["node"])
+    return rows.mapInArrow(run, "node long, second array<int>, high binary, low binary")
+
+
+def verdict(shared: int, a: int, b: int, num: int, den: int, slack: int) -> int:
+    """0: no link; 2: a link even if `slack` of the shared elements are not; 1: a link only if most of them are."""
+    if den * shared < num * (a + b - shared):
+        return 0
+    return 2 if den * (shared - slack) >= num * (a + b - shared + slack) else 1
 
 
 def _overlapping(pairs: DataFrame, sets: DataFrame, num: int, den: int, wide: bool) -> DataFrame:
-    """The pairs whose items overlap enough for the threshold. With 32 bits an overlap is never less than the true one."""
-    a = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
-    b = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
+    """(a, b, sure) of the pairs that overlap enough. By the upper halves an overlap is never less than the true one."""
+    parts = ["high", "low"] if wide else ["high"]
+    a = sets.select(F.col("node").alias("a"), *[F.col(c).alias(f"x_{c}") for c in parts])
+    b = sets.select(F.col("node").alias("b"), *[F.col(c).alias(f"y_{c}") for c in parts])
+
+    def whole(batch: Any, side: str) -> list[np.ndarray]:
+        high = [np.frombuffer(v, np.uint32) for v in batch.column(f"{side}_high").to_pylist()]
+        if not wide:
+            return high
+        low = [np.frombuffer(v, np.uint32) for v in batch.column(f"{side}_low").to_pylist()]
+        return [(h.astype(np.uint64) << np.uint64(32)) | v for h, v in zip(high, low, strict=True)]
 
     def run(batches: Iterator[Any]) -> Iterator[Any]:
         import pyarrow as pa
 
-        kind = np.uint64 if wide else np.uint32
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                u, v = np.frombuffer(x, kind), np.frombuffer(y, kind)
+            out = []
+            for u, v in zip(whole(batch, "x"), whole(batch, "y"), strict=True):
                 both = np.concatenate([u, v])
                 both.sort(kind="stable")
-                # Runs of equal values: within a set they are distinct, but for rare collisions of 32 bits, which only add.
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(den * shared >= num * (len(u) + len(v) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                # Equal neighbours: elements within a set are distinct, but for rare collisions of halves, which only add.
+                out.append(verdict(int((both[1:] == both[:-1]).sum()), len(u), len(v), num, den, 0 if wide else 3))
+            kept = pa.array([x > 0 for x in out], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array([x == 2 for x in out], pa.bool_())], names=["a", "b", "sure"]).filter(kept)
+
+    cols = [f"{s}_{c}" for s in "xy" for c in parts]
+    return pairs.join(a, "a").join(b, "b").select("a", "b", *cols).mapInArrow(run, "a long, b long, sure boolean")
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The links among pairs (a, b): both orders' prefixes meet, and the sets overlap enough."""
+    second = sets.select("node", "second")
+    met = pairs.join(second.select(F.col("node").alias("a"), F.col("second").alias("sa")), "a").join(second.select(F.col("node").alias("b"), F.col("second").alias("sb")), "b")
+    met = met.where(F.arrays_overlap("sa", "sb")).select("a", "b")
+    likely = store(_overlapping(met, sets, num, den, False), "join-likely")
+    exact = _overlapping(likely.where("not sure").select("a", "b"), sets, num, den, True).select("a", "b")
+    return store(likely.where("sure").select("a", "b").unionByName(exact), "join-links")
 
 
 def _ordered(u: Any, v: Any) -> list[Any]:
     return [F.least(u, v).alias("a"), F.greatest(u, v).alias("b")]
 
 
+def _mixed(posts: DataFrame, roots: DataFrame) -> DataFrame:
+    """Postings with the root of each, of the lists that hold more than one root, and the list's most frequent root."""
+    at = posts.join(roots, "node", "left").select("tok", "node", "n", F.coalesce("root", "node").alias("root"))
+    sizes = at.groupBy("tok", "root").agg(F.count(F.lit(1)).alias("c"))
+    main = sizes.groupBy("tok").agg(F.max(F.struct("c", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).where(F.col("roots") > 1)
+    return store(at.join(main.select("tok", F.col("m.root").alias("main")), "tok"), "join-mixed")
+
+
 def classes_and_links(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
     """((id, node, n) of each document, (node, root) of the classes that link with another)."""
     spark = docs.sparkSession
@@ -214,45 +250,47 @@ def classes_and_links(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     own = described.select("id", "node", "n")
     classes = described.where(F.col("n") > 0).groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     reps = store(classes.where(F.col("rep").isNotNull()), "join-classes")
-    posts = reps.select("node", "n", F.explode("prefix").alias("tok"))
-    lists = posts.groupBy("tok").agg(F.count(F.lit(1)).alias("len"), F.min(F.struct(F.xxhash64("node", "tok").alias("h"), F.col("node"), F.col("n"))).alias("lead")).where(F.col("len") > 1)
-    posts = store(posts.join(lists.select("tok", "len", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")), "tok"), "join-posts")
+    posts = reps.select("node", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("tok"))
+    # Names of sets are hashes, so the least of a list is drawn at random, and alike in lists that share members.
+    lists = posts.groupBy("tok").agg(F.count(F.lit(1)).alias("len"), F.min("node").alias("lead")).where(F.col("len") > 1)
+    posts = store(posts.join(lists.select("tok", "lead"), "tok"), "join-posts")
+    sets = reps.select("node", "rep").join(posts.select("node").distinct(), "node")
+    sets = store(_candidates(docs, store(sets, "join-wanted"), key, text, n, num, den, orders), "join-candidates")
     fits = lambda x, y: F.least(x, y) * den >= F.greatest(x, y) * num
-    short = posts.where(F.col("len") <= SHORT).select("tok", "node", "n")
-    other = short.select("tok", F.col("node").alias("node2"), F.col("n").alias("n2"))
-    near = short.join(other, "tok").where((F.col("node") < F.col("node2")) & fits(F.col("n"), F.col("n2"))).select(F.col("node").alias("a"), F.col("node2").alias("b"))
-    long = posts.where(F.col("len") > SHORT)
-    star = long.where((F.col("node") != F.col("lead")) & fits(F.col("n"), F.col("lead_n"))).select(*_ordered(F.col("node"), F.col("lead")))
-    pairs = store(near.unionByName(star).distinct(), "join-pairs")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        def wanted(p: DataFrame) -> DataFrame:
-            nodes = p.select(F.col("a").alias("node")).unionByName(p.select(F.col("b").alias("node"))).distinct()
-            return store(nodes.join(reps.select("node", "rep"), "node"), "join-wanted")
-
-        sets = store(_sets(docs, wanted(pairs), key, text, n, num, den, orders, False), "join-candidates")
-        second = sets.select("node", "second")
-        met = pairs.join(second.select(F.col("node").alias("a"), F.col("second").alias("sa")), "a").join(second.select(F.col("node").alias("b"), F.col("second").alias("sb")), "b")
-        met = store(met.where(F.arrays_overlap("sa", "sb")).select("a", "b"), "join-met")
-        likely = store(_overlapping(met, sets, num, den, False), "join-likely")
-        full = store(_sets(docs, wanted(likely), key, text, n, num, den, orders, True).select("node", "items"), "join-verify")
-        return store(_overlapping(likely, full, num, den, True), "join-links")
-
-    links = verified(pairs)
+    star = posts.where(F.col("node") != F.col("lead")).select("node", "lead", "n").distinct()
+    sizes = reps.select(F.col("node").alias("lead"), F.col("n").alias("lead_n"))
+    tested = store(star.join(sizes, "lead").where(fits(F.col("n"), F.col("lead_n"))).select(*_ordered(F.col("node"), F.col("lead"))).distinct(), "join-pairs")
+    links = _verify(tested, sets, num, den)
     roots = components(links)
-    if long.limit(1).count():
-        at = long.join(roots, "node", "left").select("tok", "node", "n", F.coalesce("root", "node").alias("root"))
-        sizes = at.groupBy("tok", "root").agg(F.count(F.lit(1)).alias("c"))
-        main = sizes.groupBy("tok").agg(F.max(F.struct("c", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).where(F.col("roots") > 1).select("tok", F.col("m.root").alias("main"))
-        at = store(at.join(main, "tok"), "join-mixed")
-        rest = at.where(F.col("root") != F.col("main")).select("tok", "node", "n", "root")
-        every = at.select("tok", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-        more = rest.join(every, "tok").where((F.col("root") != F.col("root2")) & fits(F.col("n"), F.col("n2"))).select(*_ordered(F.col("node"), F.col("node2"))).distinct()
-        more = store(more.join(pairs, ["a", "b"], "left_anti"), "join-pairs")
-        if more.limit(1).count():
-            found = verified(more)
-            roots = components(links.unionByName(found))
-    return own, roots
+    posts = posts.select("tok", "node", "n")
+    for turn in range(STAR_ROUNDS):
+        # Again with each list's best linked member, for what is still outside its component.
+        mixed = _mixed(posts, roots)
+        if not mixed.limit(1).count():
+            return own, roots
+        ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("deg"))
+        ranked = mixed.join(ends, "node", "left").withColumn("deg", F.coalesce("deg", F.lit(0)))
+        lead = ranked.groupBy("tok").agg(F.max(F.struct("deg", F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "root")).alias("l"))
+        more = mixed.join(lead, "tok").where((F.col("root") != F.col("l.root")) & fits(F.col("n"), F.col("l.n"))).select(*_ordered(F.col("node"), F.col("l.node"))).distinct()
+        more = store(more.join(tested, ["a", "b"], "left_anti"), "join-pairs")
+        found = _verify(more, sets, num, den)
+        tested = tested.unionByName(more)
+        if not found.limit(1).count():
+            break
+        links = links.unionByName(found)
+        roots = components(links)
+    # What is left is tested in full: all outside a list's main component against all of other components, each pair in
+    # the first list that both are in.
+    mixed = _mixed(posts, roots)
+    where = mixed.groupBy("node").agg(F.collect_list("tok").alias("toks"))
+    mixed = mixed.join(where, "node")
+    every = mixed.select("tok", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "root", "toks")])
+    met = mixed.where(F.col("root") != F.col("main")).join(every, "tok")
+    met = met.where((F.col("root") != F.col("root2")) & fits(F.col("n"), F.col("n2")) & ((F.col("root2") == F.col("main")) | (F.col("node") < F.col("node2"))))
+    met = met.where(F.array_min(F.array_intersect("toks", "toks2")) == F.col("tok")).select(*_ordered(F.col("node"), F.col("node2")))
+    rest = store(met.join(tested, ["a", "b"], "left_anti"), "join-pairs")
+    found = _verify(rest, sets, num, den)
+    return own, components(links.unionByName(found)) if found.limit(1).count() else roots
 
 
 def component_ids(own: DataFrame, roots: DataFrame) -> DataFrame:
