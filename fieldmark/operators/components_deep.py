@@ -1,12 +1,14 @@
 """What needs a whole component or a whole image at once: bridges, cuts, augmentation, relabelling, suppression.
 
 Each function's unit is one component of the review graph or one image, which are bounded by how often an individual is
-seen or how many boxes an image has; units are spread over tasks.
+seen or how many boxes an image has. Units are dealt by hash into buckets of some ten thousand rows, each a call.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict, deque
+from collections.abc import Callable
+from itertools import groupby
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -15,6 +17,25 @@ from pyspark.sql import functions as F
 from fieldmark.operators.graph import labelled, positive_components
 
 
+BUCKET_ROWS = 20_000
+
+
+def per_unit(df: DataFrame, unit: str, run: Callable[[list[Any]], list[tuple[Any, ...]]], schema: str) -> DataFrame:
+    """The rows that run makes of each unit's rows (named tuples, in no fixed order)."""
+    buckets = max(1, -(-df.count() // BUCKET_ROWS))
+
+    def bucket(pdf: Any) -> Any:
+        import pandas as pd
+
+        out: list[tuple[Any, ...]] = []
+        for _, rows in groupby(pdf.sort_values(unit).itertuples(index=False), key=lambda r: getattr(r, unit)):
+            out += run(list(rows))
+        return pd.DataFrame(out, columns=[f.split()[0] for f in schema.split(", ")])
+
+    dealt = df.withColumn("bucket_", F.pmod(F.xxhash64(unit), F.lit(buckets)))
+    return dealt.groupBy("bucket_").applyInPandas(bucket, schema)
+
+
 def find_bridges(edges: list[tuple[int, int]]) -> set[tuple[int, int]]:
     """Edges whose removal disconnects their component: lowest reachable depth-first numbers, without recursion."""
     near: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -122,13 +143,10 @@ def bridges(edges: DataFrame) -> DataFrame:
     """(root, a, b): bridges of the positive components."""
     rows = labelled(edges.where("state = 'match'"), positive_components(edges)).select(F.col("r1").alias("root"), "a", "b").distinct()
 
-    def run(pdf: Any) -> Any:
-        import pandas as pd
-
-        found = sorted(find_bridges(list(zip(pdf.a, pdf.b, strict=True))))
-        return pd.DataFrame({"root": [pdf.root.iloc[0]] * len(found), "a": [a for a, _ in found], "b": [b for _, b in found]}, dtype="int64")
+    def run(own: list[Any]) -> list[tuple[Any, ...]]:
+        return [(own[0].root, a, b) for a, b in sorted(find_bridges([(r.a, r.b) for r in own]))]
 
-    return rows.groupBy("root").applyInPandas(run, "root long, a long, b long")
+    return per_unit(rows, "root", run, "root long, a long, b long")
 
 
 def two_edge_components(edges: DataFrame) -> DataFrame:
@@ -152,18 +170,16 @@ def cut_hypotheses(edges: DataFrame, weight: str) -> DataFrame:
     rows = rows.select(F.col("r1").alias("root"), "a", "b", "state", F.col(weight).cast("double").alias("w"))
     bad = rows.where("state = 'nomatch'").select("root").distinct()
 
-    def run(pdf: Any) -> Any:
-        import pandas as pd
-
-        pos = [(r.a, r.b, r.w) for r in pdf[pdf.state == "match"].itertuples()]
+    def run(own: list[Any]) -> list[tuple[Any, ...]]:
+        pos = [(r.a, r.b, r.w) for r in own if r.state == "match"]
         out = set()
-        for r in pdf[pdf.state == "nomatch"].itertuples():
-            total, cut = min_cut(pos, r.a, r.b)
-            out |= {(r.a, r.b, "nomatch")} if r.w < total else {(a, b, "match") for a, b in cut}
-        found = sorted(out)
-        return pd.DataFrame({"root": [pdf.root.iloc[0]] * len(found), "a": [x[0] for x in found], "b": [x[1] for x in found], "kind": [x[2] for x in found]})
+        for r in own:
+            if r.state == "nomatch":
+                total, cut = min_cut(pos, r.a, r.b)
+                out |= {(r.a, r.b, "nomatch")} if r.w < total else {(a, b, "match") for a, b in cut}
+        return [(own[0].root, *x) for x in sorted(out)]
 
-    return rows.join(bad, "root", "left_semi").groupBy("root").applyInPandas(run, "root long, a long, b long, kind string")
+    return per_unit(rows.join(bad, "root", "left_semi"), "root", run, "root long, a long, b long, kind string")
 
 
 def augment(edges: DataFrame) -> DataFrame:
@@ -171,10 +187,8 @@ def augment(edges: DataFrame) -> DataFrame:
     in a ring, half a turn apart."""
     rows = labelled(edges.where("state = 'match'"), positive_components(edges)).select(F.col("r1").alias("root"), "a", "b").distinct()
 
-    def run(pdf: Any) -> Any:
-        import pandas as pd
-
-        own = list(zip(pdf.a, pdf.b, strict=True))
+    def run(rows_: list[Any]) -> list[tuple[Any, ...]]:
+        own = [(r.a, r.b) for r in rows_]
         cut = find_bridges(own)
         label: dict[int, int] = {}
 
@@ -206,9 +220,9 @@ def augment(edges: DataFrame) -> DataFrame:
             stack += sorted(near[x], reverse=True)
         half = (len(leaves) + 1) // 2
         found = sorted({(min(a, b), max(a, b)) for a, b in ((leaves[i], leaves[(i + half) % len(leaves)]) for i in range(half))}) if len(leaves) > 1 else []
-        return pd.DataFrame({"root": [pdf.root.iloc[0]] * len(found), "a": [a for a, _ in found], "b": [b for _, b in found]}, dtype="int64")
+        return [(rows_[0].root, a, b) for a, b in found]
 
-    return rows.groupBy("root").applyInPandas(run, "root long, a long, b long")
+    return per_unit(rows, "root", run, "root long, a long, b long")
 
 
 def consistent_labels(members: DataFrame) -> DataFrame:
@@ -217,47 +231,42 @@ def consistent_labels(members: DataFrame) -> DataFrame:
     part is a component of groups that share old names; groups for which no old name is left get a new one.
     """
 
-    def run(pdf: Any) -> Any:
-        import pandas as pd
-
-        groups, olds = sorted(pdf.grp.unique()), sorted(pdf.old.unique())
-        count = {(r.grp, r.old): r.n for r in pdf.itertuples()}
+    def run(own: list[Any]) -> list[tuple[Any, ...]]:
+        groups, olds = sorted({r.grp for r in own}), sorted({r.old for r in own})
+        count = {(r.grp, r.old): r.n for r in own}
         # One spare column for each group: no old name, worth nothing.
         profit = [[float(count.get((g, o), 0)) for o in olds] + [0.0] * len(groups) for g in groups]
         at = assignment(profit)
         names = [str(olds[j]) if j < len(olds) and profit[i][j] > 0 else f"_extra_name{g}" for i, (g, j) in enumerate(zip(groups, at, strict=True))]
-        return pd.DataFrame({"grp": groups, "name": names})
+        return list(zip(groups, names, strict=True))
 
-    return members.groupBy("part").applyInPandas(run, "grp long, name string")
+    return per_unit(members, "part", run, "grp long, name string")
 
 
 def suppress(boxes: DataFrame, most: float) -> DataFrame:
     """Non-maximum suppression: per image boxes (id, x, y, w, h, conf), surest first, that overlap no kept one by more."""
 
-    def run(pdf: Any) -> Any:
-        pdf = pdf.sort_values(["conf", "id"], ascending=[False, True])
+    def run(own: list[Any]) -> list[tuple[Any, ...]]:
         kept: list[Any] = []
-        for r in pdf.itertuples():
+        for r in sorted(own, key=lambda r: (-r.conf, r.id)):
             for k in kept:
                 w, h = min(r.x + r.w, k.x + k.w) - max(r.x, k.x), min(r.y + r.h, k.y + k.h) - max(r.y, k.y)
                 if w > 0 and h > 0 and w * h > most * (r.w * r.h + k.w * k.h - w * h):
                     break
             else:
                 kept.append(r)
-        return pdf[pdf.id.isin([k.id for k in kept])][["image", "id", "conf"]]
+        return [(k.image, k.id, k.conf) for k in kept]
 
-    return boxes.groupBy("image").applyInPandas(run, "image long, id long, conf double")
+    return per_unit(boxes, "image", run, "image long, id long, conf double")
 
 
 def merge_boxes(boxes: DataFrame, least: float, reviewers: int) -> DataFrame:
     """(image, cluster, n, x, y, w, h, interest): boxes by several reviewers, clustered greedily by overlap, averaged;
     interest where most say so; clusters of fewer reviewers go."""
 
-    def run(pdf: Any) -> Any:
-        import pandas as pd
-
+    def run(own: list[Any]) -> list[tuple[Any, ...]]:
         clusters: list[list[Any]] = []
-        for r in pdf.sort_values(["reviewer", "id"]).itertuples():
+        for r in sorted(own, key=lambda r: (r.reviewer, r.id)):
             best, at = least, None
             for c in clusters:
                 if any(k.reviewer == r.reviewer for k in c):
@@ -269,7 +278,6 @@ def merge_boxes(boxes: DataFrame, least: float, reviewers: int) -> DataFrame:
                 if mean > best:
                     best, at = mean, c
             at.append(r) if at is not None else clusters.append([r])
-        rows = [(int(pdf.image.iloc[0]), min(k.id for k in c), len(c), *(sum(getattr(k, f) for k in c) / len(c) for f in "xywh"), 2 * sum(bool(k.interest) for k in c) > len(c)) for c in clusters if len(c) >= reviewers]
-        return pd.DataFrame(rows, columns=["image", "cluster", "n", "x", "y", "w", "h", "interest"])
+        return [(own[0].image, min(k.id for k in c), len(c), *(sum(getattr(k, f) for k in c) / len(c) for f in "xywh"), 2 * sum(bool(k.interest) for k in c) > len(c)) for c in clusters if len(c) >= reviewers]
 
-    return boxes.groupBy("image").applyInPandas(run, "image long, cluster long, n long, x double, y double, w double, h double, interest boolean")
+    return per_unit(boxes, "image", run, "image long, cluster long, n long, x double, y double, w double, h double, interest boolean")
