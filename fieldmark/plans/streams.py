@@ -22,7 +22,7 @@ def _run(stream: DataFrame, spark: SparkSession, label: str) -> DataFrame:
 @query("SELECT event_id, user_id, event_type FROM events")
 def stream_once(spark: SparkSession, sf: str) -> DataFrame:
     """Every event once, though the stream reads its table twice."""
-    path = f"{sf}/events.parquet"
+    path = f"{sf}/events.parque[t]"
     schema = table(spark, sf, "events").schema
     read = lambda: read_stream(spark, path, schema).withColumn("at", F.expr("cast(ts AS timestamp)"))
     both = read().unionByName(read())
@@ -35,7 +35,7 @@ SELECT user_id::VARCHAR AS key, count(*) AS n, round(arg_max(e, i), 6) AS ewma F
 def stream_moving_average(spark: SparkSession, sf: str) -> DataFrame:
     """Moving average of span 19 over each user's events; the last state of each user."""
     schema = table(spark, sf, "events").schema
-    rows = read_stream(spark, f"{sf}/events.parquet", schema).select(F.col("user_id").cast("string").alias("key"), (F.col("value") > 50).cast("int").alias("value"), F.col("event_id").alias("pos"))
+    rows = read_stream(spark, f"{sf}/events.parque[t]", schema).select(F.col("user_id").cast("string").alias("key"), (F.col("value") > 50).cast("int").alias("value"), F.col("event_id").alias("pos"))
     out = fresh_path(spark, "stream-average")
 
     def keep(batch: DataFrame, n: int) -> None:
@@ -49,8 +49,8 @@ def stream_moving_average(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def stream_components(spark: SparkSession, sf: str) -> DataFrame:
-    """Match edges arriving in four batches; the same components as of all at once."""
-    edges = review_edges(spark, sf).where("state = 'match'").withColumn("part", F.pmod(F.xxhash64("a", "b"), F.lit(4)))
+    """Match edges arriving in three batches; the same components as of all at once."""
+    edges = review_edges(spark, sf).where("state = 'match'").withColumn("part", F.pmod(F.xxhash64("a", "b"), F.lit(3)))
     held: list[str] = []
 
     def write(labels: DataFrame) -> None:
@@ -58,6 +58,6 @@ def stream_components(spark: SparkSession, sf: str) -> DataFrame:
         labels.write.parquet(held[-1])
 
     merge = growing_components(lambda: spark.read.parquet(held[-1]) if held else None, write)
-    for i in range(4):
+    for i in range(3):
         merge(edges.where(F.col("part") == i), i)
     return spark.read.parquet(held[-1])
