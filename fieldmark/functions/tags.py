@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def parse_tags(text: Column, mark: str = ";") -> Column:
     """Trimmed tags of a marked text, blanks left out; null gives none."""
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), mark), F.trim)
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), mark), lambda t: F.trim(t))
     return F.filter(parts, lambda t: t != "")
 
 
