@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldmark.llm._base import fresh_name, store, table, word_count
+from fieldmark.llm._base import store, table, word_count
 
 #: Documents for each key range, on average.
 RANGE_ROWS = 4000
@@ -128,11 +128,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents as often as the mix takes them; the columns of docs."""
-    columns = docs.columns
-    size, weight = fresh_name(docs, "_mix_size"), fresh_name(docs, "_mix_weight")
-    others = tuple(c for c in columns if c not in ("doc_id", "source"))
-    mixed = mix(docs.withColumn(size, word_count(F.col("text"))).withColumn(weight, quality_weight(F.col("text"))), size=F.col(size), weight=F.col(weight), boundary="whole", carry=others)
-    return emit(mixed).select(*columns)
+    # A row travels as one struct, so that no column of docs meets one of the mix.
+    packed = docs.select("doc_id", "source", word_count(F.col("text")).alias("n"), quality_weight(F.col("text")).alias("w"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    mixed = mix(packed, size=F.col("n"), weight=F.col("w"), boundary="whole", carry=("row",))
+    return emit(mixed).select("row.*")
 
 
 ORACLE_SQL = r"""
