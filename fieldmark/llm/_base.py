@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import re
 import uuid
+from collections.abc import Iterator
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +67,20 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Let Arrow batches hold fewer rows than usual, for whole texts are long; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
+def texts_of(batch: Any, column: str, rows: int = 500) -> Iterator[tuple[Any, list[str | None]]]:
+    """Slices of an Arrow batch with their texts, so that few are held as strings at once."""
+    for at in range(0, len(batch), rows):
+        part = batch.slice(at, rows)
+        yield part, part.column(column).to_pylist()
+
+
 def held_out(doc_id: Column, folds: int, fold_no: int) -> Column:
     """Whether crc32 of the id's text falls in the held-out fold. A null id counts as the empty text."""
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds) == fold_no

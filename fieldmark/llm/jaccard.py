@@ -2,9 +2,8 @@
 
 A document's set is its distinct word n-grams, hashed to 64 bits. Documents with equal sets form a class, combined before
 any shuffle; the join runs over classes. For a threshold t, two sets that link share an element among the first
-n - ceil(t n) + 1 of each under any global order of elements. Two orders are used, both with frequent elements last
-(frequency from a hashed count of all elements of all documents, of fixed size) and else by independent hashes; a pair
-must meet under both before it is verified on the sets.
+n - ceil(t n) + 1 of each under any global order of elements. Two orders are used, by two independent hashed counts of
+all elements of all documents, rare ones first; a pair must meet under both before it is verified on the sets.
 
 Pairs come from posting lists of the first order. First all of a list are paired with one member drawn by hash; then, for
 a few rounds, what lies outside the component of the list's best linked member is paired with that member, so a large
@@ -26,11 +25,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm._base import fold, fresh_name, store, table, words_of
+from fieldmark.llm._base import fold, fresh_name, small_batches, store, table, texts_of, words_of
 from fieldmark.llm.graph import components
 
 #: Rounds in which lists are linked to one member before what is left is tested in full.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 #: Ids of up to so many candidate classes (16 bytes each) are broadcast to pick their texts; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 CHUNKS = 64
@@ -48,7 +47,7 @@ class _WordHashes(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word.encode())
         return h
@@ -80,81 +79,116 @@ def prefix_length(n: int, num: int, den: int) -> int:
 
 
 class Orders:
-    """Two global orders of shingles: frequent ones last, by steps of the hashed count; ties by two hashes."""
+    """Two global orders of shingles: by two independent hashed counts of the corpus, rare ones first; ties by hash.
 
-    def __init__(self, counts: np.ndarray):
-        self.shift = np.uint64(64 - (len(counts).bit_length() - 1))
-        mean = counts.mean() if len(counts) else 0.0
-        level = np.floor(np.log2(np.maximum(counts, 1))).astype(np.uint8)
-        self.level = np.where(counts > mean + 6 * mean**0.5 + 16, level, 0).astype(np.uint8)
+    A cell's count is at least the shingle's own frequency, so frequent shingles come last in both; among rare ones the
+    orders differ, for the other shingles of a cell do.
+    """
+
+    def __init__(self, first: np.ndarray, second: np.ndarray):
+        self.shift = np.uint64(64 - (len(first).bit_length() - 1))
+        self.counts = (first.astype(np.uint32), second.astype(np.uint32))
 
     def prefix(self, s: np.ndarray, length: int, second: bool) -> np.ndarray:
-        key = _mix(s, 0x165667B19E3779F9) if second else s
-        return s[np.lexsort((key, self.level[s >> self.shift]))[:length]]
+        """The first elements of a set, themselves in no order. Halves of hashes break ties, then places in the set."""
+        if length >= len(s):
+            return s
+        key = _mix(s, _SECOND) if second else s
+        rank = (self.counts[second][key >> self.shift].astype(np.uint64) << np.uint64(32)) | (key & np.uint64(0xFFFFFFFF))
+        return s[np.argpartition(rank, length - 1)[:length]]
+
 
+_SECOND = 0x165667B19E3779F9
 
-def count_cells(docs: DataFrame, text: str, n: int) -> np.ndarray:
-    """How many of all documents' shingles fall in each of a fixed number of hash cells (2**18 to 2**22 by document count)."""
+
+def count_cells(docs: DataFrame, text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many of all documents' shingles fall in each of a number of hash cells (2**18 to 2**22, by document count),
+    under two hashes. Tasks' counts stop at 65535 a cell, which is frequent enough to come last."""
     rows = docs.count()
-    bits = min(22, max(18, (rows * 4).bit_length()))
+    bits = min(22, max(18, (rows * 8).bit_length() - 1))
     cells, shift, width = 1 << bits, np.uint64(64 - bits), (1 << bits) // CHUNKS
 
     def count(batches: Iterator[Any]) -> Iterator[Any]:
+        import zlib
+
         import pyarrow as pa
         from pyspark import TaskContext
 
-        known, counts, any_row = _WordHashes(), np.zeros(cells, dtype=np.uint32), False
+        known, counts, any_row = _WordHashes(), np.zeros((2, cells), dtype=np.int64), False
+        held: list[np.ndarray] = []
+
+        def add() -> None:
+            all_of = np.concatenate(held)
+            counts[0] += np.bincount((all_of >> shift).astype(np.int64), minlength=cells)
+            counts[1] += np.bincount((_mix(all_of, _SECOND) >> shift).astype(np.int64), minlength=cells)
+            held.clear()
+
         for b in batches:
-            for t in b.column(0).to_pylist():
-                s = shingles(t, n, known)
-                if len(s):
+            for _, texts in texts_of(b, text):
+                held += [shingles(t, n, known) for t in texts]
+                if sum(map(len, held)) > cells:
                     any_row = True
-                    np.add.at(counts, (s >> shift).astype(np.int64), np.uint32(1))
+                    add()
+        if held:
+            any_row = any_row or any(map(len, held))
+            add()
+        known.clear()
         if any_row:
             salt = TaskContext.get().partitionId() % 64
-            parts = [counts[i * width : (i + 1) * width].tobytes() for i in range(CHUNKS)]
+            small = np.minimum(counts, 65535).astype(np.uint16)
+            parts = [zlib.compress(small[:, i * width : (i + 1) * width].tobytes(), 1) for i in range(CHUNKS)]
             yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(CHUNKS), pa.int32()), "salt": pa.array([salt] * CHUNKS, pa.int32()), "counts": pa.array(parts, pa.binary())})
 
     def total(t: Any) -> Any:
+        import zlib
+
         import pyarrow as pa
 
-        held = np.zeros(width, dtype=np.uint64)
+        held = np.zeros(2 * width, dtype=np.uint32)
         for x in t.column("counts").to_pylist():
-            held += np.frombuffer(x, dtype=np.uint32 if len(x) == 4 * width else np.uint64)
-        return pa.table({"chunk": t.column("chunk").slice(0, 1).cast(pa.int32()), "salt": pa.array([0], pa.int32()), "counts": pa.array([held.tobytes()], pa.binary())})
+            raw = zlib.decompress(x)
+            held += np.frombuffer(raw, dtype=np.uint16 if len(raw) == 4 * width else np.uint32)
+        return pa.table({"chunk": t.column("chunk").slice(0, 1).cast(pa.int32()), "salt": pa.array([0], pa.int32()), "counts": pa.array([zlib.compress(held.tobytes(), 1)], pa.binary())})
+
+    import zlib
 
     schema = "chunk int, salt int, counts binary"
     sums = docs.select(text).mapInArrow(count, schema).groupBy("chunk", "salt").applyInArrow(total, schema).groupBy("chunk").applyInArrow(total, schema)
-    out = np.zeros(cells, dtype=np.uint64)
+    out = np.zeros((2, cells), dtype=np.uint32)
     for r in sums.collect():
-        out[r["chunk"] * width : (r["chunk"] + 1) * width] = np.frombuffer(r["counts"], dtype=np.uint64)
-    return out
+        out[:, r["chunk"] * width : (r["chunk"] + 1) * width] = np.frombuffer(zlib.decompress(r["counts"]), dtype=np.uint32).reshape(2, width)
+    return out[0], out[1]
 
 
 def describe(docs: DataFrame, key: str, text: str, n: int, num: int, den: int, orders: Any) -> DataFrame:
-    """(id, node, n, prefix): the set's name, its size and its prefix under the first order."""
+    """(id, node, n, prefix, second): the set's name, its size and its prefixes under both orders (of the second's
+    elements the upper halves, which share an element if the prefixes do)."""
+
+    def lists(parts: list[np.ndarray], kind: Any) -> Any:
+        import pyarrow as pa
+
+        offsets = pa.array(np.concatenate([[0], np.cumsum([len(h) for h in parts])]), pa.int32())
+        return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts), kind))
 
     def run(batches: Iterator[Any]) -> Iterator[Any]:
         import pyarrow as pa
 
         known, order = _WordHashes(), orders.value
         for b in batches:
-            for at in range(0, len(b), 1000):
-                part = b.slice(at, 1000)
-                sets = [shingles(t, n, known) for t in part.column("text").to_pylist()]
-                heads = [order.prefix(s, prefix_length(len(s), num, den), False).astype(np.int64) if len(s) else np.empty(0, np.int64) for s in sets]
-                offsets = pa.array(np.concatenate([[0], np.cumsum([len(h) for h in heads])]), pa.int32())
-                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(heads) if heads else np.empty(0, np.int64), pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([signature(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), lists], names=["id", "node", "n", "prefix"])
-
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, node long, n long, prefix array<long>")
+            for part, texts in texts_of(b, "text"):
+                sets = [shingles(t, n, known) for t in texts]
+                size = [prefix_length(len(s), num, den) if len(s) else 0 for s in sets]
+                one = [order.prefix(s, m, False).astype(np.int64) for s, m in zip(sets, size, strict=True)]
+                two = [(order.prefix(s, m, True) >> np.uint64(32)).astype(np.uint32).astype(np.int32) for s, m in zip(sets, size, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([signature(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), lists(one, pa.int64()), lists(two, pa.int32())], names=["id", "node", "n", "prefix", "second"])
+        known.clear()
 
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, node long, n long, prefix array<long>, second array<int>")
 
-def _candidates(docs: DataFrame, wanted: DataFrame, key: str, text: str, n: int, num: int, den: int, orders: Any) -> DataFrame:
-    """(node, second, high, low) of the wanted classes (node, rep), from the text of the document rep.
 
-    second: the prefix under the second order; high, low: upper and lower halves of the sorted set's hashes.
-    """
+def _candidates(docs: DataFrame, wanted: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """(node, high, low) of the wanted classes (node, rep), from the text of the document rep: upper and lower halves of
+    the sorted set's hashes."""
     few = wanted.count() <= BROADCAST_ROWS
     side = wanted.select(F.col("rep").alias("_rep"), F.col("node").alias("_node"))
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
@@ -163,24 +197,22 @@ def _candidates(docs: DataFrame, wanted: DataFrame, key: str, text: str, n: int,
     def run(batches: Iterator[Any]) -> Iterator[Any]:
         import pyarrow as pa
 
-        known, order = _WordHashes(), orders.value
+        known = _WordHashes()
         for b in batches:
-            for at in range(0, len(b), 500):
-                part = b.slice(at, 500)
-                out: list[list[Any]] = [[], [], [], []]
-                for node, t in zip(part.column("node").to_pylist(), part.column("text").to_pylist(), strict=True):
+            for part, texts in texts_of(b, "text"):
+                out: list[list[Any]] = [[], [], []]
+                for node, t in zip(part.column("node").to_pylist(), texts, strict=True):
                     s = shingles(t, n, known)
                     # Another text may bear the same id.
                     if signature(s) == node:
                         halves = s.view(np.uint32).reshape(-1, 2)
                         out[0].append(node)
-                        out[1].append((order.prefix(s, prefix_length(len(s), num, den), True) >> np.uint64(32)).astype(np.uint32).astype(np.int32))
-                        out[2].append(np.ascontiguousarray(halves[:, 1]).tobytes())
-                        out[3].append(np.ascontiguousarray(halves[:, 0]).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int32())), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], names=["node", "second", "high", "low"])
+                        out[1].append(np.ascontiguousarray(halves[:, 1]).tobytes())
+                        out[2].append(np.ascontiguousarray(halves[:, 0]).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["node", "high", "low"])
         known.clear()
 
-    return rows.mapInArrow(run, "node long, second array<int>, high binary, low binary")
+    return rows.mapInArrow(run, "node long, high binary, low binary")
 
 
 def verdict(shared: int, a: int, b: int, num: int, den: int, slack: int) -> int:
@@ -220,14 +252,29 @@ def _overlapping(pairs: DataFrame, sets: DataFrame, num: int, den: int, wide: bo
     return pairs.join(a, "a").join(b, "b").select("a", "b", *cols).mapInArrow(run, "a long, b long, sure boolean")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The links among pairs (a, b): both orders' prefixes meet, and the sets overlap enough."""
-    second = sets.select("node", "second")
-    met = pairs.join(second.select(F.col("node").alias("a"), F.col("second").alias("sa")), "a").join(second.select(F.col("node").alias("b"), F.col("second").alias("sb")), "b")
-    met = met.where(F.arrays_overlap("sa", "sb")).select("a", "b")
-    likely = store(_overlapping(met, sets, num, den, False), "join-likely")
-    exact = _overlapping(likely.where("not sure").select("a", "b"), sets, num, den, True).select("a", "b")
-    return store(likely.where("sure").select("a", "b").unionByName(exact), "join-links")
+class _Verifier:
+    """Verifies pairs of classes; a class's set is read from its text once, when a pair of it first passes both orders."""
+
+    def __init__(self, docs: DataFrame, reps: DataFrame, key: str, text: str, n: int, num: int, den: int, repeated: bool):
+        self.docs, self.reps, self.at, self.num, self.den, self.repeated = docs, reps, (key, text, n), num, den, repeated
+        self.sets: DataFrame | None = None
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """(a, b) of the pairs whose prefixes meet under the second order too and whose sets overlap enough."""
+        second = self.reps.select("node", "second")
+        met = pairs.join(second.select(F.col("node").alias("a"), F.col("second").alias("sa")), "a").join(second.select(F.col("node").alias("b"), F.col("second").alias("sb")), "b")
+        met = store(met.where(F.arrays_overlap("sa", "sb")).select("a", "b"), "join-met")
+        nodes = met.select(F.col("a").alias("node")).unionByName(met.select(F.col("b").alias("node"))).distinct()
+        if self.sets is not None:
+            nodes = nodes.join(self.sets.select("node"), "node", "left_anti")
+        wanted = store(self.reps.select("node", "rep").join(nodes, "node"), "join-wanted")
+        fresh = _candidates(self.docs, wanted, *self.at)
+        # Where rows share an id, a class may be read from several of them.
+        fresh = store(fresh.dropDuplicates(["node"]) if self.repeated else fresh, "join-sets")
+        self.sets = fresh if self.sets is None else self.sets.unionByName(fresh)
+        likely = store(_overlapping(met, self.sets, self.num, self.den, False), "join-likely")
+        exact = _overlapping(likely.where("not sure").select("a", "b"), self.sets, self.num, self.den, True).select("a", "b")
+        return store(likely.where("sure").select("a", "b").unionByName(exact), "join-links")
 
 
 def _ordered(u: Any, v: Any) -> list[Any]:
@@ -245,35 +292,42 @@ def _mixed(posts: DataFrame, roots: DataFrame) -> DataFrame:
 def classes_and_links(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
     """((id, node, n) of each document, (node, root) of the classes that link with another)."""
     spark = docs.sparkSession
-    orders = spark.sparkContext.broadcast(Orders(count_cells(docs, text, n)))
-    described = store(describe(docs, key, text, n, num, den, orders), "join-sets")
+    small_batches(spark)
+    orders = spark.sparkContext.broadcast(Orders(*count_cells(docs, text, n)))
+    described = store(describe(docs, key, text, n, num, den, orders), "join-docs")
     own = described.select("id", "node", "n")
-    classes = described.where(F.col("n") > 0).groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    classes = described.where(F.col("n") > 0).groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("second").alias("second"))
     reps = store(classes.where(F.col("rep").isNotNull()), "join-classes")
     posts = reps.select("node", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("tok"))
     # Names of sets are hashes, so the least of a list is drawn at random, and alike in lists that share members.
     lists = posts.groupBy("tok").agg(F.count(F.lit(1)).alias("len"), F.min("node").alias("lead")).where(F.col("len") > 1)
-    posts = store(posts.join(lists.select("tok", "lead"), "tok"), "join-posts")
-    sets = reps.select("node", "rep").join(posts.select("node").distinct(), "node")
-    sets = store(_candidates(docs, store(sets, "join-wanted"), key, text, n, num, den, orders), "join-candidates")
+    posts = store(posts.join(lists.select("tok", "lead", "len"), "tok"), "join-posts")
+    repeated = own.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count() > 0
+    verifier = _Verifier(docs, reps, key, text, n, num, den, repeated)
     fits = lambda x, y: F.least(x, y) * den >= F.greatest(x, y) * num
     star = posts.where(F.col("node") != F.col("lead")).select("node", "lead", "n").distinct()
     sizes = reps.select(F.col("node").alias("lead"), F.col("n").alias("lead_n"))
     tested = store(star.join(sizes, "lead").where(fits(F.col("n"), F.col("lead_n"))).select(*_ordered(F.col("node"), F.col("lead"))).distinct(), "join-pairs")
-    links = _verify(tested, sets, num, den)
+    links = verifier.links(tested)
     roots = components(links)
-    posts = posts.select("tok", "node", "n")
+    # The pairs of lists of two are all tested.
+    posts = posts.where(F.col("len") > 2).select("tok", "node", "n")
     for turn in range(STAR_ROUNDS):
-        # Again with each list's best linked member, for what is still outside its component.
+        # Again with each list's best linked member and with one drawn from its main component, list by list, for what
+        # is still outside.
         mixed = _mixed(posts, roots)
         if not mixed.limit(1).count():
             return own, roots
         ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("deg"))
         ranked = mixed.join(ends, "node", "left").withColumn("deg", F.coalesce("deg", F.lit(0)))
-        lead = ranked.groupBy("tok").agg(F.max(F.struct("deg", F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "root")).alias("l"))
+        own_hash = F.xxhash64("node", "tok", F.lit(turn))
+        best = F.max(F.struct("deg", own_hash.alias("h"), "node", "n", "root"))
+        drawn = F.max(F.struct((F.col("root") == F.col("main")).alias("deg"), own_hash.alias("h"), "node", "n", "root"))
+        lead = ranked.groupBy("tok").agg(best.alias("best"), drawn.alias("drawn"))
+        lead = lead.select("tok", F.explode(F.array(*[F.struct(F.col(f"{c}.node").alias("node"), F.col(f"{c}.n").alias("n"), F.col(f"{c}.root").alias("root")) for c in ("best", "drawn")])).alias("l"))
         more = mixed.join(lead, "tok").where((F.col("root") != F.col("l.root")) & fits(F.col("n"), F.col("l.n"))).select(*_ordered(F.col("node"), F.col("l.node"))).distinct()
         more = store(more.join(tested, ["a", "b"], "left_anti"), "join-pairs")
-        found = _verify(more, sets, num, den)
+        found = verifier.links(more)
         tested = tested.unionByName(more)
         if not found.limit(1).count():
             break
@@ -286,10 +340,10 @@ def classes_and_links(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     mixed = mixed.join(where, "node")
     every = mixed.select("tok", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "root", "toks")])
     met = mixed.where(F.col("root") != F.col("main")).join(every, "tok")
-    met = met.where((F.col("root") != F.col("root2")) & fits(F.col("n"), F.col("n2")) & ((F.col("root2") == F.col("main")) | (F.col("node") < F.col("node2"))))
-    met = met.where(F.array_min(F.array_intersect("toks", "toks2")) == F.col("tok")).select(*_ordered(F.col("node"), F.col("node2")))
+    both = (F.col("root") != F.col("root2")) & fits(F.col("n"), F.col("n2")) & ((F.col("root2") == F.col("main")) | (F.col("node") < F.col("node2")))
+    met = met.where(both & (F.array_min(F.array_intersect("toks", "toks2")) == F.col("tok"))).select(*_ordered(F.col("node"), F.col("node2")))
     rest = store(met.join(tested, ["a", "b"], "left_anti"), "join-pairs")
-    found = _verify(rest, sets, num, den)
+    found = verifier.links(rest)
     return own, components(links.unionByName(found)) if found.limit(1).count() else roots
 
 

@@ -22,11 +22,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm._base import held_out, table
+from fieldmark.llm._base import held_out, small_batches, table
 
 #: The most labelled documents that a fit uses: those whose ids have the least hashes.
 TRAIN_DOCS = 4000
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 500_000
 GOOD_FROM = 0.7
 _LETTER, _UPPER, _DIGIT, _SPACE, _POINT, _SYMBOL, _BREAK = range(7)
 _KNOWN = 0x3000
@@ -248,6 +248,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> LineCr
             rows = [np.column_stack([size[i:j], x[i:j]]).astype(np.float32).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(rows, pa.binary())], names=["label", "x"])
 
+    small_batches(docs.sparkSession, 500)
     rows = sample(docs, labels, "quality", 4, 2, limit).mapInArrow(features, "label int, x binary").toArrow()
     blocks = [np.frombuffer(v, dtype=np.float32) for v in rows.column("x").to_pylist()]
     width = line_features([""])[2].shape[1] + 1
@@ -272,7 +273,8 @@ def _score_udf(model: LineCrf) -> Any:
 
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            yield pa.array(model.documents(b.to_pylist()), pa.float64())
+            parts = [model.documents(b.slice(at, 500).to_pylist()) for at in range(0, len(b), 500)]
+            yield pa.array(np.concatenate(parts) if parts else np.empty(0), pa.float64())
 
     scored.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(scored, "double")

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm._base import held_out, store, table, words_of
+from fieldmark.llm._base import held_out, small_batches, store, table, words_of
 from fieldmark.llm.quality import sample
 
 TRAIN_DOCS = 6000
@@ -267,6 +267,7 @@ def learn_lexicon(rows: DataFrame, most: int = 400, least: int = 4) -> list[tupl
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> ToxicModel:
     """Learn lexicon, weights and coefficients from a bounded sample of labelled documents outside fold 0 of 5."""
+    small_batches(docs.sparkSession)
     rows = store(sample(docs, labels, "toxic", 5, 0, limit).withColumn("rid", F.monotonically_increasing_id()), "toxic-sample")
     entries = learn_lexicon(rows)
     blank = ToxicModel(entries, {}, np.zeros(6))
@@ -325,7 +326,8 @@ def score_udf(model: ToxicModel) -> Any:
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         try:
             for b in batches:
-                yield pa.array(model.scores(b.to_pylist()), pa.float64())
+                parts = [model.scores(b.slice(at, 500).to_pylist()) for at in range(0, len(b), 500)]
+                yield pa.array(np.concatenate(parts) if parts else np.empty(0), pa.float64())
         finally:
             # A worker outlives its tasks, and a task's model may wait long for the garbage collector.
             model.forget()
