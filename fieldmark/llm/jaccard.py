@@ -25,11 +25,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm._base import fold, fresh_name, small_batches, store, table, texts_of, words_of
+from fieldmark.llm._base import fresh_name, small_batches, store, table, texts_of
 from fieldmark.llm.graph import components
 
 #: Rounds in which lists are linked to one member before what is left is tested in full.
 STAR_ROUNDS = 2
+#: Lists of at least so many classes are tested in tiles: blocks of what is outside the main component by blocks of all.
+LONG = 128
+TILE_REST, TILE_ALL = 256, 2048
 #: Ids of up to so many candidate classes (16 bytes each) are broadcast to pick their texts; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 CHUNKS = 64
@@ -41,29 +44,76 @@ def _mix(h: np.ndarray, by: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-class _WordHashes(dict):
-    """Hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        if len(self) > 150_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode())
-        return h
-
-
-def shingles(text: str | None, n: int, known: _WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the text's word n-grams."""
-    words = words_of(fold(text or ""))
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    w = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-    n_own = min(n, len(w))
-    h = np.full(len(w) - n_own + 1, n_own, dtype=np.uint64)
-    for i in range(n_own):
-        h += w[i : len(w) - n_own + 1 + i] * _MULT[i & 63]
-    return np.unique(_mix(h))
+#: Bytes of text that are hashed at once; a longer text is hashed alone.
+HASH_BYTES = 1 << 20
+_GAP = np.zeros(256, dtype=bool)
+_GAP[[9, 10, 11, 12, 13, 32]] = True
+_BASE = 0x9E6C63D0876A9A47
+
+
+class _Powers:
+    """Powers of an odd base and of its inverse, modulo 2**64, as far as they have been needed."""
+
+    up = np.ones(1, dtype=np.uint64)
+    down = np.ones(1, dtype=np.uint64)
+
+    @classmethod
+    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        while len(cls.up) < n:
+            k = len(cls.up)
+            cls.up = np.concatenate([cls.up, cls.up * np.uint64(pow(_BASE, k, 1 << 64))])
+            cls.down = np.concatenate([cls.down, cls.down * np.uint64(pow(pow(_BASE, -1, 1 << 64), k, 1 << 64))])
+        return cls.up, cls.down
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, 64-bit hash) of each word: a polynomial of its bytes, taken from sums over all bytes."""
+    b = np.frombuffer(data, dtype=np.uint8)
+    gap = _GAP[b]
+    edge = np.flatnonzero(np.diff(gap, prepend=True, append=True))
+    start, end = edge[::2], edge[1::2]
+    up, down = _Powers.of(len(b) + 1)
+    sums = np.zeros(len(b) + 1, dtype=np.uint64)
+    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=sums[1:])
+    return start, _mix((sums[end] - sums[start]) * down[start])
+
+
+def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's word n-grams; of a text of fewer words, the one of them all."""
+    out: list[np.ndarray] = []
+    held: list[bytes] = []
+    size = 0
+
+    def flush() -> None:
+        if not held:
+            return
+        ends = np.cumsum([len(x) + 1 for x in held])
+        start, w = word_hashes(b"\n".join(held))
+        first = np.concatenate([[0], np.searchsorted(start, ends)])
+        h = np.full(max(0, len(w) - n + 1), n, dtype=np.uint64)
+        for i in range(n):
+            h += w[i : i + len(h)] * _MULT[i & 63]
+        h = _mix(h)
+        for a, z in zip(first[:-1], first[1:], strict=True):
+            if z - a >= n:
+                s = np.sort(h[a : z - n + 1])
+                out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
+            elif z > a:
+                own = np.uint64(z - a) + (w[a:z] * _MULT[: z - a]).sum(dtype=np.uint64)
+                out.append(_mix(np.array([own], dtype=np.uint64)))
+            else:
+                out.append(np.empty(0, dtype=np.uint64))
+        held.clear()
+
+    for t in texts:
+        data = (t or "").encode().lower()
+        if size + len(data) > HASH_BYTES:
+            flush()
+            size = 0
+        held.append(data)
+        size += len(data) + 1
+    flush()
+    return out
 
 
 def signature(s: np.ndarray) -> int:
@@ -114,7 +164,7 @@ def count_cells(docs: DataFrame, text: str, n: int) -> tuple[np.ndarray, np.ndar
         import pyarrow as pa
         from pyspark import TaskContext
 
-        known, counts, any_row = _WordHashes(), np.zeros((2, cells), dtype=np.int64), False
+        counts, any_row = np.zeros((2, cells), dtype=np.int64), False
         held: list[np.ndarray] = []
 
         def add() -> None:
@@ -125,14 +175,13 @@ def count_cells(docs: DataFrame, text: str, n: int) -> tuple[np.ndarray, np.ndar
 
         for b in batches:
             for _, texts in texts_of(b, text):
-                held += [shingles(t, n, known) for t in texts]
+                held += shingle_sets(texts, n)
                 if sum(map(len, held)) > cells:
                     any_row = True
                     add()
         if held:
             any_row = any_row or any(map(len, held))
             add()
-        known.clear()
         if any_row:
             salt = TaskContext.get().partitionId() % 64
             small = np.minimum(counts, 65535).astype(np.uint16)
@@ -173,15 +222,14 @@ def describe(docs: DataFrame, key: str, text: str, n: int, num: int, den: int, o
     def run(batches: Iterator[Any]) -> Iterator[Any]:
         import pyarrow as pa
 
-        known, order = _WordHashes(), orders.value
+        order = Orders(*orders.value)
         for b in batches:
             for part, texts in texts_of(b, "text"):
-                sets = [shingles(t, n, known) for t in texts]
+                sets = shingle_sets(texts, n)
                 size = [prefix_length(len(s), num, den) if len(s) else 0 for s in sets]
                 one = [order.prefix(s, m, False).astype(np.int64) for s, m in zip(sets, size, strict=True)]
                 two = [(order.prefix(s, m, True) >> np.uint64(32)).astype(np.uint32).astype(np.int32) for s, m in zip(sets, size, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([signature(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), lists(one, pa.int64()), lists(two, pa.int32())], names=["id", "node", "n", "prefix", "second"])
-        known.clear()
 
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, node long, n long, prefix array<long>, second array<int>")
 
@@ -197,12 +245,10 @@ def _candidates(docs: DataFrame, wanted: DataFrame, key: str, text: str, n: int)
     def run(batches: Iterator[Any]) -> Iterator[Any]:
         import pyarrow as pa
 
-        known = _WordHashes()
         for b in batches:
             for part, texts in texts_of(b, "text"):
                 out: list[list[Any]] = [[], [], []]
-                for node, t in zip(part.column("node").to_pylist(), texts, strict=True):
-                    s = shingles(t, n, known)
+                for node, s in zip(part.column("node").to_pylist(), shingle_sets(texts, n), strict=True):
                     # Another text may bear the same id.
                     if signature(s) == node:
                         halves = s.view(np.uint32).reshape(-1, 2)
@@ -210,7 +256,6 @@ def _candidates(docs: DataFrame, wanted: DataFrame, key: str, text: str, n: int)
                         out[1].append(np.ascontiguousarray(halves[:, 1]).tobytes())
                         out[2].append(np.ascontiguousarray(halves[:, 0]).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["node", "high", "low"])
-        known.clear()
 
     return rows.mapInArrow(run, "node long, high binary, low binary")
 
@@ -259,12 +304,8 @@ class _Verifier:
         self.docs, self.reps, self.at, self.num, self.den, self.repeated = docs, reps, (key, text, n), num, den, repeated
         self.sets: DataFrame | None = None
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """(a, b) of the pairs whose prefixes meet under the second order too and whose sets overlap enough."""
-        second = self.reps.select("node", "second")
-        met = pairs.join(second.select(F.col("node").alias("a"), F.col("second").alias("sa")), "a").join(second.select(F.col("node").alias("b"), F.col("second").alias("sb")), "b")
-        met = store(met.where(F.arrays_overlap("sa", "sb")).select("a", "b"), "join-met")
-        nodes = met.select(F.col("a").alias("node")).unionByName(met.select(F.col("b").alias("node"))).distinct()
+    def ensure(self, nodes: DataFrame) -> DataFrame:
+        """The sets read so far, those of nodes among them."""
         if self.sets is not None:
             nodes = nodes.join(self.sets.select("node"), "node", "left_anti")
         wanted = store(self.reps.select("node", "rep").join(nodes, "node"), "join-wanted")
@@ -272,10 +313,66 @@ class _Verifier:
         # Where rows share an id, a class may be read from several of them.
         fresh = store(fresh.dropDuplicates(["node"]) if self.repeated else fresh, "join-sets")
         self.sets = fresh if self.sets is None else self.sets.unionByName(fresh)
-        likely = store(_overlapping(met, self.sets, self.num, self.den, False), "join-likely")
+        return self.sets
+
+    def settle(self, likely: DataFrame) -> DataFrame:
+        """(a, b) of the sure pairs of (a, b, sure), and of the others those that whole hashes confirm."""
+        likely = store(likely, "join-likely")
         exact = _overlapping(likely.where("not sure").select("a", "b"), self.sets, self.num, self.den, True).select("a", "b")
         return store(likely.where("sure").select("a", "b").unionByName(exact), "join-links")
 
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """(a, b) of the pairs whose prefixes meet under the second order too and whose sets overlap enough."""
+        second = self.reps.select("node", "second")
+        met = pairs.join(second.select(F.col("node").alias("a"), F.col("second").alias("sa")), "a").join(second.select(F.col("node").alias("b"), F.col("second").alias("sb")), "b")
+        met = store(met.where(F.arrays_overlap("sa", "sb")).select("a", "b"), "join-met")
+        self.ensure(met.select(F.col("a").alias("node")).unionByName(met.select(F.col("b").alias("node"))).distinct())
+        return self.settle(_overlapping(met, self.sets, self.num, self.den, False))
+
+    def tiles(self, lists: DataFrame) -> DataFrame:
+        """(a, b) of the links between classes outside their list's main component and classes of other components.
+
+        lists: tok, node, root, main. A tile has a block of a list's outside and a block of all its members, so what is
+        sent grows with blocks, not with pairs; a pair must meet under the second order here too.
+        """
+        num, den = self.num, self.den
+        own = lists.join(self.ensure(lists.select("node").distinct()).select("node", "high"), "node").join(self.reps.select("node", "second"), "node")
+        sizes = lists.groupBy("tok").agg(F.ceil(F.count_if(F.col("root") != F.col("main")) / TILE_REST).alias("nr"), F.ceil(F.count(F.lit(1)) / TILE_ALL).alias("na"))
+        own = own.join(sizes, "tok")
+        block = lambda of: F.pmod(F.xxhash64("node", F.lit(5)), of).cast("int")
+        cols = ["tok", "i", "j", "node", "root", "high", "second"]
+        rest = own.where((F.col("root") != F.col("main")) & (F.col("nr") > 0)).withColumn("i", block(F.col("nr"))).withColumn("j", F.explode(F.sequence(F.lit(0), (F.col("na") - 1).cast("int")))).select(*[F.col(c).alias(f"rest_{c}") for c in cols])
+        every = own.where(F.col("nr") > 0).withColumn("j", block(F.col("na"))).withColumn("i", F.explode(F.sequence(F.lit(0), (F.col("nr") - 1).cast("int")))).select(*cols)
+
+        def tile(left: Any, right: Any) -> Any:
+            import pyarrow as pa
+
+            out: list[list[Any]] = [[], [], []]
+            if len(left) and len(right):
+                sets = [np.frombuffer(x, np.uint32) for x in right.column("high").to_pylist()]
+                seconds = [np.array(x, np.int32) for x in right.column("second").to_pylist()]
+                sizes, nodes, roots = np.array([len(x) for x in sets]), right.column("node").to_numpy(), right.column("root").to_numpy()
+                where, where2 = np.repeat(np.arange(len(sets)), sizes), np.repeat(np.arange(len(sets)), [len(x) for x in seconds])
+                known, place = np.unique(np.concatenate(sets), return_inverse=True)
+                known2, place2 = np.unique(np.concatenate(seconds), return_inverse=True)
+                hit, hit2 = np.zeros(len(known) + 1, dtype=bool), np.zeros(len(known2) + 1, dtype=bool)
+                for node, root, high, second in zip(*(left.column(f"rest_{c}").to_pylist() for c in ("node", "root", "high", "second")), strict=True):
+                    x, y = np.frombuffer(high, np.uint32), np.array(second, np.int32)
+                    at, at2 = np.searchsorted(known, x), np.searchsorted(known2, y)
+                    at, at2 = at[known[np.minimum(at, len(known) - 1)] == x], at2[known2[np.minimum(at2, len(known2) - 1)] == y]
+                    hit[at], hit2[at2] = True, True
+                    shared = np.bincount(where[hit[place]], minlength=len(sets))
+                    meet = np.bincount(where2[hit2[place2]], minlength=len(sets)) > 0
+                    hit[at], hit2[at2] = False, False
+                    for k in np.flatnonzero(meet & (roots != root) & (den * shared >= num * (len(x) + sizes - shared))):
+                        out[0].append(min(node, int(nodes[k])))
+                        out[1].append(max(node, int(nodes[k])))
+                        out[2].append(verdict(int(shared[k]), len(x), int(sizes[k]), num, den, 3) == 2)
+            return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64()), "sure": pa.array(out[2], pa.bool_())})
+
+        keys = ("tok", "i", "j")
+        return self.settle(rest.groupBy(*[f"rest_{k}" for k in keys]).cogroup(every.groupBy(*keys)).applyInArrow(tile, "a long, b long, sure boolean").distinct())
+
 
 def _ordered(u: Any, v: Any) -> list[Any]:
     return [F.least(u, v).alias("a"), F.greatest(u, v).alias("b")]
@@ -293,7 +390,7 @@ def classes_and_links(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     """((id, node, n) of each document, (node, root) of the classes that link with another)."""
     spark = docs.sparkSession
     small_batches(spark)
-    orders = spark.sparkContext.broadcast(Orders(*count_cells(docs, text, n)))
+    orders = spark.sparkContext.broadcast(count_cells(docs, text, n))
     described = store(describe(docs, key, text, n, num, den, orders), "join-docs")
     own = described.select("id", "node", "n")
     classes = described.where(F.col("n") > 0).groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("second").alias("second"))
@@ -333,18 +430,22 @@ def classes_and_links(docs: DataFrame, *, key: str = "doc_id", text: str = "text
             break
         links = links.unionByName(found)
         roots = components(links)
-    # What is left is tested in full: all outside a list's main component against all of other components, each pair in
-    # the first list that both are in.
+    # What is left is tested in full: all outside a list's main component against all of other components. Of short lists
+    # each pair comes from the first list that both are in; long lists are tested in tiles.
     mixed = _mixed(posts, roots)
-    where = mixed.groupBy("node").agg(F.collect_list("tok").alias("toks"))
-    mixed = mixed.join(where, "node")
-    every = mixed.select("tok", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "root", "toks")])
-    met = mixed.where(F.col("root") != F.col("main")).join(every, "tok")
+    lengths = mixed.groupBy("tok").agg(F.count(F.lit(1)).alias("len"))
+    long = store(mixed.join(lengths.where(F.col("len") >= LONG).select("tok"), "tok"), "join-long")
+    found = [verifier.tiles(long.select("tok", "node", "root", "main"))] if long.limit(1).count() else []
+    short = mixed.join(lengths.where(F.col("len") < LONG).select("tok"), "tok")
+    short = short.join(short.groupBy("node").agg(F.collect_list("tok").alias("toks")), "node")
+    every = short.select("tok", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "root", "toks")])
+    met = short.where(F.col("root") != F.col("main")).join(every, "tok")
     both = (F.col("root") != F.col("root2")) & fits(F.col("n"), F.col("n2")) & ((F.col("root2") == F.col("main")) | (F.col("node") < F.col("node2")))
     met = met.where(both & (F.array_min(F.array_intersect("toks", "toks2")) == F.col("tok"))).select(*_ordered(F.col("node"), F.col("node2")))
     rest = store(met.join(tested, ["a", "b"], "left_anti"), "join-pairs")
-    found = verifier.links(rest)
-    return own, components(links.unionByName(found)) if found.limit(1).count() else roots
+    for more in [*found, verifier.links(rest)]:
+        links = links.unionByName(more)
+    return own, components(links)
 
 
 def component_ids(own: DataFrame, roots: DataFrame) -> DataFrame:
@@ -386,9 +487,8 @@ def _node_udf(n: int) -> Any:
     import pyarrow as pa
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = _WordHashes()
         for b in batches:
-            yield pa.array([signature(shingles(t, n, known)) for t in b.to_pylist()], pa.int64())
+            yield pa.array([signature(s) for s in shingle_sets(b.to_pylist(), n)], pa.int64())
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "long")

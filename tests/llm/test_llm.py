@@ -173,6 +173,26 @@ def test_jaccard_brute_force(spark, seed, n, num):
     assert got == brute_join(rows, n, num, 100)
 
 
+@pytest.mark.parametrize("long", [3, 10_000])
+def test_jaccard_large_group(spark, monkeypatch, long):
+    """Near copies of one text, many of which link with few others, by tiles and by pairs."""
+    monkeypatch.setattr(jaccard, "LONG", long)
+    monkeypatch.setattr(jaccard, "TILE_REST", 4)
+    monkeypatch.setattr(jaccard, "TILE_ALL", 16)
+    rng = random.Random(9)
+    vocab = [f"v{i}" for i in range(400)]
+    base = [rng.choice(vocab) for _ in range(60)]
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(rng.randrange(0, 9)):
+            w[rng.randrange(60)] = rng.choice(vocab)
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    own, roots = jaccard.classes_and_links(df, n=3, num=75, den=100)
+    assert {r["id"]: (r["n"], r["component_id"]) for r in jaccard.component_ids(own, roots).collect()} == brute_join(rows, 3, 75, 100)
+
+
 def test_jaccard_odd(spark, odd, empty):
     own, roots = jaccard.classes_and_links(odd, n=3, num=90, den=100)
     got = sorted(((r["id"], r["n"], r["component_id"]) for r in jaccard.component_ids(own, roots).collect()), key=str)
