@@ -49,9 +49,22 @@ def rectified_decision(evidence: Column, meta: Column) -> Column:
     return F.when(evidence.isin(0, 1), evidence).when(meta == 1, 1).when(meta == 0, 0).otherwise(evidence)
 
 
-def capture_age(least: Column, most: Column) -> Column:
-    """A name's age class from its months at first and last sight."""
+def age_class(least: Column, most: Column) -> Column:
+    """Age class of months; -1 counts as missing only where both are. Bins of a year up to three."""
+    fits = lambda low, high: F.coalesce((least >= low) & (least < high) & (most >= low) & (most < high), F.lit(False))
     return (
-        F.when(least.isNull() & most.isNull(), "unknown").when(least.isNull() & (most <= 2), "infant").when(least.isNull(), "unknown").when(most.isNull() & (least >= 36), "adult")
-        .when(most.isNull(), "unknown").when(most <= 5, "infant").when((least >= 3) & (most <= 35), "juvenile").when(least >= 36, "adult").otherwise("mixed")
+        F.when((least.isNull() & most.isNull()) | ((least == -1) & (most == -1)), "UNREVIEWED").when((least.isNull() | (least < 12)) & (most < 12), "FOAL").when(fits(12, 24), "YEARLING").when(fits(24, 36), "2 YEARS")
+        .when((least >= 36) & (most.isNull() | (most >= 36)), "3+ YEARS").otherwise("UNKNOWN")
     )
+
+
+def percent_text(part: Column, whole: Column) -> Column:
+    """A percentage with two places, or undef of nothing."""
+    return F.coalesce(F.when(whole > 0, F.format_string("%06.2f %%", part * 100.0 / whole)), F.lit("undef"))
+
+
+def duration_text(seconds: Column) -> Column:
+    """d:hh:mm:ss; empty without a duration."""
+    s = seconds.cast("long")
+    text = F.format_string("%d:%02d:%02d:%02d", F.floor(s / 86400), F.floor(s / 3600) % 24, F.floor(s / 60) % 60, s % 60)
+    return F.when(s.isNull() | (s < 0), "").otherwise(text)

@@ -12,6 +12,7 @@ from itertools import groupby
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldmark.operators.graph import labelled, positive_components
@@ -281,3 +282,33 @@ def merge_boxes(boxes: DataFrame, least: float, reviewers: int) -> DataFrame:
         return [(own[0].image, min(k.id for k in c), len(c), *(sum(getattr(k, f) for k in c) / len(c) for f in "xywh"), 2 * sum(bool(k.interest) for k in c) > len(c)) for c in clusters if len(c) >= reviewers]
 
     return per_unit(boxes, "image", run, "image long, cluster long, n long, x double, y double, w double, h double, interest boolean")
+
+
+def assign_sequentially(truth: DataFrame, pred: DataFrame, least: float) -> DataFrame:
+    """(image, p, t): predictions, surest first, each take the free truth of their class that they overlap most, if by
+    `least` at least; truth: image, id, cls, x, y, w, h; pred has conf too."""
+    both = truth.withColumn("conf", F.lit(None).cast("double")).withColumn("kind", F.lit("t")).unionByName(pred.withColumn("kind", F.lit("p")))
+
+    def run(own: list[Any]) -> list[tuple[Any, ...]]:
+        free, out = {r.id: r for r in own if r.kind == "t"}, []
+        for r in sorted((r for r in own if r.kind == "p"), key=lambda r: (-r.conf, r.id)):
+            best, at = least, None
+            for t in sorted(free.values(), key=lambda t: t.id):
+                w, h = min(r.x + r.w, t.x + t.w) - max(r.x, t.x), min(r.y + r.h, t.y + t.h) - max(r.y, t.y)
+                o = w * h / (r.w * r.h + t.w * t.h - w * h) if t.cls == r.cls and w > 0 and h > 0 else 0.0
+                if o >= best and o > 0:
+                    best, at = o, t.id
+            if at is not None:
+                out.append((r.image, r.id, free.pop(at).id))
+        return out
+
+    return per_unit(both, "image", run, "image long, p long, t long")
+
+
+def spanning_edges(nodes: DataFrame) -> DataFrame:
+    """(grp, a, b): per group a least spanning tree by time difference; nodes: grp, node, t.
+
+    On a line the tree joins neighbours in time.
+    """
+    last = lambda c: F.lag(c).over(W.partitionBy("grp").orderBy(F.col("t").asc_nulls_last(), "node"))
+    return nodes.withColumn("a", last("node")).where(F.col("a").isNotNull()).select("grp", F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))

@@ -123,3 +123,46 @@ def latest_reviews(log: DataFrame, order: list[Column]) -> DataFrame:
 def collapse(edges: DataFrame, groups: DataFrame) -> DataFrame:
     """(r1, r2, n): the quotient graph by (node, root), edges within a group left out."""
     return labelled(edges, groups).where("r1 <> r2").groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n"))
+
+
+def corrected_priorities(edges: DataFrame, roots: DataFrame, metric: str, negative: str, positive: str) -> DataFrame:
+    """(a, b, priority): below 10, what an edge tells against its state counts: the probability of no match inside a
+    component, of a match between two."""
+    base = priorities(edges, roots, metric).withColumnRenamed("priority", "p")
+    rows = labelled(edges.select("a", "b", negative, positive).dropDuplicates(["a", "b"]), roots).join(base.groupBy("a", "b").agg(F.max("p").alias("p")), ["a", "b"])
+    other = F.when(F.col("r1") == F.col("r2"), F.col(negative)).otherwise(F.col(positive))
+    return rows.select("a", "b", F.when(F.col("p") < 10, F.greatest(other, F.lit(1e-9))).otherwise(F.col("p")).alias("priority"))
+
+
+def confidently_connected(edges: DataFrame, least: int) -> DataFrame:
+    """(node, root): components over match edges of at least this confidence."""
+    return components(edges.where((F.col("state") == "match") & (F.col("confidence") >= least)))
+
+
+def connecting_edges(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, a, b): edges that join the positive components of a name in a chain, by their least nodes; names: node, name."""
+    roots = positive_components(edges)
+    per = names.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).groupBy("name", "root").agg(F.min("node").alias("b"))
+    last = F.lag("b").over(W.partitionBy("name").orderBy("b"))
+    return per.withColumn("a", last).where(F.col("a").isNotNull()).select("name", "a", "b")
+
+
+def negative_candidates(edges: DataFrame, roots: DataFrame, k: int = 2) -> DataFrame:
+    """(a, b): for pairs of components with too few nomatch edges, as many of their unjoined pairs of nodes as are missing.
+
+    Pairs of components are those that an edge joins already; of each component the k nodes of least id are enough.
+    """
+    have = labelled(edges, roots).where("r1 <> r2").groupBy("r1", "r2").agg(F.count_if(F.col("state") == "nomatch").alias("n")).where(F.col("n") < k)
+    few = roots.withColumn("i", F.row_number().over(W.partitionBy("root").orderBy("node"))).where(F.col("i") <= k)
+    left, right = few.select(F.col("root").alias("r1"), F.col("node").alias("x")), few.select(F.col("root").alias("r2"), F.col("node").alias("y"))
+    free = have.join(left, "r1").join(right, "r2").select("r1", "r2", "n", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    free = free.join(edges.select("a", "b"), ["a", "b"], "left_anti")
+    nth = F.row_number().over(W.partitionBy("r1", "r2").orderBy("a", "b"))
+    return free.withColumn("i", nth).where(F.col("i") <= k - F.col("n")).select("a", "b")
+
+
+def auto_review(edges: DataFrame, match: float, nomatch: float, notcomp: float) -> DataFrame:
+    """edges with decision: the state whose probability (p_match, p_nomatch, p_notcomp) passes its threshold; null if none or several do."""
+    passes = [(F.col("p_match") > match), (F.col("p_nomatch") > nomatch), (F.col("p_notcomp") > notcomp)]
+    n = sum(p.cast("int") for p in passes)
+    return edges.withColumn("decision", F.when(n == 1, F.when(passes[0], "match").when(passes[1], "nomatch").otherwise("notcomp")))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldmark.functions.keys import is_known, name_key
+from fieldmark.functions.geo import in_polygon
+from fieldmark.functions.keys import age_class, is_known, name_key
 
 
 def group_by_name(obs: DataFrame, distinguish: bool = True) -> DataFrame:
@@ -120,3 +121,28 @@ def balanced_parts(df: DataFrame, k: int, order: str, size: str) -> DataFrame:
     total = F.sum(size).over(W.partitionBy(F.lit(0)))
     middle = F.sum(size).over(w) - F.col(size) / 2
     return df.withColumn("part", F.least(F.floor(middle * k / total), F.lit(k - 1)).cast("int"))
+
+
+def geofence(rows: DataFrame, areas: dict[str, list[tuple[float, float]]]) -> DataFrame:
+    """rows with area: the first, by name, of the polygons of (lat, lon) corners that a row lies in."""
+    area = F.lit(None).cast("string")
+    for name in sorted(areas, reverse=True):
+        area = F.when(in_polygon(F.col("lat"), F.col("lon"), areas[name]), name).otherwise(area)
+    return rows.withColumn("area", area)
+
+
+def demographics(ages: DataFrame) -> DataFrame:
+    """(nid, age): a name's age class from its observations' age_min and age_max in months; AMBIGUOUS if they differ."""
+    seen = lambda c: F.count_distinct(F.coalesce(c, F.lit(-999)))
+    per = ages.groupBy("nid").agg(seen("age_min").alias("a"), seen("age_max").alias("b"), F.min("age_min").alias("low"), F.min("age_max").alias("high"))
+    return per.select("nid", F.when((F.col("a") > 1) | (F.col("b") > 1), "AMBIGUOUS").otherwise(age_class(F.col("low"), F.col("high"))).alias("age"))
+
+
+def alternatives(names: DataFrame) -> DataFrame:
+    """(item, name, alias): of the names that an item is listed under the first in order that is known; others as alias."""
+    known = F.col("name") != "____"
+    w = W.partitionBy("item").orderBy((~known).cast("int"), "pos", "name")
+    first = names.withColumn("_i", F.row_number().over(w))
+    own = first.where(F.col("_i") == 1).select("item", "name")
+    rest = first.where((F.col("_i") > 1) & known).groupBy("item").agg(F.array_join(F.array_sort(F.array_distinct(F.collect_list("name"))), ";").alias("alias"))
+    return own.join(rest, "item", "left").select("item", "name", F.coalesce("alias", F.lit("")).alias("alias"))

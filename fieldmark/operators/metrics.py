@@ -87,3 +87,68 @@ def assign_boxes(overlaps: DataFrame, truth: DataFrame, pred: DataFrame, least:
     won = best.withColumn("_m", F.row_number().over(W.partitionBy("image", "t").orderBy(F.desc("conf"), "p"))).where("_m = 1")
     tp = won.agg(F.count(F.lit(1)).alias("tp"))
     return tp.crossJoin(pred.agg(F.count(F.lit(1)).alias("_p"))).crossJoin(truth.agg(F.count(F.lit(1)).alias("_t"))).select("tp", (F.col("_p") - F.col("tp")).alias("fp"), (F.col("_t") - F.col("tp")).alias("fn"))
+
+
+def rank_histogram(ranks: DataFrame, edges: list[int]) -> DataFrame:
+    """(config, bin, n): queries by rank in bins [edge, next), the last one closed."""
+    last = len(edges) - 2
+    which = F.when(F.col("rank") == edges[-1], last)
+    for i, (low, high) in enumerate(zip(edges, edges[1:], strict=False)):
+        which = which.when((F.col("rank") >= low) & (F.col("rank") < high), i)
+    return ranks.withColumn("bin", which).where(F.col("bin").isNotNull()).groupBy("config", "bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+def less_than(ranks: DataFrame, limits: list[int]) -> DataFrame:
+    """One row per config: how many ranks lie below each limit."""
+    return ranks.groupBy("config").agg(*[F.count_if(F.col("rank") < x).alias(f"below_{x}") for x in limits])
+
+
+def config_overlap(ranks: DataFrame, most: int) -> DataFrame:
+    """(a, b, both, either): queries that two configs, or one of them, answer by this rank; ranks: config, query, rank."""
+    won = ranks.where(F.col("rank") <= most).select("config", "query").distinct()
+    sizes = won.groupBy("config").agg(F.count(F.lit(1)).alias("n"))
+    both = won.select(F.col("config").alias("a"), "query").join(won.select(F.col("config").alias("b"), "query"), "query").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"))
+    both = both.join(sizes.select(F.col("config").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("config").alias("b"), F.col("n").alias("nb")), "b")
+    return both.select("a", "b", "both", (F.col("na") + F.col("nb") - F.col("both")).alias("either"))
+
+
+def differing(ranks: DataFrame) -> DataFrame:
+    """Queries whose rank is not the same under all configs."""
+    return ranks.groupBy("query").agg(F.min("rank").alias("best"), F.max("rank").alias("worst")).where("best <> worst")
+
+
+def ensemble(votes: DataFrame, hard: bool = False) -> DataFrame:
+    """(sample, cls, score): the class of greatest weighted mean probability, or of most weighted votes; ties to the least.
+
+    votes: model, sample, cls, p, weight.
+    """
+    if hard:
+        top = F.row_number().over(W.partitionBy("model", "sample").orderBy(F.desc("p"), "cls"))
+        sums = votes.withColumn("_i", top).where(F.col("_i") == 1).groupBy("sample", "cls").agg(F.sum("weight").alias("score"))
+    else:
+        sums = votes.groupBy("sample", "cls").agg((F.sum(F.col("p") * F.col("weight")) / F.sum("weight")).alias("score"))
+    return sums.withColumn("_i", F.row_number().over(W.partitionBy("sample").orderBy(F.desc("score"), "cls"))).where(F.col("_i") == 1).drop("_i")
+
+
+def predict_with_thresholds(pred: DataFrame, thresholds: list[float], force: bool = False, multi: bool = True) -> DataFrame:
+    """pred with cls: of the classes of array p those over their thresholds; none: null, or the likeliest if forced;
+    several: the likeliest, or null unless multi."""
+    over = F.size(F.filter(F.arrays_zip(F.col("p").alias("p"), F.array(*[F.lit(t) for t in thresholds]).alias("t")), lambda x: x["p"] > x["t"]))
+    passed = F.transform(F.arrays_zip(F.col("p").alias("p"), F.array(*[F.lit(t) for t in thresholds]).alias("t")), lambda x: F.when(x["p"] > x["t"], x["p"]).otherwise(-1.0))
+    best, likeliest = F.array_position(passed, F.array_max(passed)) - 1, F.array_position("p", F.array_max("p")) - 1
+    chosen = F.when(over == 0, likeliest if force else F.lit(None)).when((over == 1) | F.lit(multi), best)
+    return pred.withColumn("cls", chosen.cast("int"))
+
+
+def hardness(pred: DataFrame) -> DataFrame:
+    """(sample, margin, failed): the true class's probability less the greatest of the others; pred: sample, truth, p."""
+    p, t = F.col("p"), F.col("truth")
+    others = F.filter(F.transform(p, lambda x, i: F.when(i != t, x)), lambda x: x.isNotNull())
+    margin = F.element_at(p, t + 1) - F.array_max(others)
+    return pred.select("sample", margin.alias("margin"), (margin < 0).alias("failed"))
+
+
+def trapezoid(curve: DataFrame, x: str, y: str) -> DataFrame:
+    """One row: area under a curve by trapezoids in order of x."""
+    w = W.orderBy(x, y)
+    return curve.select(((F.col(x) - F.lag(x).over(w)) * (F.col(y) + F.lag(y).over(w)) / 2).alias("a")).agg(F.sum("a").alias("area"))

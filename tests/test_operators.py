@@ -277,3 +277,45 @@ def test_sources(spark, tmp_path):
     assert one(spark, tables.name_from_path(F.col("p"), ["/([a-z]+)_[0-9]+\\.jpg$", "/([a-z]+)/[^/]+$"]), p="/x/unknown/a_1.jpg") == "a"
     assert one(spark, tables.normal_name(F.col("p")), p="Unknown") == "____"
     assert tables.read_files(spark, str(tmp_path), "*.xml").first()["name"] == "w.xml"
+
+
+def test_derived_tables(spark, tmp_path):
+    from fieldmark.operators import derived
+
+    calls = []
+
+    @derived.derivation("twice", "k", by=2)
+    def twice(rows, by):
+        calls.append(rows.count())
+        return rows.select("k", (F.col("k") * by).alias("v"))
+
+    rows = spark.range(5).select(F.col("id").alias("k"))
+    folder = f"file://{tmp_path}"
+    assert sorted(r["v"] for r in twice.get(rows.where("k < 3"), folder).collect()) == [0, 2, 4]
+    assert sorted(r["v"] for r in twice.get(rows, folder).collect()) == [0, 2, 4, 6, 8] and calls == [3, 2]
+    assert sorted(r["v"] for r in twice.get(rows, folder, by=3).collect()) == [0, 3, 6, 9, 12]
+    with pytest.raises(TypeError):
+        twice.config(by="x")
+    with pytest.raises(KeyError):
+        twice.config(other=1)
+    got = derived.model_scores(rows, "k", lambda xs: [x + 0.5 for x in xs]).collect()
+    assert all(r["score"] == r["k"] + 0.5 for r in got)
+
+
+def test_thresholds_and_hardness(spark):
+    df = spark.createDataFrame([(1, 0, [0.6, 0.3]), (2, 1, [0.6, 0.55]), (3, 0, [0.1, 0.2])], "sample int, truth int, p array<double>")
+    pick = lambda **k: [r["cls"] for r in metrics.predict_with_thresholds(df, [0.5, 0.5], **k).orderBy("sample").collect()]
+    assert pick() == [0, 0, None] and pick(force=True) == [0, 0, 1] and pick(multi=False) == [0, None, None]
+    assert [(round(r["margin"], 3), r["failed"]) for r in metrics.hardness(df).orderBy("sample").collect()] == [(0.3, False), (-0.05, True), (-0.1, True)]
+
+
+def test_age_class(spark):
+    rows = [(None, None, "UNREVIEWED"), (-1, -1, "UNREVIEWED"), (None, 3, "FOAL"), (0, 11, "FOAL"), (12, 23, "YEARLING"), (24, 35, "2 YEARS"), (36, None, "3+ YEARS"), (40, 50, "3+ YEARS"), (3, 30, "UNKNOWN")]
+    df = spark.createDataFrame([(a, b) for a, b, _ in rows], "a int, b int")
+    assert [r["v"] for r in df.select(keys.age_class(F.col("a"), F.col("b")).alias("v")).collect()] == [c for _, _, c in rows]
+
+
+def test_assign_sequentially(spark):
+    t = spark.createDataFrame([(1, 1, "a", 0.0, 0.0, 10.0, 10.0), (1, 2, "a", 5.0, 0.0, 10.0, 10.0)], "image long, id long, cls string, x double, y double, w double, h double")
+    p = spark.createDataFrame([(1, 7, "a", 1.0, 0.0, 10.0, 10.0, 0.9), (1, 8, "a", 0.0, 0.0, 10.0, 10.0, 0.8), (1, 9, "b", 0.0, 0.0, 10.0, 10.0, 0.7)], "image long, id long, cls string, x double, y double, w double, h double, conf double")
+    assert sorted((r["p"], r["t"]) for r in components_deep.assign_sequentially(t, p, 0.3).collect()) == [(7, 1), (8, 2)]
