@@ -1,16 +1,19 @@
-"""Helpers shared by the corpus operators: table reading, words, lineage cutting."""
+"""Helpers shared by the corpus operators: words, batches, folds; tables and lineage come from the library."""
 
 from __future__ import annotations
 
-import os
 import re
-import uuid
 from collections.abc import Iterator
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldmark.lineage import fresh_path, release, shared_dir, store
+from fieldmark.sources.tables import table
+
+__all__ = ["fresh_path", "release", "shared_dir", "store", "table"]
+
 #: A word is a run of anything but space, tab, LF, VT, FF and CR.
 WORD = "[^\\x20\\x09-\\x0D]+"
 GAP = "[\\x20\\x09-\\x0D]+"
@@ -21,10 +24,6 @@ _WORD = re.compile(WORD)
 _ODD_SPACES = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def fold(text: str) -> str:
     """Lower-case A-Z only."""
     return text.encode().lower().decode()
@@ -40,33 +39,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"file:///tmp/checkpoints/fieldmark-{os.getpid()}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/fieldmark/{label}-{uuid.uuid4().hex}"
-
-
-def store(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back. Survives lost executors."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete every table stored by this library under the shared folder. Call when no result is read any more."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/fieldmark")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Let Arrow batches hold fewer rows than usual, for whole texts are long; a smaller setting stays."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

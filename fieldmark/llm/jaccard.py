@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmark.llm._base import fresh_name, small_batches, store, table, texts_of
-from fieldmark.llm.graph import components
+from fieldmark.operators.graph import components
 
 #: Rounds in which lists are linked to one member before what is left is tested in full.
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
 #: Lists of at least so many classes are tested in tiles: blocks of what is outside the main component by blocks of all.
 LONG = 128
 TILE_REST, TILE_ALL = 256, 2048
