@@ -44,7 +44,7 @@ PATTERNS = {
     "secret": "(?:AKIA|ASIA)[A-Z0-9]{16}|(?:sk|pk|ghp|xox[bp])[-_][A-Za-z0-9_-]{16,}|(?:[0-9]+[a-f]|[a-f]+[0-9])[0-9a-f]{30,}",
     "ssn": "[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "card": "[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}",
-    "phone": "(?:\\+[0-9]{1,3}[ .-]?)?\\(?[0-9]{2,4}\\)?(?:[ .-][0-9]{2,4}){1,3}[0-9]?|\\+[0-9]{8,14}",
+    "phone": "\\+[0-9]{1,3}[ .-]?\\(?[0-9]{2,4}\\)?(?:[ .-]?[0-9]{2,4}){1,3}|\\+[0-9]{8,14}|\\([0-9]{3}\\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}",
     "name": f"(?:{FEMALE_TITLES}|{MALE_TITLES}|{NEUTRAL_TITLES})\\.? {_CAPITAL}(?: {_CAPITAL})?|(?:{_FIRST}) {_CAPITAL}",
 }
 PATTERN = "(?<![\\p{L}\\p{N}@.+-])(?:" + "|".join(PATTERNS.values()) + ")(?![\\p{L}\\p{N}@])"
