@@ -430,18 +430,20 @@ def classes_and_links(docs: DataFrame, *, key: str = "doc_id", text: str = "text
             break
         links = links.unionByName(found)
         roots = components(links)
-    # What is left is tested in full: all outside a list's main component against all of other components. Of short lists
-    # each pair comes from the first list that both are in; long lists are tested in tiles.
+    # What is left is tested in full: all outside a list's main component against all of other components. Long lists
+    # are tested in tiles.
     mixed = _mixed(posts, roots)
     lengths = mixed.groupBy("tok").agg(F.count(F.lit(1)).alias("len"))
     long = store(mixed.join(lengths.where(F.col("len") >= LONG).select("tok"), "tok"), "join-long")
     found = [verifier.tiles(long.select("tok", "node", "root", "main"))] if long.limit(1).count() else []
     short = mixed.join(lengths.where(F.col("len") < LONG).select("tok"), "tok")
     short = short.join(short.groupBy("node").agg(F.collect_list("tok").alias("toks")), "node")
-    every = short.select("tok", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "root", "toks")])
+    # A pair comes from the first list that both are in: one that they share no earlier list with.
+    short = short.withColumn("earlier", F.filter("toks", lambda t: t < F.col("tok"))).drop("toks")
+    every = short.select("tok", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "root", "earlier")])
     met = short.where(F.col("root") != F.col("main")).join(every, "tok")
     both = (F.col("root") != F.col("root2")) & fits(F.col("n"), F.col("n2")) & ((F.col("root2") == F.col("main")) | (F.col("node") < F.col("node2")))
-    met = met.where(both & (F.array_min(F.array_intersect("toks", "toks2")) == F.col("tok"))).select(*_ordered(F.col("node"), F.col("node2")))
+    met = met.where(both & ~F.arrays_overlap("earlier", "earlier2")).select(*_ordered(F.col("node"), F.col("node2")))
     rest = store(met.join(tested, ["a", "b"], "left_anti"), "join-pairs")
     for more in [*found, verifier.links(rest)]:
         links = links.unionByName(more)
