@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm._base import fresh_name, small_batches, store, table, texts_of
+from fieldmark.llm._base import free_shuffles, fresh_name, small_batches, store, table, texts_of
 from fieldmark.operators.graph import components
 
 #: Rounds in which lists are linked to one member before what is left is tested in full.
@@ -395,10 +395,12 @@ def classes_and_links(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     own = described.select("id", "node", "n")
     classes = described.where(F.col("n") > 0).groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("second").alias("second"))
     reps = store(classes.where(F.col("rep").isNotNull()), "join-classes")
+    free_shuffles(spark)
     posts = reps.select("node", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("tok"))
     # Names of sets are hashes, so the least of a list is drawn at random, and alike in lists that share members.
     lists = posts.groupBy("tok").agg(F.count(F.lit(1)).alias("len"), F.min("node").alias("lead")).where(F.col("len") > 1)
     posts = store(posts.join(lists.select("tok", "lead", "len"), "tok"), "join-posts")
+    free_shuffles(spark)
     repeated = own.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count() > 0
     verifier = _Verifier(docs, reps, key, text, n, num, den, repeated)
     fits = lambda x, y: F.least(x, y) * den >= F.greatest(x, y) * num
@@ -407,6 +409,7 @@ def classes_and_links(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     tested = store(star.join(sizes, "lead").where(fits(F.col("n"), F.col("lead_n"))).select(*_ordered(F.col("node"), F.col("lead"))).distinct(), "join-pairs")
     links = verifier.links(tested)
     roots = components(links)
+    free_shuffles(spark)
     # The pairs of lists of two are all tested.
     posts = posts.where(F.col("len") > 2).select("tok", "node", "n")
     for turn in range(STAR_ROUNDS):
@@ -430,6 +433,7 @@ def classes_and_links(docs: DataFrame, *, key: str = "doc_id", text: str = "text
             break
         links = links.unionByName(found)
         roots = components(links)
+    free_shuffles(spark)
     # What is left is tested in full: all outside a list's main component against all of other components. Long lists
     # are tested in tiles.
     mixed = _mixed(posts, roots)
