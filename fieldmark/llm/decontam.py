@@ -1,11 +1,14 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-Texts become sequences of template words: numbers, names (capitalised words within a sentence) and units (after a
+Texts become sequences of template words: numbers (in digits or words), names (capitalised words) and units (after a
 number) turn into typed placeholders that keep their value beside them; all else is lower-cased and stripped of
-punctuation. Windows of WINDOW template words are hashed and joined with those of the benchmark's items. Windows that
-meet on the same alignment of a document with an item are added up; where they cover enough words, the slots of the
-covered span must match one to one: the same value in the item stands for the same value in the document, and different
-ones for different ones. So a question is found again when its numbers, names or units have been changed throughout.
+punctuation. Windows of WINDOW words are hashed and joined with those of the benchmark's items: a document's as template
+and by its values, an item's by its values and with each capitalised word both as a name and as a plain word. Windows
+that meet on the same alignment of a document with an item are added up; where they cover enough words, the slots that
+they cover must match one to one: the same value in the item stands for the same value in the document, and different
+ones for different ones. So a question is found again when its numbers, names or units have been changed throughout. A
+capitalised word that opens a sentence may be no name: where slots do not match, the alignment is judged again by the
+windows in which such words are equal, and by those in which all values are.
 
 Scale: every window of every text is looked at; a document's matches are combined before the shuffle. Benchmark windows
 are broadcast up to BROADCAST_WINDOWS rows, beyond that joined by shuffle; documents that match are read again to check
@@ -30,21 +33,39 @@ WINDOW = 8
 COVERED = 13
 BROADCAST_WINDOWS = 500_000
 BROADCAST_DOCS = 1_000_000
-_NUMBER, _NAME, _UNIT = "\ue000", "\ue001", "\ue002"
+#: _OPEN is a capitalised word that does not stand within a sentence.
+_NUMBER, _NAME, _UNIT, _OPEN = "\ue000", "\ue001", "\ue002", "\ue003"
 #: The first character after the marks.
-_AFTER = "\ue003"
+_AFTER = "\ue004"
 #: Fixed values.
 UNITS = "km|cm|mm|m|kg|mg|g|lbs|lb|oz|ml|l|mph|kmh|hours|hour|minutes|minute|seconds|second|days|day|weeks|week|months|month|years|year|meters|meter|metres|metre|miles|mile|feet|foot|inches|inch|dollars|dollar|euros|euro|cents|cent|pounds|pound|percent|degrees|degree|liters|liter|litres|litre|grams|gram|kilometers|kilometres|kilograms"
 
 
-def template_words(text: Column) -> Column:
-    """Words of a text; placeholders are a mark of their type and their value."""
-    t = F.regexp_replace(text, f"[{_NUMBER}-{_UNIT}]", " ")
+_ONES = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
+_TEENS = ("ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen")
+_TENS = ("twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety")
+_BIG = {"hundred": 100, "thousand": 1000, "million": 10**6, "billion": 10**9}
+#: Number words, those of two words written as one, with their values.
+_BELOW_100 = dict(zip(("zero", *_ONES, *_TEENS), range(20), strict=True)) | {t + o: 20 + 10 * i + j for i, t in enumerate(_TENS) for j, o in enumerate(("", *_ONES))}
+NUMBER_WORDS = _BELOW_100 | {w + big: n * x for w, n in _BELOW_100.items() for big, x in _BIG.items()}
+_WORD = "\\p{L}\\p{N}"
+_LAST = f"(?![{_WORD}])"
+_NUMBERS = (
+    f"(?<![{_WORD}{_NAME}{_OPEN}])[{_NAME}{_OPEN}]?(?=[0-9eofnstz])(?:(?:({'|'.join(_TENS)})(?: ({'|'.join(_ONES)}))?|({'|'.join(('zero', *_ONES, *_TEENS))}))(?: ({'|'.join(_BIG)}))?{_LAST}"
+    f"|([0-9]+)(?: ({'|'.join(_BIG)}){_LAST}|(?=(?:{UNITS})?{_LAST})))"
+)
+
+
+def template_words(text: Column, openers: bool = False) -> Column:
+    """Words of a text; placeholders are a mark of their type and their value. With openers, names that do not stand within a sentence get a mark of their own."""
+    t = F.regexp_replace(text, f"[{_NUMBER}-{_OPEN}]", " ")
     t = F.regexp_replace(t, "(?<=[0-9])[.,:](?=[0-9])", "")
-    t = F.regexp_replace(t, "(?<=[\\p{Ll},;] )(\\p{Lu}\\p{Ll}+)", _NAME + "$1")
-    t = F.regexp_replace(t, f"([0-9]) ?({UNITS})(?![\\p{{L}}\\p{{N}}])", "$1 " + _UNIT + "$2")
-    t = F.regexp_replace(F.lower(t), f"[^\\p{{L}}\\p{{N}}{_NAME}{_UNIT}]+", " ")
-    t = F.regexp_replace(t, f"(?<![\\p{{L}}\\p{{N}}{_NAME}{_UNIT}])([0-9]+)(?![\\p{{L}}\\p{{N}}])", _NUMBER + "$1")
+    if openers:
+        t = F.regexp_replace(t, "(?<=[\\p{Ll},;] )(\\p{Lu}\\p{Ll}+)", _NAME + "$1")
+    t = F.regexp_replace(t, f"(?<![{_WORD}{_NAME}])(\\p{{Lu}}\\p{{Ll}}+)", (_OPEN if openers else _NAME) + "$1")
+    t = F.regexp_replace(F.lower(t), f"[^{_WORD}{_NAME}{_OPEN}]+", " ")
+    t = F.regexp_replace(t, _NUMBERS, _NUMBER + "$1$2$3$4$5$6")
+    t = F.regexp_replace(t, f"({_NUMBER}[0-9a-z]+?) ?({UNITS}){_LAST}", "$1 " + _UNIT + "$2")
     return F.array_remove(F.split(t, " "), "")
 
 
@@ -53,15 +74,55 @@ def _let(value: Column, then: Any) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def _mark(w: Column) -> Column:
-    return F.when((w >= _NUMBER) & (w < _AFTER), F.substring(w, 1, 1)).otherwise(w)
+def _marked(w: Column) -> Column:
+    return (w >= _NUMBER) & (w < _AFTER)
+
+
+def _kind(w: Column) -> Column:
+    """The mark of a placeholder, empty for other words."""
+    return F.when(_marked(w), F.translate(F.substring(w, 1, 1), _OPEN, _NAME)).otherwise("")
+
+
+def _value(w: Column) -> Column:
+    return F.when(_marked(w), F.substring(w, 2, 1 << 30)).otherwise(w)
+
+
+def _hashes(words: Column) -> Column:
+    """(t, v) of each word: hashes of the word as part of a template, and of its value."""
+    return F.transform(words, lambda w: F.struct(F.xxhash64(F.when(_marked(w), _kind(w)).otherwise(w)).alias("t"), F.xxhash64(_value(w)).alias("v")))
+
+
+def _starts(words: Column, size: int) -> Column:
+    return F.sequence(F.lit(1), F.greatest(F.size(words) - (size - 1), F.lit(1)))
 
 
 def windows(words: Column, size: int) -> Column:
-    """Hashes of all runs of `size` template words; null if there are fewer words."""
-    hashed = F.transform(words, lambda w: F.xxhash64(_mark(w)))
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (size - 1), F.lit(1)))
-    return F.when(F.size(words) >= size, _let(hashed, lambda h: F.transform(starts, lambda i: F.xxhash64(F.slice(h, i, size)))))
+    """Of all runs of `size` words the hashes as a template and by values, once if they agree; null if there are fewer words."""
+
+    def run(h: Column, i: Column) -> Column:
+        return _let(F.slice(h, i, size), lambda x: F.array_distinct(F.array(F.xxhash64(x["t"]), F.xxhash64(x["v"]))))
+
+    return F.when(F.size(words) >= size, _let(_hashes(words), lambda h: F.transform(_starts(words, size), lambda i: run(h, i))))
+
+
+def readings(words: Column, size: int) -> Column:
+    """Of all runs of `size` words of an item the hashes of its readings with at least half literal words: by values, and with each name both as it is and as a placeholder."""
+    name = lambda w: _kind(w) == _NAME
+    each = F.transform(words, lambda w: F.struct(F.xxhash64(F.when(_marked(w), _kind(w)).otherwise(w)).alias("t"), F.xxhash64(_value(w)).alias("v"), name(w).alias("name"), _marked(w).alias("slot")))
+
+    def grow(held: Column, x: Column) -> Column:
+        literal = F.transform(held, lambda a: F.struct(F.array_append(a["h"], x["v"]).alias("h"), (a["n"] + 0).alias("n")))
+        slot = F.filter(F.transform(held, lambda a: F.struct(F.array_append(a["h"], x["t"]).alias("h"), (a["n"] + 1).alias("n"))), lambda a: a["n"] * 2 <= size)
+        return F.when(x["name"], F.concat(literal, slot)).when(x["slot"], slot).otherwise(literal)
+
+    def run(h: Column, i: Column) -> Column:
+        part = F.slice(h, i, size)
+        none = F.array(F.struct(F.array().cast("array<bigint>").alias("h"), F.lit(0).alias("n")))
+        few = F.size(F.filter(part, lambda x: x["slot"])) * 2 <= size
+        exact = F.when(few, F.array(F.xxhash64(F.transform(part, lambda x: x["v"])))).otherwise(F.array().cast("array<bigint>"))
+        return F.array_union(exact, F.transform(F.aggregate(part, none, grow), lambda a: F.xxhash64(a["h"])))
+
+    return F.when(F.size(words) >= size, _let(each, lambda h: F.transform(_starts(words, size), lambda i: run(h, i))))
 
 
 def row_key(key: Column, text: Column) -> Column:
@@ -69,10 +130,46 @@ def row_key(key: Column, text: Column) -> Column:
 
 
 def _benchmark(items: DataFrame, window: int) -> DataFrame:
-    words = items.where(F.col("text").isNotNull()).select("item_id", template_words(F.col("text")).alias("item"))
+    words = items.where(F.col("text").isNotNull()).select("item_id", template_words(F.col("text"), openers=True).alias("item"))
     return store(words.where(F.size("item") > 0).withColumn("len", F.least(F.size("item"), F.lit(window))), "leak-items")
 
 
+def _covered(ats: Column) -> Column:
+    """Words that windows cover: each adds what lies beyond the one before it."""
+    return F.aggregate(ats, F.struct(F.lit(0).alias("n"), F.lit(-1).alias("end")), lambda s, a: F.struct((s["n"] + a + F.col("len") - F.greatest(a, s["end"])).alias("n"), (a + F.col("len")).alias("end")))["n"]
+
+
+def _pair(i: Column, d: Column) -> Column:
+    """An item's word beside the document's: type if both have it, values, and whether either opens a sentence."""
+    words = F.create_map(*[F.lit(x) for w, n in NUMBER_WORDS.items() for x in (w, str(n))])
+    value = lambda w: F.when(_kind(w) == _NUMBER, F.coalesce(F.try_element_at(words, _value(w)), _value(w))).otherwise(_value(w))
+    opens = lambda w: _marked(w) & (w >= _OPEN)
+    return F.struct(F.when(_kind(i) == _kind(d), _kind(i)).otherwise("").alias("kind"), value(i).alias("i"), value(d).alias("d"), (opens(i) | opens(d)).alias("open"))
+
+
+#: What two words must be for a window to count: equal, or of one type; openers equal; all equal.
+RULES = (
+    lambda p: (p["i"] == p["d"]) | (p["kind"] != ""),
+    lambda p: (p["i"] == p["d"]) | ((p["kind"] != "") & ~p["open"]),
+    lambda p: p["i"] == p["d"],
+)
+
+
+def _judged(rule: Any) -> Column:
+    """(covered, slots, changed, one_to_one) of an alignment by the windows that meet the rule."""
+    part = lambda a: F.slice("pairs", a - F.col("first") + 1, F.col("len"))
+
+    def of(ats: Column) -> Column:
+        seen = F.array_distinct(F.flatten(F.transform(ats, part)))
+        return _let(F.filter(seen, lambda p: (p["kind"] != "") & ~(p["open"] & (p["i"] == p["d"]))), lambda slots: judge(ats, slots))
+
+    def judge(ats: Column, slots: Column) -> Column:
+        n = lambda *names: F.size(F.array_distinct(F.transform(slots, lambda p: F.struct(p["kind"], *[p[x] for x in names]))))
+        return F.struct(_covered(ats).alias("covered"), F.size(slots).alias("slots"), F.exists(slots, lambda p: p["i"] != p["d"]).alias("changed"), ((n("i", "d") == n("i")) & (n("i", "d") == n("d"))).alias("one_to_one"))
+
+    return _let(F.filter("ats", lambda a: F.forall(part(a), rule)), of)
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW, covered: int = COVERED) -> DataFrame:
     """One row per document (by id and text) and item that it holds: row, key, item_id, covered, item_words, coverage, slots, changed."""
     bench = _benchmark(items, window)
@@ -81,33 +178,29 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text:
     words = texts.select("_key", "row", template_words(F.col("text")).alias("words"))
     found = None
     for n in lengths:
-        literal = F.size(F.filter(F.slice("item", F.col("at") + 1, n), lambda w: (w < _NUMBER) | (w >= _AFTER)))
-        own = bench.where(F.col("len") == n).select("item_id", "item", F.posexplode(windows(F.col("item"), n)).alias("at", "w"))
-        own = store(own.where(literal * 2 >= n).select("item_id", "at", "w"), "leak-windows")
+        own = bench.where(F.col("len") == n).select("item_id", F.posexplode(readings(F.col("item"), n)).alias("at", "w"))
+        own = store(own.select("item_id", "at", F.explode("w").alias("w")), "leak-windows")
         side = F.broadcast(own) if own.count() <= BROADCAST_WINDOWS else own
-        seen = words.select("_key", "row", F.posexplode(windows(F.col("words"), n)).alias("pos", "w")).join(side, "w")
-        # Overlapping windows cover their span once: each adds what lies beyond the one before it.
+        seen = words.select("_key", "row", F.posexplode(windows(F.col("words"), n)).alias("pos", "w")).select("_key", "row", "pos", F.explode("w").alias("w")).join(side, "w")
         runs = seen.groupBy("_key", "row", "item_id", (F.col("pos") - F.col("at")).alias("shift")).agg(F.sort_array(F.collect_set("at")).alias("ats"), F.lit(n).alias("len"))
         found = runs if found is None else found.unionByName(runs)
     if found is None:
         found = docs.select(F.col(key).alias("_key"), F.lit(0).cast("long").alias("row"), F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("shift"), F.array().cast("array<int>").alias("ats"), F.lit(0).alias("len")).limit(0)
-    spans = F.aggregate("ats", F.struct(F.lit(0).alias("n"), F.lit(-1).alias("end")), lambda s, a: F.struct((s["n"] + a + F.col("len") - F.greatest(a, s["end"])).alias("n"), (a + F.col("len")).alias("end")))
-    found = found.withColumn("covered", spans["n"]).withColumn("first", F.element_at("ats", 1)).withColumn("last", F.element_at("ats", -1) + F.col("len"))
+    found = found.withColumn("covered", _covered(F.col("ats"))).withColumn("first", F.element_at("ats", 1)).withColumn("last", F.element_at("ats", -1) + F.col("len"))
     few_items = bench.count() <= BROADCAST_WINDOWS // 10
-    found = found.join(F.broadcast(bench.drop("len")) if few_items else bench.drop("len"), "item_id").where(F.col("covered") >= F.least(F.lit(covered), F.size("item")))
-    found = store(found.drop("ats"), "leak-found")
+    enough = F.least(F.lit(covered), F.size("item"))
+    found = found.join(F.broadcast(bench.drop("len")) if few_items else bench.drop("len"), "item_id").where(F.col("covered") >= enough)
+    found = store(found.drop("covered"), "leak-found")
     rows = found.select("row").distinct()
     pick = F.broadcast(rows) if found.count() <= BROADCAST_DOCS else rows
-    again = texts.join(pick, "row", "left_semi").dropDuplicates(["row"]).select("row", template_words(F.col("text")).alias("words"))
+    again = texts.join(pick, "row", "left_semi").dropDuplicates(["row"]).select("row", template_words(F.col("text"), openers=True).alias("words"))
     span = lambda c, start: F.slice(c, start, F.col("last") - F.col("first"))
-    pairs = F.arrays_zip(span("item", F.col("first") + 1).alias("i"), span("words", F.col("first") + F.col("shift") + 1).alias("d"))
-    both = found.join(again, "row").withColumn("pairs", pairs)
-    slots = F.filter("pairs", lambda p: (p["i"] >= _NUMBER) & (p["i"] < _AFTER) & (F.substring(p["i"], 1, 1) == F.substring(p["d"], 1, 1)))
-    both = both.withColumn("slots", slots)
-    n = F.size(F.array_distinct("slots"))
-    one_to_one = (n == F.size(F.array_distinct(F.transform("slots", lambda p: p["i"])))) & (n == F.size(F.array_distinct(F.transform("slots", lambda p: p["d"]))))
-    both = both.where(one_to_one).withColumn("changed", F.exists("slots", lambda p: p["i"] != p["d"]))
-    best = both.groupBy("row", "_key", "item_id").agg(F.max(F.struct("covered", F.size("item").alias("item_words"), F.size("slots").alias("n"), "changed")).alias("b"))
+    pairs = F.zip_with(span("item", F.col("first") + 1), span("words", F.col("first") + F.col("shift") + 1), _pair)
+    both = found.join(again, "row").withColumn("pairs", F.transform(pairs, lambda p, k: p.withField("k", k)))
+    both = both.withColumn("judged", F.array(*[_judged(rule) for rule in RULES]))
+    both = both.withColumn("judged", F.array_max(F.filter("judged", lambda j: j["one_to_one"] & (j["covered"] >= enough)))).where(F.col("judged").isNotNull())
+    both = both.select("row", "_key", "item_id", "item", F.col("judged.covered").alias("covered"), F.col("judged.slots").alias("n"), F.col("judged.changed").alias("changed"))
+    best = both.groupBy("row", "_key", "item_id").agg(F.max(F.struct("covered", F.size("item").alias("item_words"), "n", "changed")).alias("b"))
     return best.select("row", F.col("_key").alias(key), "item_id", F.col("b.covered").cast("long").alias("covered"), F.col("b.item_words").cast("long").alias("item_words"), (F.col("b.covered") / F.col("b.item_words")).alias("coverage"), F.col("b.n").cast("long").alias("slots"), F.col("b.changed").alias("changed"))
 
 

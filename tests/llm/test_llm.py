@@ -253,6 +253,24 @@ def test_decontam(spark, odd, empty):
     assert decontam.find_leaks(empty, items).count() == 0 and decontam.find_leaks(odd, items.limit(0)).count() == 0
 
 
+def leaks(spark, items, docs):
+    items = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = decontam.find_leaks(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), items)
+    return {(r["doc_id"], r["item_id"]): r for r in found.collect()}
+
+
+def test_decontam_renamed_openers(spark):
+    item = "Tom has 5 apples. Tom eats 2 of them. Ann gives Tom 4 more. How many apples does Tom have now?"
+    other = "He walks along the river bank before dawn. He carries two old red baskets of fruit to town"
+    docs = [
+        item.replace("Tom", "Bob").replace("Ann", "Eve").replace("5", "9"), item.replace("5", "seven"), "And then: " + item.upper(),
+        other.replace("He", "She"), other.replace("two", "31").replace("He c", "Bob c"), "Nothing here. Nothing of it 5 apples. Tom had them all. Now what?",
+    ]
+    got = leaks(spark, [item, other], docs)
+    assert set(got) == {(0, 0), (1, 0), (2, 0), (3, 1), (4, 1)}
+    assert got[0, 0]["covered"] == got[0, 0]["item_words"] == 21 and got[0, 0]["changed"] and not got[2, 0]["changed"]
+
+
 def test_decontam_stage(spark, odd, sf):
     kept = decontam.decontam_stage(spark, odd, sf)
     assert kept.columns == odd.columns and kept.count() == odd.count()
