@@ -15,8 +15,7 @@ are broadcast up to BROADCAST_WINDOWS rows, beyond that joined by shuffle; docum
 their slots, picked by broadcast only up to BROADCAST_DOCS.
 
 Edge cases: null and empty texts match nothing, on either side; items of fewer words than a window are one window of
-their own length; windows with less than half literal words are no evidence, except as the rest of a span; repeated
-rows, and rows that share an id, are judged by id and text; an empty table on either side gives an empty result.
+their own length; windows with less than half literal words count where all their values are equal; repeated rows, and rows that share an id, are judged by id and text; an empty table on either side gives an empty result.
 """
 
 from __future__ import annotations
@@ -106,7 +105,7 @@ def windows(words: Column, size: int) -> Column:
 
 
 def readings(words: Column, size: int) -> Column:
-    """Of all runs of `size` words of an item the hashes of its readings with at least half literal words: by values, and with each name both as it is and as a placeholder."""
+    """Of all runs of `size` words of an item the hashes of its readings: by values, and those with at least half literal words of each name both as it is and as a placeholder."""
     name = lambda w: _kind(w) == _NAME
     each = F.transform(words, lambda w: F.struct(F.xxhash64(F.when(_marked(w), _kind(w)).otherwise(w)).alias("t"), F.xxhash64(_value(w)).alias("v"), name(w).alias("name"), _marked(w).alias("slot")))
 
@@ -118,8 +117,7 @@ def readings(words: Column, size: int) -> Column:
     def run(h: Column, i: Column) -> Column:
         part = F.slice(h, i, size)
         none = F.array(F.struct(F.array().cast("array<bigint>").alias("h"), F.lit(0).alias("n")))
-        few = F.size(F.filter(part, lambda x: x["slot"])) * 2 <= size
-        exact = F.when(few, F.array(F.xxhash64(F.transform(part, lambda x: x["v"])))).otherwise(F.array().cast("array<bigint>"))
+        exact = F.array(F.xxhash64(F.transform(part, lambda x: x["v"])))
         return F.array_union(exact, F.transform(F.aggregate(part, none, grow), lambda a: F.xxhash64(a["h"])))
 
     return F.when(F.size(words) >= size, _let(each, lambda h: F.transform(_starts(words, size), lambda i: run(h, i))))

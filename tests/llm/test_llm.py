@@ -271,6 +271,13 @@ def test_decontam_renamed_openers(spark):
     assert got[0, 0]["covered"] == got[0, 0]["item_words"] == 21 and got[0, 0]["changed"] and not got[2, 0]["changed"]
 
 
+def test_decontam_dense_items(spark):
+    items = ["Solve 3 + 4 - 12 / 6 = 5 + 7", "Compute 12 + 7 * 3 - 4 / 2 + 11 - 6 * 5 + 9 and give 1 result"]
+    docs = [f"It says: {items[0]}. And so on.", f"Then {items[1]}", items[0].replace("12", "13"), "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15"]
+    got = leaks(spark, items, docs)
+    assert set(got) == {(0, 0), (1, 1)} and not any(r["changed"] for r in got.values())
+
+
 def test_decontam_stage(spark, odd, sf):
     kept = decontam.decontam_stage(spark, odd, sf)
     assert kept.columns == odd.columns and kept.count() == odd.count()
