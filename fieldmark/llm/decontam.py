@@ -15,7 +15,8 @@ are broadcast up to BROADCAST_WINDOWS rows, beyond that joined by shuffle; docum
 their slots, picked by broadcast only up to BROADCAST_DOCS.
 
 Edge cases: null and empty texts match nothing, on either side; items of fewer words than a window are one window of
-their own length; windows with less than half literal words count where all their values are equal; repeated rows, and rows that share an id, are judged by id and text; an empty table on either side gives an empty result.
+their own length, and those of one or two words count only where a document has them, values and all, as a whole line;
+an item's first word matches in any letter case; windows with less than half literal words count where all their values are equal; repeated rows, and rows that share an id, are judged by id and text; an empty table on either side gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from fieldmark.llm._base import fresh_name, store, table
 WINDOW = 8
 #: Words that the windows of one alignment must cover, or all of a shorter item's.
 COVERED = 13
+#: Items of fewer words are found only where they are a line of their own.
+SHORT = 3
 BROADCAST_WINDOWS = 500_000
 BROADCAST_DOCS = 1_000_000
 #: _OPEN is a capitalised word that does not stand within a sentence.
@@ -86,28 +89,23 @@ def _value(w: Column) -> Column:
     return F.when(_marked(w), F.substring(w, 2, 1 << 30)).otherwise(w)
 
 
-def _hashes(words: Column) -> Column:
-    """(t, v) of each word: hashes of the word as part of a template, and of its value."""
-    return F.transform(words, lambda w: F.struct(F.xxhash64(F.when(_marked(w), _kind(w)).otherwise(w)).alias("t"), F.xxhash64(_value(w)).alias("v")))
-
-
 def _starts(words: Column, size: int) -> Column:
     return F.sequence(F.lit(1), F.greatest(F.size(words) - (size - 1), F.lit(1)))
 
 
 def windows(words: Column, size: int) -> Column:
-    """Of all runs of `size` words the hashes as a template and by values, once if they agree; null if there are fewer words."""
-
-    def run(h: Column, i: Column) -> Column:
-        return _let(F.slice(h, i, size), lambda x: F.array_distinct(F.array(F.xxhash64(x["t"]), F.xxhash64(x["v"]))))
-
-    return F.when(F.size(words) >= size, _let(_hashes(words), lambda h: F.transform(_starts(words, size), lambda i: run(h, i))))
+    """Of all runs of `size` words the hashes as a template and by values; null if there are fewer words."""
+    as_template = F.transform(words, lambda w: F.xxhash64(F.when(_marked(w), F.substring(w, 1, 1)).otherwise(w)))
+    as_values = F.transform(words, lambda w: F.xxhash64(_value(w)))
+    runs = lambda t, v: F.transform(_starts(words, size), lambda i: F.array(F.xxhash64(F.slice(t, i, size)), F.xxhash64(F.slice(v, i, size))))
+    return F.when(F.size(words) >= size, _let(as_template, lambda t: _let(as_values, lambda v: runs(t, v))))
 
 
 def readings(words: Column, size: int) -> Column:
     """Of all runs of `size` words of an item the hashes of its readings: by values, and those with at least half literal words of each name both as it is and as a placeholder."""
-    name = lambda w: _kind(w) == _NAME
-    each = F.transform(words, lambda w: F.struct(F.xxhash64(F.when(_marked(w), _kind(w)).otherwise(w)).alias("t"), F.xxhash64(_value(w)).alias("v"), name(w).alias("name"), _marked(w).alias("slot")))
+    # The first word of an item may be capitalised in the document.
+    name = lambda w, i: (_kind(w) == _NAME) | ((i == 0) & ~_marked(w))
+    each = F.transform(words, lambda w, i: F.struct(F.xxhash64(F.when(name(w, i), _NAME).when(_marked(w), _kind(w)).otherwise(w)).alias("t"), F.xxhash64(_value(w)).alias("v"), name(w, i).alias("name"), _marked(w).alias("slot")))
 
     def grow(held: Column, x: Column) -> Column:
         literal = F.transform(held, lambda a: F.struct(F.array_append(a["h"], x["v"]).alias("h"), (a["n"] + 0).alias("n")))
@@ -168,6 +166,16 @@ def _judged(rule: Any) -> Column:
     return _let(F.filter("ats", lambda a: F.forall(part(a), rule)), of)
 
 
+def _short(texts: DataFrame, bench: DataFrame) -> DataFrame:
+    """Rows like those of longer items for items of fewer than SHORT words, found as whole lines of equal values."""
+    line = lambda words: F.array_join(F.transform(words, _value), " ")
+    own = bench.where(F.size("item") < SHORT).select("item_id", line(F.col("item")).alias("line"), F.size("item").alias("words"), F.size(F.filter("item", lambda w: _marked(w) & (w < _OPEN))).alias("n"))
+    side = F.broadcast(own) if own.count() <= BROADCAST_WINDOWS else own
+    lines = texts.select("_key", "row", F.explode(F.split("text", "\\R")).alias("text")).select("_key", "row", line(template_words(F.col("text"))).alias("line"))
+    met = lines.join(side, "line").dropDuplicates(["row", "item_id"])
+    return met.select("row", "_key", "item_id", F.struct(F.col("words").alias("covered"), F.col("words").alias("item_words"), "n", F.lit(False).alias("changed")).alias("b"))
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW, covered: int = COVERED) -> DataFrame:
     """One row per document (by id and text) and item that it holds: row, key, item_id, covered, item_words, coverage, slots, changed."""
     bench = _benchmark(items, window)
@@ -175,7 +183,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text:
     texts = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), row_key(F.col(key), F.col(text)).alias("row"), F.col(text).alias("text"))
     words = texts.select("_key", "row", template_words(F.col("text")).alias("words"))
     found = None
-    for n in lengths:
+    for n in [n for n in lengths if n >= min(SHORT, window)]:
         own = bench.where(F.col("len") == n).select("item_id", F.posexplode(readings(F.col("item"), n)).alias("at", "w"))
         own = store(own.select("item_id", "at", F.explode("w").alias("w")), "leak-windows")
         side = F.broadcast(own) if own.count() <= BROADCAST_WINDOWS else own
@@ -194,11 +202,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text:
     again = texts.join(pick, "row", "left_semi").dropDuplicates(["row"]).select("row", template_words(F.col("text"), openers=True).alias("words"))
     span = lambda c, start: F.slice(c, start, F.col("last") - F.col("first"))
     pairs = F.zip_with(span("item", F.col("first") + 1), span("words", F.col("first") + F.col("shift") + 1), _pair)
-    both = found.join(again, "row").withColumn("pairs", F.transform(pairs, lambda p, k: p.withField("k", k)))
+    # Stored, for lambdas that refer to it would make it anew each time.
+    both = store(found.join(again, "row").withColumn("pairs", F.transform(pairs, lambda p, k: p.withField("k", k))).drop("words"), "leak-pairs")
     both = both.withColumn("judged", F.array(*[_judged(rule) for rule in RULES]))
-    both = both.withColumn("judged", F.array_max(F.filter("judged", lambda j: j["one_to_one"] & (j["covered"] >= enough)))).where(F.col("judged").isNotNull())
+    both = both.withColumn("judged", F.array_max(F.filter("judged", lambda j: j["one_to_one"] & (j["covered"] >= enough))))
+    both = store(both.select("row", "_key", "item_id", "item", "judged"), "leak-judged").where(F.col("judged").isNotNull())
     both = both.select("row", "_key", "item_id", "item", F.col("judged.covered").alias("covered"), F.col("judged.slots").alias("n"), F.col("judged.changed").alias("changed"))
     best = both.groupBy("row", "_key", "item_id").agg(F.max(F.struct("covered", F.size("item").alias("item_words"), "n", "changed")).alias("b"))
+    if lengths and lengths[0] < min(SHORT, window):
+        best = best.unionByName(_short(texts, bench))
     return best.select("row", F.col("_key").alias(key), "item_id", F.col("b.covered").cast("long").alias("covered"), F.col("b.item_words").cast("long").alias("item_words"), (F.col("b.covered") / F.col("b.item_words")).alias("coverage"), F.col("b.n").cast("long").alias("slots"), F.col("b.changed").alias("changed"))
 
 

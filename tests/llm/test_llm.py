@@ -278,6 +278,13 @@ def test_decontam_dense_items(spark):
     assert set(got) == {(0, 0), (1, 1)} and not any(r["changed"] for r in got.values())
 
 
+def test_decontam_short_items(spark):
+    items = ["What is the capital city of southern France?", "the", "Name it", "what is 7 and 5 in all my words to you this day"]
+    docs = ["So he asked What is the capital city of southern France?", "It is the old name it had.", "Well.\nName it!\nThe end", "He said: What is 8 and 3 in all my words to you this day"]
+    got = leaks(spark, items, docs)
+    assert set(got) == {(0, 0), (2, 2), (3, 3)} and got[3, 3]["covered"] == 13 and got[2, 2]["covered"] == 2
+
+
 def test_decontam_stage(spark, odd, sf):
     kept = decontam.decontam_stage(spark, odd, sf)
     assert kept.columns == odd.columns and kept.count() == odd.count()
