@@ -29,6 +29,19 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            _delete(df.sparkSession, files[0].rsplit("/", 1)[0])
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Have shuffle files of plans that nothing holds any more deleted now, not whenever the driver's memory fills up."""
     gc.collect()
@@ -37,6 +50,4 @@ def free_shuffles(spark: SparkSession) -> None:
 
 def release(spark: SparkSession) -> None:
     """Delete every table stored so far. Call when no result is read any more."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/fieldmark")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/fieldmark")

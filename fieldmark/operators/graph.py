@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldmark.lineage import store
+from fieldmark.lineage import discard, store
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,8 +26,10 @@ def components(edges: DataFrame) -> DataFrame:
         near = labels.join(around, "node", "left").select("node", F.least("root", "least").alias("near"), "root")
         hop = labels.select(F.col("node").alias("near"), F.col("root").alias("far"))
         moved = store(near.join(hop, "near", "left").select("node", F.least("near", "far").alias("to"), "root"), "cc-labels")
+        discard(labels)
         labels = moved.select("node", F.col("to").alias("root"))
         if not moved.where(F.col("to") != F.col("root")).limit(1).count():
+            discard(both)
             return labels
 
 
