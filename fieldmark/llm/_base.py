@@ -9,10 +9,10 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.lineage import free_shuffles, fresh_path, release, shared_dir, store
+from fieldmark.lineage import discard, free_shuffles, fresh_path, release, shared_dir, store
 from fieldmark.sources.tables import table
 
-__all__ = ["free_shuffles", "fresh_path", "release", "shared_dir", "store", "table"]
+__all__ = ["discard", "free_shuffles", "fresh_path", "release", "shared_dir", "store", "table"]
 
 #: A word is a run of anything but space, tab, LF, VT, FF and CR.
 WORD = "[^\\x20\\x09-\\x0D]+"

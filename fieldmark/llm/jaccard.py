@@ -3,7 +3,8 @@
 A document's set is its distinct word n-grams, hashed to 64 bits. Documents with equal sets form a class, combined before
 any shuffle; the join runs over classes. For a threshold t, two sets that link share an element among the first
 n - ceil(t n) + 1 of each under any global order of elements. Two orders are used, by two independent hashed counts of
-all elements of all documents, rare ones first; a pair must meet under both before it is verified on the sets.
+all elements of all documents, rare ones first; a pair must meet under both, and their bitmaps, which bound the overlap
+from above, must be near enough, before it is verified on the sets.
 
 Pairs come from posting lists of the first order. First all of a list are paired with one member drawn by hash; then, for
 a few rounds, what lies outside the component of the list's best linked member is paired with that member, so a large
@@ -25,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm._base import free_shuffles, fresh_name, small_batches, store, table, texts_of
+from fieldmark.llm._base import discard, free_shuffles, fresh_name, small_batches, store, table, texts_of
 from fieldmark.operators.graph import components
 
 #: Rounds in which lists are linked to one member before what is left is tested in full.
@@ -140,31 +141,36 @@ class Orders:
         self.counts = (first.astype(np.uint32), second.astype(np.uint32))
 
     def prefix(self, s: np.ndarray, length: int, second: bool) -> np.ndarray:
-        """The first elements of a set, themselves in no order. Halves of hashes break ties, then places in the set."""
+        """The first elements of a set, themselves in no order. Ties of counts are broken by halves of hashes, then by whole ones."""
         if length >= len(s):
             return s
         key = _mix(s, _SECOND) if second else s
         rank = (self.counts[second][key >> self.shift].astype(np.uint64) << np.uint64(32)) | (key & np.uint64(0xFFFFFFFF))
-        return s[np.argpartition(rank, length - 1)[:length]]
+        last = np.partition(rank, length - 1)[length - 1]
+        inside, tied = s[rank < last], np.flatnonzero(rank == last)
+        return np.concatenate([inside, s[tied[np.argsort(key[tied])[: length - len(inside)]]]])
 
 
 _SECOND = 0x165667B19E3779F9
 
 
-def count_cells(docs: DataFrame, text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """How many of all documents' shingles fall in each of a number of hash cells (2**18 to 2**22, by document count),
-    under two hashes. Tasks' counts stop at 65535 a cell, which is frequent enough to come last."""
+def sketch(docs: DataFrame, key: str, text: str, n: int) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray]]:
+    """One pass over the texts: (id, node, n) of each document, the set's name and size; and how many of all documents'
+    shingles fall in each of a number of hash cells (2**18 to 2**22, by document count), under two hashes. Tasks' counts
+    stop at 65535 a cell, which is frequent enough to come last."""
     rows = docs.count()
     bits = min(22, max(18, (rows * 8).bit_length() - 1))
     cells, shift, width = 1 << bits, np.uint64(64 - bits), (1 << bits) // CHUNKS
+    names = ["id", "node", "n", "chunk", "salt", "counts"]
 
-    def count(batches: Iterator[Any]) -> Iterator[Any]:
+    def run(batches: Iterator[Any]) -> Iterator[Any]:
         import zlib
 
         import pyarrow as pa
         from pyspark import TaskContext
 
-        counts, any_row = np.zeros((2, cells), dtype=np.int64), False
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        counts = np.zeros((2, cells), dtype=np.int64)
         held: list[np.ndarray] = []
 
         def add() -> None:
@@ -173,20 +179,23 @@ def count_cells(docs: DataFrame, text: str, n: int) -> tuple[np.ndarray, np.ndar
             counts[1] += np.bincount((_mix(all_of, _SECOND) >> shift).astype(np.int64), minlength=cells)
             held.clear()
 
+        def batch(columns: list[Any], size: int) -> Any:
+            return pa.RecordBatch.from_arrays([pa.nulls(size, k) if c is None else c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
         for b in batches:
-            for _, texts in texts_of(b, text):
-                held += shingle_sets(texts, n)
+            for part, texts in texts_of(b, "text"):
+                sets = shingle_sets(texts, n)
+                yield batch([part.column("id"), [signature(s) for s in sets], [len(s) for s in sets], None, None, None], len(sets))
+                held += sets
                 if sum(map(len, held)) > cells:
-                    any_row = True
                     add()
         if held:
-            any_row = any_row or any(map(len, held))
             add()
-        if any_row:
+        if counts.any():
             salt = TaskContext.get().partitionId() % 64
             small = np.minimum(counts, 65535).astype(np.uint16)
             parts = [zlib.compress(small[:, i * width : (i + 1) * width].tobytes(), 1) for i in range(CHUNKS)]
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(CHUNKS), pa.int32()), "salt": pa.array([salt] * CHUNKS, pa.int32()), "counts": pa.array(parts, pa.binary())})
+            yield batch([None, None, None, list(range(CHUNKS)), [salt] * CHUNKS, parts], CHUNKS)
 
     def total(t: Any) -> Any:
         import zlib
@@ -201,17 +210,44 @@ def count_cells(docs: DataFrame, text: str, n: int) -> tuple[np.ndarray, np.ndar
 
     import zlib
 
+    both = store(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, node long, n long, chunk int, salt int, counts binary"), "join-sketch")
     schema = "chunk int, salt int, counts binary"
-    sums = docs.select(text).mapInArrow(count, schema).groupBy("chunk", "salt").applyInArrow(total, schema).groupBy("chunk").applyInArrow(total, schema)
+    sums = both.where(F.col("chunk").isNotNull()).select("chunk", "salt", "counts").groupBy("chunk", "salt").applyInArrow(total, schema).groupBy("chunk").applyInArrow(total, schema)
     out = np.zeros((2, cells), dtype=np.uint32)
     for r in sums.collect():
         out[:, r["chunk"] * width : (r["chunk"] + 1) * width] = np.frombuffer(zlib.decompress(r["counts"]), dtype=np.uint32).reshape(2, width)
-    return out[0], out[1]
+    own = store(both.where(F.col("chunk").isNull()).select("id", "node", "n"), "join-own")
+    discard(both)
+    return own, (out[0], out[1])
+
+
+def parity(s: np.ndarray) -> bytes:
+    """A set's bitmap: bit h mod b is whether an odd number of elements fall there; b is a power of two not below the
+    set's size. The bitmap of half the length is the exclusive or of the halves."""
+    b = max(64, 1 << max(0, len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(b - 1)).astype(np.int64), minlength=b).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def _fold(bits: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps (rows of 64-bit words) cut to `width` words."""
+    return np.bitwise_xor.reduce(bits.reshape(len(bits), -1, width), axis=1)
+
+
+def enough(shared: Any, a: Any, b: Any, num: int, den: int) -> Any:
+    return den * shared >= num * (a + b - shared)
+
+
+def possible(x: bytes, y: bytes, a: int, b: int, num: int, den: int) -> bool:
+    """Whether sets of sizes a and b with these bitmaps may overlap enough: every bit that differs is an element of one only."""
+    u, v = np.frombuffer(x, np.uint64)[None], np.frombuffer(y, np.uint64)[None]
+    width = min(u.shape[1], v.shape[1])
+    apart = int(np.bitwise_count(_fold(u, width) ^ _fold(v, width)).sum())
+    return enough((a + b - apart) // 2, a, b, num, den)
 
 
 def describe(docs: DataFrame, key: str, text: str, n: int, num: int, den: int, orders: Any) -> DataFrame:
-    """(id, node, n, prefix, second): the set's name, its size and its prefixes under both orders (of the second's
-    elements the upper halves, which share an element if the prefixes do)."""
+    """(id, node, n, prefix, second, bits): the set's name, its size, its prefixes under both orders (of the second's
+    elements the upper halves, which share an element if the prefixes do) and its bitmap; of texts with words only."""
 
     def lists(parts: list[np.ndarray], kind: Any) -> Any:
         import pyarrow as pa
@@ -229,149 +265,151 @@ def describe(docs: DataFrame, key: str, text: str, n: int, num: int, den: int, o
                 size = [prefix_length(len(s), num, den) if len(s) else 0 for s in sets]
                 one = [order.prefix(s, m, False).astype(np.int64) for s, m in zip(sets, size, strict=True)]
                 two = [(order.prefix(s, m, True) >> np.uint64(32)).astype(np.uint32).astype(np.int32) for s, m in zip(sets, size, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([signature(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), lists(one, pa.int64()), lists(two, pa.int32())], names=["id", "node", "n", "prefix", "second"])
+                cols = [part.column("id"), pa.array([signature(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), lists(one, pa.int64()), lists(two, pa.int32()), pa.array([parity(s) for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "node", "n", "prefix", "second", "bits"]).filter(pa.array([len(s) > 0 for s in sets], pa.bool_()))
+
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, node long, n long, prefix array<long>, second array<int>, bits binary")
+
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, node long, n long, prefix array<long>, second array<int>")
+def _bounded(df: DataFrame) -> DataFrame:
+    """df, which is stored, marked for broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def _candidates(docs: DataFrame, wanted: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """(node, high, low) of the wanted classes (node, rep), from the text of the document rep: upper and lower halves of
-    the sorted set's hashes."""
-    few = wanted.count() <= BROADCAST_ROWS
-    side = wanted.select(F.col("rep").alias("_rep"), F.col("node").alias("_node"))
+    """(node, hashes) of the wanted classes (node, rep), from the text of the document rep: the sorted set."""
+    side = _bounded(wanted).select(F.col("rep").alias("_rep"), F.col("node").alias("_node"))
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = rows.join(F.broadcast(side) if few else side, F.col("id") == F.col("_rep")).select(F.col("_node").alias("node"), "text")
+    rows = rows.join(side, F.col("id") == F.col("_rep")).select(F.col("_node").alias("node"), "text")
 
     def run(batches: Iterator[Any]) -> Iterator[Any]:
         import pyarrow as pa
 
         for b in batches:
             for part, texts in texts_of(b, "text"):
-                out: list[list[Any]] = [[], [], []]
+                out: list[list[Any]] = [[], []]
                 for node, s in zip(part.column("node").to_pylist(), shingle_sets(texts, n), strict=True):
                     # Another text may bear the same id.
                     if signature(s) == node:
-                        halves = s.view(np.uint32).reshape(-1, 2)
                         out[0].append(node)
-                        out[1].append(np.ascontiguousarray(halves[:, 1]).tobytes())
-                        out[2].append(np.ascontiguousarray(halves[:, 0]).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["node", "high", "low"])
-
-    return rows.mapInArrow(run, "node long, high binary, low binary")
-
-
-def verdict(shared: int, a: int, b: int, num: int, den: int, slack: int) -> int:
-    """0: no link; 2: a link even if `slack` of the shared elements are not; 1: a link only if most of them are."""
-    if den * shared < num * (a + b - shared):
-        return 0
-    return 2 if den * (shared - slack) >= num * (a + b - shared + slack) else 1
+                        out[1].append(s.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], names=["node", "hashes"])
 
+    return rows.mapInArrow(run, "node long, hashes binary")
 
-def _overlapping(pairs: DataFrame, sets: DataFrame, num: int, den: int, wide: bool) -> DataFrame:
-    """(a, b, sure) of the pairs that overlap enough. By the upper halves an overlap is never less than the true one."""
-    parts = ["high", "low"] if wide else ["high"]
-    a = sets.select(F.col("node").alias("a"), *[F.col(c).alias(f"x_{c}") for c in parts])
-    b = sets.select(F.col("node").alias("b"), *[F.col(c).alias(f"y_{c}") for c in parts])
 
-    def whole(batch: Any, side: str) -> list[np.ndarray]:
-        high = [np.frombuffer(v, np.uint32) for v in batch.column(f"{side}_high").to_pylist()]
-        if not wide:
-            return high
-        low = [np.frombuffer(v, np.uint32) for v in batch.column(f"{side}_low").to_pylist()]
-        return [(h.astype(np.uint64) << np.uint64(32)) | v for h, v in zip(high, low, strict=True)]
+def _overlapping(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of the pairs whose sets overlap enough."""
 
     def run(batches: Iterator[Any]) -> Iterator[Any]:
         import pyarrow as pa
 
         for batch in batches:
-            out = []
-            for u, v in zip(whole(batch, "x"), whole(batch, "y"), strict=True):
+            kept = []
+            for u, v in zip(batch.column("x"), batch.column("y"), strict=True):
+                u, v = np.frombuffer(u.as_py(), np.uint64), np.frombuffer(v.as_py(), np.uint64)
                 both = np.concatenate([u, v])
                 both.sort(kind="stable")
-                # Equal neighbours: elements within a set are distinct, but for rare collisions of halves, which only add.
-                out.append(verdict(int((both[1:] == both[:-1]).sum()), len(u), len(v), num, den, 0 if wide else 3))
-            kept = pa.array([x > 0 for x in out], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array([x == 2 for x in out], pa.bool_())], names=["a", "b", "sure"]).filter(kept)
+                kept.append(bool(enough(int((both[1:] == both[:-1]).sum()), len(u), len(v), num, den)))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    cols = [f"{s}_{c}" for s in "xy" for c in parts]
-    return pairs.join(a, "a").join(b, "b").select("a", "b", *cols).mapInArrow(run, "a long, b long, sure boolean")
+    a, b = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 class _Verifier:
-    """Verifies pairs of classes; a class's set is read from its text once, when a pair of it first passes both orders."""
+    """Verifies pairs of classes; a class's set is read from its text once, when a pair of it first passes all filters."""
 
     def __init__(self, docs: DataFrame, reps: DataFrame, key: str, text: str, n: int, num: int, den: int, repeated: bool):
         self.docs, self.reps, self.at, self.num, self.den, self.repeated = docs, reps, (key, text, n), num, den, repeated
         self.sets: DataFrame | None = None
+        self.held: list[DataFrame] = []
 
-    def ensure(self, nodes: DataFrame) -> DataFrame:
-        """The sets read so far, those of nodes among them."""
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        """df stored until all is done."""
+        self.held.append(store(df, label))
+        return self.held[-1]
+
+    def verify(self, met: DataFrame) -> DataFrame:
+        """(a, b) of the stored pairs whose sets overlap enough."""
+        num, den = self.num, self.den
+        nodes = met.select(F.col("a").alias("node")).unionByName(met.select(F.col("b").alias("node"))).distinct()
         if self.sets is not None:
             nodes = nodes.join(self.sets.select("node"), "node", "left_anti")
-        wanted = store(self.reps.select("node", "rep").join(nodes, "node"), "join-wanted")
+        wanted = self.keep(self.reps.select("node", "rep").join(nodes, "node"), "join-wanted")
         fresh = _candidates(self.docs, wanted, *self.at)
         # Where rows share an id, a class may be read from several of them.
-        fresh = store(fresh.dropDuplicates(["node"]) if self.repeated else fresh, "join-sets")
+        fresh = self.keep(fresh.dropDuplicates(["node"]) if self.repeated else fresh, "join-sets")
         self.sets = fresh if self.sets is None else self.sets.unionByName(fresh)
-        return self.sets
-
-    def settle(self, likely: DataFrame) -> DataFrame:
-        """(a, b) of the sure pairs of (a, b, sure), and of the others those that whole hashes confirm."""
-        likely = store(likely, "join-likely")
-        exact = _overlapping(likely.where("not sure").select("a", "b"), self.sets, self.num, self.den, True).select("a", "b")
-        return store(likely.where("sure").select("a", "b").unionByName(exact), "join-links")
+        return self.keep(_overlapping(met, self.sets, num, den), "join-links")
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """(a, b) of the pairs whose prefixes meet under the second order too and whose sets overlap enough."""
-        second = self.reps.select("node", "second")
-        met = pairs.join(second.select(F.col("node").alias("a"), F.col("second").alias("sa")), "a").join(second.select(F.col("node").alias("b"), F.col("second").alias("sb")), "b")
-        met = store(met.where(F.arrays_overlap("sa", "sb")).select("a", "b"), "join-met")
-        self.ensure(met.select(F.col("a").alias("node")).unionByName(met.select(F.col("b").alias("node"))).distinct())
-        return self.settle(_overlapping(met, self.sets, self.num, self.den, False))
+        """(a, b) of the stored pairs whose prefixes meet under the second order too, whose bitmaps are near enough and whose sets overlap enough."""
+        num, den = self.num, self.den
+        nodes = self.keep(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "join-nodes")
+        own = self.reps.select("node", "n", "second", "bits").join(_bounded(nodes), "node", "left_semi")
+        side = lambda c: own.select(F.col("node").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("n", "second", "bits")])
+        met = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(F.arrays_overlap("a_second", "b_second"))
+
+        def run(batches: Iterator[Any]) -> Iterator[Any]:
+            import pyarrow as pa
+
+            for batch in batches:
+                kept = [possible(x, y, n, m, num, den) for x, y, n, m in zip(*(batch.column(c).to_pylist() for c in ("a_bits", "b_bits", "a_n", "b_n")), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+        return self.verify(self.keep(met.select("a", "b", "a_n", "b_n", "a_bits", "b_bits").mapInArrow(run, "a long, b long"), "join-met"))
 
     def tiles(self, lists: DataFrame) -> DataFrame:
         """(a, b) of the links between classes outside their list's main component and classes of other components.
 
         lists: tok, node, root, main. A tile has a block of a list's outside and a block of all its members, so what is
-        sent grows with blocks, not with pairs; a pair must meet under the second order here too.
+        sent grows with blocks, not with pairs; a pair passes the same filters here.
         """
         num, den = self.num, self.den
-        own = lists.join(self.ensure(lists.select("node").distinct()).select("node", "high"), "node").join(self.reps.select("node", "second"), "node")
         sizes = lists.groupBy("tok").agg(F.ceil(F.count_if(F.col("root") != F.col("main")) / TILE_REST).alias("nr"), F.ceil(F.count(F.lit(1)) / TILE_ALL).alias("na"))
-        own = own.join(sizes, "tok")
+        own = lists.join(self.reps.select("node", "n", "second", "bits"), "node").join(sizes, "tok")
         block = lambda of: F.pmod(F.xxhash64("node", F.lit(5)), of).cast("int")
-        cols = ["tok", "i", "j", "node", "root", "high", "second"]
+        what = ("node", "root", "n", "second", "bits")
+        cols = ["tok", "i", "j", *what]
         rest = own.where((F.col("root") != F.col("main")) & (F.col("nr") > 0)).withColumn("i", block(F.col("nr"))).withColumn("j", F.explode(F.sequence(F.lit(0), (F.col("na") - 1).cast("int")))).select(*[F.col(c).alias(f"rest_{c}") for c in cols])
         every = own.where(F.col("nr") > 0).withColumn("j", block(F.col("na"))).withColumn("i", F.explode(F.sequence(F.lit(0), (F.col("nr") - 1).cast("int")))).select(*cols)
 
         def tile(left: Any, right: Any) -> Any:
             import pyarrow as pa
 
-            out: list[list[Any]] = [[], [], []]
+            out: list[list[Any]] = [[], []]
             if len(left) and len(right):
-                sets = [np.frombuffer(x, np.uint32) for x in right.column("high").to_pylist()]
                 seconds = [np.array(x, np.int32) for x in right.column("second").to_pylist()]
-                sizes, nodes, roots = np.array([len(x) for x in sets]), right.column("node").to_numpy(), right.column("root").to_numpy()
-                where, where2 = np.repeat(np.arange(len(sets)), sizes), np.repeat(np.arange(len(sets)), [len(x) for x in seconds])
-                known, place = np.unique(np.concatenate(sets), return_inverse=True)
-                known2, place2 = np.unique(np.concatenate(seconds), return_inverse=True)
-                hit, hit2 = np.zeros(len(known) + 1, dtype=bool), np.zeros(len(known2) + 1, dtype=bool)
-                for node, root, high, second in zip(*(left.column(f"rest_{c}").to_pylist() for c in ("node", "root", "high", "second")), strict=True):
-                    x, y = np.frombuffer(high, np.uint32), np.array(second, np.int32)
-                    at, at2 = np.searchsorted(known, x), np.searchsorted(known2, y)
-                    at, at2 = at[known[np.minimum(at, len(known) - 1)] == x], at2[known2[np.minimum(at2, len(known2) - 1)] == y]
-                    hit[at], hit2[at2] = True, True
-                    shared = np.bincount(where[hit[place]], minlength=len(sets))
-                    meet = np.bincount(where2[hit2[place2]], minlength=len(sets)) > 0
-                    hit[at], hit2[at2] = False, False
-                    for k in np.flatnonzero(meet & (roots != root) & (den * shared >= num * (len(x) + sizes - shared))):
+                nodes, roots, sizes = (right.column(c).to_numpy() for c in ("node", "root", "n"))
+                where = np.repeat(np.arange(len(nodes)), [len(x) for x in seconds])
+                known, place = np.unique(np.concatenate(seconds), return_inverse=True)
+                hit = np.zeros(len(known) + 1, dtype=bool)
+                bits = [np.frombuffer(x, np.uint64) for x in right.column("bits").to_pylist()]
+                widths = np.array([len(x) for x in bits])
+                alike = {w: np.flatnonzero(widths == w) for w in np.unique(widths).tolist()}
+                maps = {(w, w): np.stack([bits[k] for k in at]) for w, at in alike.items()}
+                for node, root, n, second, own_bits in zip(*(left.column(f"rest_{c}").to_pylist() for c in what), strict=True):
+                    x, y = np.frombuffer(own_bits, np.uint64)[None], np.array(second, np.int32)
+                    at = np.searchsorted(known, y)
+                    at = at[known[np.minimum(at, len(known) - 1)] == y]
+                    hit[at] = True
+                    meet = np.bincount(where[hit[place]], minlength=len(nodes)) > 0
+                    hit[at] = False
+                    apart = np.zeros(len(nodes), dtype=np.int64)
+                    for w, of in alike.items():
+                        least = min(w, x.shape[1])
+                        if (w, least) not in maps:
+                            maps[w, least] = _fold(maps[w, w], least)
+                        apart[of] = np.bitwise_count(maps[w, least] ^ _fold(x, least)).sum(axis=1)
+                    for k in np.flatnonzero(meet & (roots != root) & enough(np.minimum((n + sizes - apart) // 2, np.minimum(n, sizes)), n, sizes, num, den)):
                         out[0].append(min(node, int(nodes[k])))
                         out[1].append(max(node, int(nodes[k])))
-                        out[2].append(verdict(int(shared[k]), len(x), int(sizes[k]), num, den, 3) == 2)
-            return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64()), "sure": pa.array(out[2], pa.bool_())})
+            return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
         keys = ("tok", "i", "j")
-        return self.settle(rest.groupBy(*[f"rest_{k}" for k in keys]).cogroup(every.groupBy(*keys)).applyInArrow(tile, "a long, b long, sure boolean").distinct())
+        met = rest.groupBy(*[f"rest_{k}" for k in keys]).cogroup(every.groupBy(*keys)).applyInArrow(tile, "a long, b long").distinct()
+        return self.verify(self.keep(met, "join-met"))
 
 
 def _ordered(u: Any, v: Any) -> list[Any]:
@@ -383,41 +421,49 @@ def _mixed(posts: DataFrame, roots: DataFrame) -> DataFrame:
     at = posts.join(roots, "node", "left").select("tok", "node", "n", F.coalesce("root", "node").alias("root"))
     sizes = at.groupBy("tok", "root").agg(F.count(F.lit(1)).alias("c"))
     main = sizes.groupBy("tok").agg(F.max(F.struct("c", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).where(F.col("roots") > 1)
-    return store(at.join(main.select("tok", F.col("m.root").alias("main")), "tok"), "join-mixed")
+    return at.join(main.select("tok", F.col("m.root").alias("main")), "tok")
 
 
 def classes_and_links(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
     """((id, node, n) of each document, (node, root) of the classes that link with another)."""
     spark = docs.sparkSession
     small_batches(spark)
-    orders = spark.sparkContext.broadcast(count_cells(docs, text, n))
-    described = store(describe(docs, key, text, n, num, den, orders), "join-docs")
-    own = described.select("id", "node", "n")
-    classes = described.where(F.col("n") > 0).groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("second").alias("second"))
-    reps = store(classes.where(F.col("rep").isNotNull()), "join-classes")
+    own, counts = sketch(docs, key, text, n)
+    orders = spark.sparkContext.broadcast(counts)
+    # A class is described by its document of least id.
+    first = own.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("node").agg(F.min("id").alias("id"))
+    others = store(own.where(F.col("id").isNotNull()).join(first, ["id", "node"], "left_anti").select("id", "node").distinct(), "join-others")
+    repeated = own.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count() > 0
+    reps = describe(docs, key, text, n, num, den, orders).where(F.col("id").isNotNull()).join(_bounded(others), ["id", "node"], "left_anti")
+    reps = store((reps.dropDuplicates(["node"]) if repeated else reps).withColumnRenamed("id", "rep"), "join-classes")
     free_shuffles(spark)
     posts = reps.select("node", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("tok"))
     # Names of sets are hashes, so the least of a list is drawn at random, and alike in lists that share members.
     lists = posts.groupBy("tok").agg(F.count(F.lit(1)).alias("len"), F.min("node").alias("lead")).where(F.col("len") > 1)
-    posts = store(posts.join(lists.select("tok", "lead", "len"), "tok"), "join-posts")
-    free_shuffles(spark)
-    repeated = own.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count() > 0
     verifier = _Verifier(docs, reps, key, text, n, num, den, repeated)
+    posts = verifier.keep(posts.join(lists.select("tok", "lead", "len"), "tok"), "join-posts")
+    free_shuffles(spark)
     fits = lambda x, y: F.least(x, y) * den >= F.greatest(x, y) * num
     star = posts.where(F.col("node") != F.col("lead")).select("node", "lead", "n").distinct()
     sizes = reps.select(F.col("node").alias("lead"), F.col("n").alias("lead_n"))
-    tested = store(star.join(sizes, "lead").where(fits(F.col("n"), F.col("lead_n"))).select(*_ordered(F.col("node"), F.col("lead"))).distinct(), "join-pairs")
+    tested = verifier.keep(star.join(sizes, "lead").where(fits(F.col("n"), F.col("lead_n"))).select(*_ordered(F.col("node"), F.col("lead"))).distinct(), "join-pairs")
     links = verifier.links(tested)
     roots = components(links)
-    free_shuffles(spark)
+
+    def done() -> tuple[DataFrame, DataFrame]:
+        discard(reps, others, *verifier.held)
+        free_shuffles(spark)
+        return own, roots
+
     # The pairs of lists of two are all tested.
     posts = posts.where(F.col("len") > 2).select("tok", "node", "n")
     for turn in range(STAR_ROUNDS):
+        free_shuffles(spark)
         # Again with each list's best linked member and with one drawn from its main component, list by list, for what
         # is still outside.
-        mixed = _mixed(posts, roots)
+        mixed = verifier.keep(_mixed(posts, roots), "join-mixed")
         if not mixed.limit(1).count():
-            return own, roots
+            return done()
         ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("deg"))
         ranked = mixed.join(ends, "node", "left").withColumn("deg", F.coalesce("deg", F.lit(0)))
         own_hash = F.xxhash64("node", "tok", F.lit(turn))
@@ -426,7 +472,7 @@ def classes_and_links(docs: DataFrame, *, key: str = "doc_id", text: str = "text
         lead = ranked.groupBy("tok").agg(best.alias("best"), drawn.alias("drawn"))
         lead = lead.select("tok", F.explode(F.array(*[F.struct(F.col(f"{c}.node").alias("node"), F.col(f"{c}.n").alias("n"), F.col(f"{c}.root").alias("root")) for c in ("best", "drawn")])).alias("l"))
         more = mixed.join(lead, "tok").where((F.col("root") != F.col("l.root")) & fits(F.col("n"), F.col("l.n"))).select(*_ordered(F.col("node"), F.col("l.node"))).distinct()
-        more = store(more.join(tested, ["a", "b"], "left_anti"), "join-pairs")
+        more = verifier.keep(more.join(tested, ["a", "b"], "left_anti"), "join-pairs")
         found = verifier.links(more)
         tested = tested.unionByName(more)
         if not found.limit(1).count():
@@ -436,22 +482,24 @@ def classes_and_links(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     free_shuffles(spark)
     # What is left is tested in full: all outside a list's main component against all of other components. Long lists
     # are tested in tiles.
-    mixed = _mixed(posts, roots)
+    mixed = verifier.keep(_mixed(posts, roots), "join-mixed")
     lengths = mixed.groupBy("tok").agg(F.count(F.lit(1)).alias("len"))
-    long = store(mixed.join(lengths.where(F.col("len") >= LONG).select("tok"), "tok"), "join-long")
+    long = verifier.keep(mixed.join(lengths.where(F.col("len") >= LONG).select("tok"), "tok"), "join-long")
     found = [verifier.tiles(long.select("tok", "node", "root", "main"))] if long.limit(1).count() else []
     short = mixed.join(lengths.where(F.col("len") < LONG).select("tok"), "tok")
-    short = short.join(short.groupBy("node").agg(F.collect_list("tok").alias("toks")), "node")
-    # A pair comes from the first list that both are in: one that they share no earlier list with.
-    short = short.withColumn("earlier", F.filter("toks", lambda t: t < F.col("tok"))).drop("toks")
-    every = short.select("tok", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "root", "earlier")])
+    every = short.select("tok", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "root")])
     met = short.where(F.col("root") != F.col("main")).join(every, "tok")
     both = (F.col("root") != F.col("root2")) & fits(F.col("n"), F.col("n2")) & ((F.col("root2") == F.col("main")) | (F.col("node") < F.col("node2")))
-    met = met.where(both & ~F.arrays_overlap("earlier", "earlier2")).select(*_ordered(F.col("node"), F.col("node2")))
-    rest = store(met.join(tested, ["a", "b"], "left_anti"), "join-pairs")
+    met = met.where(both).select(*_ordered(F.col("node"), F.col("node2"))).distinct()
+    rest = verifier.keep(met.join(tested, ["a", "b"], "left_anti"), "join-pairs")
     for more in [*found, verifier.links(rest)]:
         links = links.unionByName(more)
-    return own, components(links)
+    roots = components(links)
+    return done()
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def component_ids(own: DataFrame, roots: DataFrame) -> DataFrame:
@@ -480,13 +528,13 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     if not repeated:
         mark = fresh_name(docs, "_dedup_id")
-        return docs.withColumn(mark, F.col("doc_id").cast("long")).join(side.select(F.col("id").alias(mark)), mark, "left_anti").select(*docs.columns)
+        return docs.withColumn(mark, F.col("doc_id").cast("long")).join(side.select(F.col("id").alias(mark)), mark, "left_anti").select(*[_quoted(c) for c in docs.columns])
     node, mark, nth = fresh_name(docs, "_dedup_node"), fresh_name(docs, "_dedup_id"), fresh_name(docs, "_dedup_nth")
     marked = docs.withColumn(node, _node_udf(5)(F.col("text"))).withColumn(mark, F.col("doc_id").cast("long"))
     left = marked.join(side.select(F.col("id").alias(mark), F.col("node").alias(node)), [mark, node], "left_anti")
     alone = left.where(F.col(mark).isNull() | (F.col(node) == 0))
     once = left.where(F.col(mark).isNotNull() & (F.col(node) != 0)).dropDuplicates([mark, node])
-    return once.unionByName(alone).drop(nth).select(*docs.columns)
+    return once.unionByName(alone).drop(nth).select(*[_quoted(c) for c in docs.columns])
 
 
 def _node_udf(n: int) -> Any:
