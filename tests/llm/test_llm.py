@@ -202,8 +202,23 @@ def test_jaccard_odd(spark, odd, empty):
     assert kept.columns == odd.columns and sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, 2, 3, 5, None]
 
 
-def test_verdict():
-    assert jaccard.verdict(9, 10, 9, 90, 100, 0) == 2 and jaccard.verdict(8, 10, 9, 90, 100, 0) == 0 and jaccard.verdict(9, 10, 9, 90, 100, 3) == 1
+@pytest.mark.parametrize("num", [50, 80, 90])
+def test_bitmaps_lose_no_link(num):
+    rng = np.random.default_rng(num)
+    near = far = 0
+    for _ in range(400):
+        x = np.unique(rng.integers(0, 2**63, rng.integers(1, 300), dtype=np.uint64))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) < rng.uniform(0.5, 1)], rng.integers(0, 2**63, rng.integers(0, 40), dtype=np.uint64)]))
+        link = 100 * len(np.intersect1d(x, y)) >= num * len(np.union1d(x, y))
+        may = jaccard.possible(jaccard.parity(x), jaccard.parity(y), len(x), len(y), num, 100)
+        assert may or not link
+        near, far = near + (may and not link), far + (not link)
+    assert near < far / (3 if num >= 80 else 1)
+
+
+def test_jaccard_dotted_names(spark, odd):
+    docs = odd.withColumn("meta.url", F.lit("u")).withColumn("b`t", F.lit(1))
+    assert jaccard.jaccard_stage(spark, docs, "").columns == docs.columns
 
 
 # 4 WARC
@@ -410,6 +425,66 @@ def test_sharding(spark, odd, empty):
     assert sharding.assign_shards(empty).count() == 0
 
 
+def plain_pack(vectors, shards, dims):
+    """Vector bin packing in plain Python: large items first, each to the shard of the highest dot product with what is left."""
+    left = [[1 / shards] * 3 for _ in range(shards)]
+    out = [0] * len(vectors)
+    for i in sorted(range(len(vectors)), key=lambda i: (-max(vectors[i]), i)):
+        dots = [sum(a * b * d for a, b, d in zip(r, vectors[i], dims)) for r in left]
+        out[i] = max(range(shards), key=lambda k: (dots[k], -k))
+        left[out[i]] = [a - b for a, b in zip(left[out[i]], vectors[i])]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pack_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    v = rng.pareto(1.5, (200, 3)) + 0.01
+    v /= v.sum(axis=0)
+    even = np.full((5, 3), 1 / 5)
+    assert sharding.pack(v, even).tolist() == plain_pack(v.tolist(), 5, sharding.DIMS)
+    at = sharding.level(v, sharding.pack(v, even), even)
+    spread = lambda a: np.ptp(np.bincount(a, weights=v[:, 0], minlength=5))
+    assert spread(at) <= spread(sharding.pack(v, even))
+
+
+@pytest.mark.parametrize("cell_groups", [20_000, 150])
+def test_sharding_keeps_groups_whole(spark, monkeypatch, cell_groups):
+    monkeypatch.setattr(sharding, "CELL_GROUPS", cell_groups)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdef") * rng.randrange(1, 6) for _ in range(rng.randrange(1, 40))) for _ in range(700)]
+    # A third of all rows are one text; others have a few copies, some of them several hundred.
+    body = [texts[i % 700] for i in range(1600)] + [texts[0]] * 1100 + [texts[1]] * 150 + [None, ""] * 10
+    rng.shuffle(body)
+    out = sharding.assign_shards(spark.createDataFrame(list(enumerate(body)), "doc_id long, text string")).collect()
+    load, rows, tokens, at = Counter(), Counter(), Counter(), {}
+    for r in out:
+        load[r["shard"]] += r["size"]
+        rows[r["shard"]] += 1
+        tokens[r["shard"]] += r["tokens"]
+        at.setdefault(body[r["doc_id"]] or "", set()).add(r["shard"])
+    size, count = Counter(), Counter(t or "" for t in body)
+    for t in body:
+        size[t or ""] += len((t or "").encode()) + 1
+    cut = {t for t, s in at.items() if len(s) > 1}
+    assert all(max(size[t] / sum(size.values()), count[t] / len(body)) > 1 / 16 for t in cut) and texts[1] not in cut
+    assert max(load.values()) / min(load.values()) < (1.01 if cell_groups > 1000 else 1.05)
+    assert max(rows.values()) < 1.5 * len(body) / 16 and max(tokens.values()) < 1.5 * sum(tokens.values()) / 16
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_sharding_of_test_data(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
+    out = sharding.assign_shards(docs)
+    both = out.join(docs.select("doc_id", "text"), "doc_id")
+    torn = both.groupBy(F.coalesce("text", F.lit(""))).agg(F.count_distinct("shard").alias("s"), F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).where("s > 1").collect()
+    whole = out.agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).first()
+    assert all(max(r[c] / whole[c] for c in "btn") > 1 / 16 for r in torn)
+    if sf != "0.001":
+        load = [r["b"] for r in out.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+        assert len(load) == 16 and max(load) / min(load) < 1.01
+
+
 # 9 PII
 
 
