@@ -507,6 +507,90 @@ def test_pii(spark, odd, empty):
     assert pii.replace_entities(empty).count() == 0 and pii.replace_entities(odd).count() == len(ODD)
 
 
+def plain_mentions(text):
+    """(mentions, what stands between them), by plain pattern search."""
+    import regex
+
+    pattern = pii.PATTERN
+    named = [e for e in (m[0] for m in regex.finditer(pattern, text)) if not any(regex.fullmatch(p, e) for k, p in pii.PATTERNS.items() if k != "name")]
+    last = [regex.sub(f"^{pii._TITLE}", "", e).rsplit(" ", 1)[-1] for e in named]
+    last = [w for w in last if len(w) > 2]
+    if last:
+        pattern += f"|{pii._LEFT}(?:{'|'.join(last)}){pii._RIGHT}"
+    at, gaps, found = 0, [], []
+    for m in regex.finditer(pattern, text):
+        gaps.append(text[at : m.start()])
+        found.append(m[0])
+        at = m.end()
+    return found, [*gaps, text[at:]]
+
+
+def plain_parts(e):
+    """The parts of a mention in normal form, with their places' shape."""
+    import regex
+
+    kind = next((k for k, p in pii.PATTERNS.items() if k != "name" and regex.fullmatch(p, e)), "name")
+    if kind == "name":
+        words = regex.sub(f"^{pii._TITLE}", "", e).lower().split(" ")
+        return [("family", w) for w in words[-1].split("-")] + [("given", w) for x in words[:-1] for w in x.split("-")]
+    if kind == "email":
+        return [(kind, e.lower())]
+    if kind == "phone":
+        return [(kind, re.sub("[^0-9]", "", re.sub(r"^\+[0-9]{1,3}(?=[ .(-])", "", e))[-9:])]
+    return [(kind, re.sub("[^0-9A-Z]", "", e.upper()) if kind in ("iban", "card", "ssn") else e)]
+
+
+PEOPLE = [
+    "Dr. John Smith met JOHN SMITH and Mr Smith; then Smith left. Call +1 415-555-1234 or (415) 555-1234 or 415 555 1234.",
+    "Bob.K@x.com and bob.k@x.com, Ahmed Hassan, Priya Sharma, Wei Zhang, Mr. O'Brien, Mrs. Anne-Marie Dupont, John McDonald.",
+    "IBAN DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432, ssn 123-45-6789, ip 10.2.30.200, card 4111 1111 1111 1111.",
+    "меня зовут Алла Пугачёва and Иван Петров. Κώστας Παπαδόπουλος, my name is Xenia Quill. Quill and +1 22 33.",
+]
+
+
+def test_pii_brute_force(spark, sf):
+    texts = PEOPLE + [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    out = pii.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    to = {}
+    for r in out:
+        old = texts[r["doc_id"]]
+        found, gaps = plain_mentions(old or "")
+        assert r["n_entities"] == len(found)
+        if not found:
+            assert r["text"] == old
+            continue
+        m = re.fullmatch("(.+?)".join(map(re.escape, gaps)), r["text"], re.S)
+        assert m, (old, r["text"])
+        for e, new in zip(found, m.groups(), strict=True):
+            assert new != e and to.setdefault(e, new) == new
+            if not re.search("[A-Za-z]{2}.*@| ", e) and "@" not in e:
+                assert len(new) == len(e) or not re.fullmatch("[0-9a-fA-F.+()-]+", e) or "." in e
+    # Equal parts have equal surrogates, different ones different ones; none is real.
+    parts, real = {}, {p for e in to for p in plain_parts(e)}
+    for e, new in to.items():
+        for (kind, x), (other, y) in zip(plain_parts(e), plain_parts(new), strict=True):
+            assert kind == other and parts.setdefault((kind, x), y) == y
+            assert kind == "given" or (kind, y) not in real
+    for kind in {k for k, _ in parts} - {"given"}:
+        values = [y for (k, _), y in parts.items() if k == kind]
+        assert len(set(values)) == len(values)
+    for e, new in to.items():
+        if plain_parts(e)[0][0] == "iban":
+            compact = plain_parts(new)[0][1]
+            assert int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97 == 1 and compact[:2] == e[:2]
+    first = next(r["text"] for r in out if r["doc_id"] == 0)
+    m = re.match(r"Dr\. (\w+) (\w+) met (\w+) (\w+) and Mr (\w+); then (\w+) left\. Call \+1 (\d{3}-\d{3}-\d{4}) or (\S+ \S+) or (\d{3} \d{3} \d{4})\.$", first)
+    assert m and m[1].title() in pii.MALE_NAMES and m[3] == m[1].upper() and m[4] == m[2].upper() and m[2] == m[5] == m[6]
+    assert len({re.sub("[^0-9]", "", m[i]) for i in (7, 8, 9)}) == 1
+    assert sum(e in to for e in ("Ahmed Hassan", "Priya Sharma", "Wei Zhang", "Mr. O'Brien", "Mrs. Anne-Marie Dupont", "John McDonald", "Xenia Quill", "Quill", "Алла Пугачёва")) == 9
+
+
+def test_pii_grows_when_full(spark):
+    texts = [f"+1 {i:02d} {j:02d} now" for i in range(30, 60) for j in range(100)]
+    out = [r["text"] for r in pii.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()]
+    assert len(set(out)) == len(texts) and not set(out) & set(texts)
+
+
 def test_pii_distinct(spark):
     texts = [f"at {i % 10}.{i // 10 % 10}.{i // 100}.1 now" for i in range(600)]
     out = [r["text"] for r in pii.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()]
