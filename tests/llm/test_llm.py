@@ -371,21 +371,62 @@ def test_lm_base_brute_force(spark):
         assert got[i]["n_tokens"] == len(t) and got[i]["n_known"] == sum(c[x] > 0 for x in t)
 
 
-def test_lm_sums_to_one(spark, monkeypatch):
-    monkeypatch.setattr(lm, "OWN_TYPES", 2)
-    monkeypatch.setattr(lm, "HEAD_WORDS", 3)
-    docs = spark.createDataFrame([("a b a cd ed a b",), ("xd b a",), ("a",)], "text string")
-    model, rare = lm.train(docs)
-    vocab = sorted({w for (t,) in docs.collect() for w in t.split()})
-    # After "a": every known word, one unknown word of each shared type, one of none, and the end.
-    nexts = [*vocab, *(f"?{e}" for e in model.shared), "???"]
-    texts = spark.createDataFrame([(w, f"a {w}") for w in nexts] + [("", "a")], "w string, text string")
-    step, first = model.step, model.step[lm.END, model.type_of("a")]
-    end = lambda w: step[model.type_of(w), lm.END] if w else 0.0
+@pytest.fixture
+def small_lm(spark, monkeypatch):
+    monkeypatch.setattr(lm, "OWN_TYPES", 3)
+    monkeypatch.setattr(lm, "CLASSES", 4)
+    docs = spark.createDataFrame([("a b a cd ed a b the rabbit",), ("xd b a the hare a b",), ("a",), (None,), ("the turtle b b the rabbit",)], "text string")
+    return docs, *lm.train(docs)
+
+
+def test_lm_sums_to_one(spark, small_lm):
+    docs, model, rare = small_lm
+    vocab = sorted({w for (t,) in docs.collect() for w in (t or "").split()})
+    before = model.classes[model.type_of("a")]
+    last = model.classes[lm.END]
+    first = model.move[last, model.of_head[model.head["a"]]] + model.logs[model.head["a"]] - model.share[model.of_head[model.head["a"]]]
+    texts = spark.createDataFrame([(w, f"a {w}") for w in vocab] + [("", "a")], "w string, text string")
+    end = lambda w: model.move[model.classes[model.type_of(w)], last] + math.log10(model.ends + 0.5) - model.share[last] if w else 0.0
     p = [10 ** (r["score"] - first - end(r["w"])) for r in lm.score(texts, model, rare, carry=("w",)).collect()]
+    # What is left is half a count for unseen words in each class.
+    p += (10 ** model.move[before] * 0.5 / 10**model.share).tolist()
     assert sum(p) == pytest.approx(1, abs=1e-6)
 
 
+def test_lm_head_changes_nothing(spark, small_lm, monkeypatch):
+    docs, model, rare = small_lm
+    monkeypatch.setattr(lm, "HEAD_WORDS", 2)
+    less, more = lm.train(docs)
+    assert len(less.head) < len(model.head) and more.count() > rare.count()
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(["the rabbit a cd", "xd unseen turtle the", "", "zz a zz hare"])], "doc_id long, text string")
+    run = lambda m, r: {x["doc_id"]: x for x in lm.score(texts, m, r, carry=("doc_id",)).collect()}
+    one, two = run(model, rare), run(less, more)
+    assert all(one[i][c] == pytest.approx(two[i][c]) for i in one for c in ("n_tokens", "n_known", "base_score", "score"))
+
+
+def test_lm_words_follow_their_contexts(spark, monkeypatch):
+    """Rare words that share an ending take the class of what they stand beside, not of the ending."""
+    monkeypatch.setattr(lm, "OWN_TYPES", 8)
+    monkeypatch.setattr(lm, "CLASSES", 6)
+    rng = random.Random(5)
+    nouns, verbs = [f"n{i}ax" for i in range(12)], [f"v{i}ax" for i in range(12)]
+    some = lambda of, usual: rng.choice(of) if rng.random() < 0.4 else usual
+    rows = [(" ".join(w for _ in range(40) for w in (rng.choice(["the", "a", "my"]), some(nouns, "cat"), rng.choice(["will", "can", "may"]), some(verbs, "run"))),) for _ in range(30)]
+    model, rare = lm.train(spark.createDataFrame(rows, "text string"))
+    k = {w: int(model.of_head[i]) for w, i in model.head.items()}
+    assert len({k[w] for w in nouns}) == 1 and len({k[w] for w in verbs}) == 1 and k[nouns[0]] == k["cat"] != k[verbs[0]]
+
+
+def test_lm_odd(spark, odd, small_lm):
+    _, model, rare = small_lm
+    docs = odd.withColumn("rid", F.lit(1)).withColumn("score", F.lit("x")).withColumn("base", F.lit(2)).withColumn("a.b", F.lit(3))
+    out = lm.score(docs, model, rare, carry=("doc_id", "rid", "score", "base"))
+    assert out.columns == ["doc_id", "rid", "_score", "base", "n_tokens", "n_known", "base_score", "score"]
+    got = out.collect()
+    assert len(got) == len(ODD) and all(r["_score"] == "x" and r["score"] < 0 for r in got)
+    assert lm.score(docs.limit(0), model, rare, carry=("doc_id",)).count() == 0
+
+
 def test_lm_beats_base(spark):
     rows = QUERIES["op7_lm"](spark, "/root/testdata/sf0.01").where("held_out").collect()
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
