@@ -65,3 +65,8 @@ def fresh_name(df: DataFrame, base: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def quoted(name: str) -> str:
+    """A column's name as it is, dots and all."""
+    return "`" + name.replace("`", "``") + "`"

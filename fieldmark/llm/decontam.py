@@ -16,7 +16,7 @@ their slots, picked by broadcast only up to BROADCAST_DOCS.
 
 Edge cases: null and empty texts match nothing, on either side; items of fewer words than a window are one window of
 their own length, and those of one or two words count only where a document has them, values and all, as a whole line;
-an item's first word matches in any letter case; windows with less than half literal words count where all their values are equal; repeated rows, and rows that share an id, are judged by id and text; an empty table on either side gives an empty result.
+an item's first word matches in any letter case; windows with less than half literal words count where all their values are equal; repeated rows, and rows that share an id, are judged by id and text; an empty table on either side gives an empty result; other columns of docs do not matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm._base import fresh_name, store, table
+from fieldmark.llm._base import fresh_name, quoted, store, table
 
 WINDOW = 8
 #: Words that the windows of one alignment must cover, or all of a shorter item's.
@@ -223,4 +223,4 @@ def decontam_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     mark = fresh_name(docs, "_leak_row")
     leaks = store(find_leaks(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select(F.col("row").alias(mark)).distinct(), "leak-rows")
     side = F.broadcast(leaks) if leaks.count() <= BROADCAST_DOCS else leaks
-    return docs.withColumn(mark, row_key(F.col("doc_id"), F.col("text"))).join(side, mark, "left_anti").select(*docs.columns)
+    return docs.withColumn(mark, row_key(F.col("doc_id"), F.col("text"))).join(side, mark, "left_anti").select(*[quoted(c) for c in docs.columns])

@@ -14,7 +14,8 @@ components are exact while no group is expanded into all its pairs.
 
 Edge cases: null and empty texts have an empty set (0 shingles) and link with nothing; texts of fewer words than n are
 one shingle; repeated rows are copies of each other; rows with a null id take part in classes, but never name a
-component (a component of such rows only is null); an empty table gives an empty result.
+component (a component of such rows only is null); an empty table gives an empty result; other columns do not matter,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm._base import discard, free_shuffles, fresh_name, small_batches, store, table, texts_of
+from fieldmark.llm._base import discard, free_shuffles, fresh_name, quoted, small_batches, store, table, texts_of
 from fieldmark.operators.graph import components
 
 #: Rounds in which lists are linked to one member before what is left is tested in full.
@@ -498,10 +499,6 @@ def classes_and_links(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     return done()
 
 
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def component_ids(own: DataFrame, roots: DataFrame) -> DataFrame:
     """(id, node, n, component_id) of each document; those without shingles are alone."""
     named = own.where(F.col("n") > 0).groupBy("node").agg(F.min("id").alias("rep")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -528,13 +525,13 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     if not repeated:
         mark = fresh_name(docs, "_dedup_id")
-        return docs.withColumn(mark, F.col("doc_id").cast("long")).join(side.select(F.col("id").alias(mark)), mark, "left_anti").select(*[_quoted(c) for c in docs.columns])
-    node, mark, nth = fresh_name(docs, "_dedup_node"), fresh_name(docs, "_dedup_id"), fresh_name(docs, "_dedup_nth")
+        return docs.withColumn(mark, F.col("doc_id").cast("long")).join(side.select(F.col("id").alias(mark)), mark, "left_anti").select(*[quoted(c) for c in docs.columns])
+    node, mark = fresh_name(docs, "_dedup_node"), fresh_name(docs, "_dedup_id")
     marked = docs.withColumn(node, _node_udf(5)(F.col("text"))).withColumn(mark, F.col("doc_id").cast("long"))
     left = marked.join(side.select(F.col("id").alias(mark), F.col("node").alias(node)), [mark, node], "left_anti")
     alone = left.where(F.col(mark).isNull() | (F.col(node) == 0))
     once = left.where(F.col(mark).isNotNull() & (F.col(node) != 0)).dropDuplicates([mark, node])
-    return once.unionByName(alone).drop(nth).select(*[_quoted(c) for c in docs.columns])
+    return once.unionByName(alone).select(*[quoted(c) for c in docs.columns])
 
 
 def _node_udf(n: int) -> Any:

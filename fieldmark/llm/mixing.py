@@ -4,13 +4,14 @@ Every document gets the exponential key -ln(u) / w, u being a keyed hash of its
 source, documents in ascending key order form a weighted sample without replacement of any length. A source's target is
 first served by whole epochs; what is left selects the prefix of the key order whose sizes sum to the remainder.
 
-Scale: no source is ever sorted as a whole. Keys map monotonically to (0, 1], which is cut into as many ranges as keep a
-few thousand documents each; sums by (source, range) tell in which range the budget ends, and only that range is ordered
+Scale: no source is ever sorted as a whole. The logarithms of keys are cut into as many ranges as keep a few thousand
+documents each; sums by (source, range) tell in which range the budget ends, and only that range is ordered
 by row. Hot sources are thus spread over all tasks.
 
 Edge cases: a null text has size 0; a null source is a source of its own, sorted last; sizes of 0 are taken 0 times
 words; ties of key are ordered by id, then by size; identical rows that straddle the budget split it among themselves;
-an empty table gives an empty result; a null id hashes as the empty text.
+an empty table gives an empty result; a null id hashes as the empty text; the pipeline's stage carries all columns of
+docs, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldmark.llm._base import store, table, word_count
+from fieldmark.llm._base import quoted, store, table, word_count
 
 #: Documents for each key range, on average.
 RANGE_ROWS = 4000
@@ -80,7 +81,9 @@ def mix(
     plan = plan.withColumn("_ranges", F.ceil(F.col("_n") / RANGE_ROWS)).select(F.col("source").alias("_src"), "source_size", "target", "epochs", "_budget", "_ranges")
     plan = store(plan, "mix-plan")
     rows = keyed.join(plan, F.col("source").eqNullSafe(F.col("_src")))
-    rows = rows.withColumn("_range", F.floor((1 - F.exp(-F.col("_key"))) * F.col("_ranges")).cast("long"))
+    # The logarithm of an exponential variable of any rate has a density of 1/e at most, so no range holds more than its
+    # share of rows, however weights differ.
+    rows = rows.withColumn("_range", F.floor(F.log("_key") * F.col("_ranges")).cast("long"))
     sums = rows.groupBy("_src", "_range").agg(F.sum("size").alias("_in"), F.first("_budget").alias("_budget"))
     # Prefix sums in two steps, so that a hot source's ranges do not queue in one task.
     sums = sums.withColumn("_block", F.floor(F.col("_range") / 1024))
@@ -129,7 +132,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents as often as the mix takes them; the columns of docs."""
     # A row travels as one struct, so that no column of docs meets one of the mix.
-    packed = docs.select("doc_id", "source", word_count(F.col("text")).alias("n"), quality_weight(F.col("text")).alias("w"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    packed = docs.select("doc_id", "source", word_count(F.col("text")).alias("n"), quality_weight(F.col("text")).alias("w"), F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"))
     mixed = mix(packed, size=F.col("n"), weight=F.col("w"), boundary="whole", carry=("row",))
     return emit(mixed).select("row.*")
 

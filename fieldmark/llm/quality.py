@@ -2,7 +2,7 @@
 
 Each line gets surface features (shares of letters, capitals, digits and symbols, word lengths, repetition within the
 line, recurrence within the document, ...) and those of its neighbours. A two-state CRF, fitted on a bounded sample of
-labelled documents whose lines bear the document's label, gives each line's marginal probability of being good by
+labelled documents whose lines bear the document's label and two of which in a row make a chain, gives each line's marginal probability of being good by
 forward-backward; a document's score is the length-weighted mean of its lines' marginals, passed through a logistic
 curve fitted on the same sample. Nothing but the text enters a score.
 
@@ -10,19 +10,21 @@ Scale: fitting sees at most TRAIN_DOCS documents at any size of input; scoring i
 counts being vectorised over all characters of a batch.
 
 Edge cases: null and empty texts are one empty line; null labels and repeated ids in labels: the least non-null label
-counts; with no labels at all every score is 0.5; long texts are scored whole, in batches bounded by characters.
+counts; with no labels at all every score is 0.5; long texts are scored whole, in batches bounded by characters; an
+empty table gives an empty result; a column of docs named like the score stays, the score's name gets an underscore.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import zip_longest
 from typing import Any
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm._base import held_out, small_batches, table
+from fieldmark.llm._base import fresh_name, held_out, small_batches, table
 
 #: The most labelled documents that a fit uses: those whose ids have the least hashes.
 TRAIN_DOCS = 4000
@@ -192,15 +194,19 @@ class LineCrf:
 
 
 def fit(doc: np.ndarray, size: np.ndarray, x: np.ndarray, labels: np.ndarray, rounds: int = 150, ridge: float = 1e-3) -> LineCrf:
-    """Fit by full-batch Adam on the conditional log-likelihood; labels: one of each document."""
+    """Fit by full-batch Adam on the conditional log-likelihood; labels: one of each document.
+
+    Two documents in a row make one chain, so that chains pass from good lines to bad ones where their labels differ.
+    """
     width = x.shape[1]
     mean, scale = x.mean(axis=0), x.std(axis=0)
     mean[-1], scale[scale < 1e-9] = 0.0, 1.0
     model = LineCrf(mean, scale, np.zeros(width), np.zeros((2, 2)))
     z = np.clip((x - mean) / scale, -6, 6)
     y = labels[doc]
-    lengths = np.bincount(doc)
-    same = doc[1:] == doc[:-1]
+    chain = doc // 2
+    lengths = np.bincount(chain)
+    same = chain[1:] == chain[:-1]
     seen = np.zeros((2, 2))
     np.add.at(seen, (y[:-1][same], y[1:][same]), 1)
     total = len(y)
@@ -231,7 +237,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold_no:
     """(label, text) of at most `limit` labelled documents outside the held-out fold, those of least id hash."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds, fold_no)).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(limit)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")
+    # Of rows that share an id one counts, so the bound holds.
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text")).select("label", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> LineCrf:
@@ -258,14 +265,17 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> LineCr
         return LineCrf(np.zeros(width - 1), np.ones(width - 1), np.zeros(width - 1), np.zeros((2, 2)))
     # Executors return rows in no fixed order; the fit must not depend on it.
     order = sorted(range(len(y)), key=lambda i: (int(y[i]), blocks[i].tobytes()))
+    # Beside a document of the first half stands one of the second, so that many pairs have both labels.
+    half = (len(order) + 1) // 2
+    order = [i for pair in zip_longest(order[:half], order[half:]) for i in pair if i is not None]
     every = np.concatenate([blocks[i] for i in order])
     doc = np.repeat(np.arange(len(y)), [len(blocks[i]) for i in order])
     return fit(doc, every[:, 0], every[:, 1:], y[order])
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, *, limit: int = TRAIN_DOCS, name: str = "score") -> DataFrame:
-    """docs with a column of scores, fitted on labels."""
-    return docs.withColumn(name, _score_udf(train(docs, labels, limit))(F.col("text")))
+    """docs with a column of scores, fitted on labels; underscores go in front of its name where docs has a column of it."""
+    return docs.withColumn(fresh_name(docs, name), _score_udf(train(docs, labels, limit))(F.col("text")))
 
 
 def _score_udf(model: LineCrf) -> Any:

@@ -98,6 +98,30 @@ def test_mixing_whole(spark):
     assert mixing.emit(mixed).count() * 10 == sum(got.values())
 
 
+def test_mixing_ranges_are_small(spark, monkeypatch):
+    """No range gathers documents of low weight."""
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 100)
+    n = 20_000
+    for weight in (1.0, 0.05):
+        keys = spark.range(n).select((-F.log(mixing.unit_hash(F.col("id"), 3)) / weight).alias("k"))
+        most = keys.groupBy(F.floor(F.log("k") * (n / 100))).count().agg(F.max("count")).first()[0]
+        assert most < 100
+
+
+def test_mixing_odd(spark, odd, empty):
+    sized = odd.withColumn("n", F.length(F.coalesce("text", F.lit(""))))
+    got = mixing.mix(sized, size=F.col("n"), weight=mixing.quality_weight(F.col("text")), carry=("shard",)).collect()
+    assert len(got) == len(ODD) and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
+    target, _ = brute_mix([(r["doc_id"], r["source"], r["size"]) for r in got])
+    taken = Counter()
+    for r in got:
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[s] - target[s]) < 1 for s in taken)
+    assert mixing.mix(empty, size=F.length("text"), weight=F.lit(1.0)).count() == 0
+    docs = odd.withColumn("a.b", F.lit(1))
+    assert mixing.mixing_stage(spark, docs, "").columns == docs.columns and mixing.mixing_stage(spark, docs.limit(0), "").count() == 0
+
+
 # 2 nearest neighbours
 
 
@@ -122,6 +146,41 @@ def test_ann_recall_and_ties(spark):
     assert got[20] == list(range(500, 520)) or set(got[20]) <= set(range(500, 560)) | set(range(900))
 
 
+def test_ann_verifies_few_of_clustered_vectors():
+    rng = np.random.default_rng(0)
+    x = np.repeat(rng.standard_normal((150, 32)), 40, axis=0) + 0.25 * rng.standard_normal((6000, 32))
+    index = ann.CollisionIndex(np.arange(len(x)), x)
+    hit = 0
+    for q in range(0, 6000, 200):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(set(np.argsort(-s)[:20].tolist()) & set(index.search(q, x[q], 20)[0].tolist()))
+    assert hit >= 0.9 * 20 * 30 and index.verified < 0.05 * 30 * len(x)
+
+
+def test_ann_recall_on_embeddings(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    x, ids = np.array([r["embedding"] for r in rows], dtype=float), np.array([r["vec_id"] for r in rows])
+    got = {}
+    for r in QUERIES["op2_ann"](spark, sf).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = 0
+    for i in np.flatnonzero(ids % 20 == 0):
+        s = (x * x[i]).sum(axis=1)
+        s[i] = -np.inf
+        hit += len(set(ids[np.lexsort((ids, -s))[:20]].tolist()) & got[ids[i]])
+    assert hit >= 0.9 * 20 * len(got)
+
+
+def test_ann_odd(spark):
+    rows = [(1, [1.0, 0.0], "a"), (1, [1.0, 0.0], "b"), (1, [0.0, 1.0], "c"), (2, [1.0, 1.0], None), (None, [1.0, 1.0], "d")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string").withColumn("_vb", F.lit(1)).withColumn("a.b", F.lit(1)).withColumn("rank", F.lit(0))
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(df, df).collect())
+    # Id 1 has two vectors: the least is its query, both are candidates for others.
+    assert got == [(1, 1, 2, 1.0), (2, 1, 1, 1.0), (2, 2, 1, 1.0)]
+
+
 def test_ann_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 1.0]), (2, [2.0, 0.0])], "vec_id long, embedding array<double>")
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(df, df.where("vec_id = 0")).orderBy("rank").collect()] == [(0, 1, 2), (0, 2, 1)]
