@@ -1,18 +1,20 @@
 """Choosing cohorts: row filters from a configuration, group filters, sampling, splits.
 
-Observations have aid, nid and, for the keys that use them, t, view, quality, species, tags, imgset. Random choices go by
-a hash of id and seed, so they are the same on every run and at every number of partitions.
+Observations have aid, nid and, for the keys that use them, t, view, quality, species, tags, imgset. Where rows are grouped
+by name, every unknown one is an individual of its own. Random choices go by a hash of id and seed, so they are the same
+on every run and at every number of partitions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldmark.functions.keys import is_known, quality_ok, viewpoint_ok
+from fieldmark.functions.keys import is_known, name_key, quality_ok, viewpoint_ok
 from fieldmark.functions.tags import tag_predicate
 
 
@@ -20,6 +22,15 @@ def hash_order(key: Column, seed: int) -> Column:
     return F.md5(F.concat(key.cast("string"), F.lit(f":{seed}")))
 
 
+#: Whom an observation shows: the key by which names are told apart.
+WHO = "_who"
+
+
+def told_apart(obs: DataFrame) -> DataFrame:
+    """obs with WHO."""
+    return obs.withColumn(WHO, name_key(F.col("aid"), F.col("nid")))
+
+
 def filter_rows(obs: DataFrame, **cfg: Any) -> DataFrame:
     """The conjunction of the given keys; each looks at one row, but for *_pername_global, which count in obs as given.
 
@@ -30,12 +41,12 @@ def filter_rows(obs: DataFrame, **cfg: Any) -> DataFrame:
     cfg = dict(cfg)
     out = obs
     if "min_pername_global" in cfg or "max_pername_global" in cfg:
-        counts = obs.groupBy("nid").agg(F.count(F.lit(1)).alias("_n"))
+        counts = told_apart(obs).groupBy(WHO).agg(F.count(F.lit(1)).alias("_n"))
         low, high = cfg.pop("min_pername_global", None), cfg.pop("max_pername_global", None)
         fit = F.lit(True)
         fit = fit & (F.col("_n") >= low) if low is not None else fit
         fit = fit & (F.col("_n") <= high) if high is not None else fit
-        out = out.join(counts.where(fit).select("nid"), "nid", "left_semi")
+        out = told_apart(out).join(counts.where(fit).select(WHO), WHO, "left_semi").drop(WHO)
     if cfg.get("species") == "primary":
         first = obs.groupBy("species").agg(F.count(F.lit(1)).alias("n"), F.min("aid").alias("first")).orderBy(F.desc("n"), "first").limit(1)
         cfg.pop("species")
@@ -68,27 +79,42 @@ def filter_rows(obs: DataFrame, **cfg: Any) -> DataFrame:
 
 def same_imageset(obs: DataFrame) -> DataFrame:
     """Per name the observations of the imageset that holds most of them; ties to the least imageset."""
-    sizes = obs.groupBy("nid", "imgset").agg(F.count(F.lit(1)).alias("_n"))
-    best = sizes.groupBy("nid").agg(F.max_by("imgset", F.struct("_n", -F.col("imgset"))).alias("imgset"))
-    return obs.join(best, ["nid", "imgset"], "left_semi")
+    named = told_apart(obs)
+    sizes = named.groupBy(WHO, "imgset").agg(F.count(F.lit(1)).alias("_n"))
+    best = sizes.groupBy(WHO).agg(F.max_by("imgset", F.struct("_n", -F.col("imgset"))).alias("imgset"))
+    return named.join(best, [WHO, "imgset"], "left_semi").drop(WHO)
 
 
 def view_pername(obs: DataFrame, needs: dict[str, int]) -> DataFrame:
     """Names that have at least so many observations of each of these viewpoints."""
-    counts = obs.groupBy("nid").agg(*[F.count_if(F.col("view") == v).alias(f"_v{i}") for i, v in enumerate(needs)])
+    named = told_apart(obs)
+    counts = named.groupBy(WHO).agg(*[F.count_if(F.col("view") == v).alias(f"_v{i}") for i, v in enumerate(needs)])
     fit = F.lit(True)
     for i, n in enumerate(needs.values()):
         fit = fit & (F.col(f"_v{i}") >= n)
-    return obs.join(counts.where(fit).select("nid"), "nid", "left_semi")
+    return named.join(counts.where(fit).select(WHO), WHO, "left_semi").drop(WHO)
 
 
 def min_timedelta(obs: DataFrame, least: int) -> DataFrame:
-    """Per name a largest subset with gaps of at least `least` seconds: a scan in time order that keeps what is far enough."""
-    ordered = F.array_sort(F.collect_list(F.struct("t", "aid")))
-    step = lambda s, x: F.when(F.size(s) == 0, F.array(x)).when(x["t"] - F.element_at(s, -1)["t"] >= least, F.concat(s, F.array(x))).otherwise(s)
-    # A name's times lie in one row: some bytes for each sighting of an individual.
-    kept = obs.where(F.col("t").isNotNull()).groupBy("nid").agg(ordered.alias("_o")).withColumn("_k", F.aggregate("_o", F.slice("_o", 1, 0), step))
-    return obs.join(kept.select(F.explode("_k.aid").alias("aid")), "aid", "left_semi")
+    """Per name a largest subset with gaps of at least `least` seconds: a scan in time order that keeps what is far enough.
+
+    A name's rows stream through one task in order of time; nothing but the last kept time is held.
+    """
+
+    def scan(batches: Iterator[Any]) -> Iterator[Any]:
+        import pyarrow as pa
+
+        who, last = None, 0
+        for b in batches:
+            kept = []
+            for w, t, aid in zip(*(b.column(c).to_pylist() for c in (WHO, "t", "aid")), strict=True):
+                if w != who or t - last >= least:
+                    who, last = w, t
+                    kept.append(aid)
+            yield pa.RecordBatch.from_pydict({"aid": pa.array(kept, pa.int64())})
+
+    rows = told_apart(obs).where(F.col("t").isNotNull()).select(WHO, "t", F.col("aid").cast("long").alias("aid"))
+    return obs.join(rows.repartition(WHO).sortWithinPartitions(WHO, "t", "aid").mapInArrow(scan, "aid long"), "aid", "left_semi")
 
 
 def pername(obs: DataFrame, least: int | None = None, most: int | None = None) -> DataFrame:
@@ -110,44 +136,63 @@ def sample_per_name(obs: DataFrame, n: int, rule: str = "hash", offset: int = 0,
         "mintime": [F.col("t").asc_nulls_last(), "aid"], "maxtime": [F.col("t").desc_nulls_last(), "aid"], "hash": [hash_order(F.col("aid"), seed), "aid"],
         "qual_and_view": [F.col("quality").desc_nulls_last(), F.col("view"), "aid"],
     }
-    nth = F.row_number().over(W.partitionBy("nid").orderBy(*orders[rule]))
-    return obs.withColumn("_nth", nth).where(F.col("_nth").between(offset + 1, offset + n)).drop("_nth")
+    nth = F.row_number().over(W.partitionBy(WHO).orderBy(*orders[rule]))
+    return told_apart(obs).withColumn("_nth", nth).where(F.col("_nth").between(offset + 1, offset + n)).drop("_nth", WHO)
 
 
 def names_slice(obs: DataFrame, n: int, offset: int = 0) -> DataFrame:
     """Observations of n names, in order of id, after the first offset."""
-    names = obs.select("nid").distinct().withColumn("_nth", F.row_number().over(W.orderBy("nid"))).where(F.col("_nth").between(offset + 1, offset + n))
-    return obs.join(names.select("nid"), "nid", "left_semi")
+    named = told_apart(obs)
+    # The first of an order: Spark keeps so many rows of each task, and merges those.
+    first = named.select(WHO).distinct().orderBy(WHO).limit(offset + n)
+    names = first.orderBy(WHO).offset(offset).limit(n)
+    return named.join(names, WHO, "left_semi").drop(WHO)
 
 
 def nth_occurrence(obs: DataFrame, offset: int = 0) -> DataFrame:
     """Per name the observations of one imageset: the one at this place in order."""
-    sets = obs.select("nid", "imgset").distinct().withColumn("_nth", F.row_number().over(W.partitionBy("nid").orderBy("imgset"))).where(F.col("_nth") == offset + 1)
-    return obs.join(sets.select("nid", "imgset"), ["nid", "imgset"], "left_semi")
+    named = told_apart(obs)
+    sets = named.select(WHO, "imgset").distinct().withColumn("_nth", F.row_number().over(W.partitionBy(WHO).orderBy("imgset"))).where(F.col("_nth") == offset + 1)
+    return named.join(sets.select(WHO, "imgset"), [WHO, "imgset"], "left_semi").drop(WHO)
+
+
+def _hash_places(groups: DataFrame, key: str, seed: int, size: str) -> DataFrame:
+    """groups with _before: the sum of `size` over the groups before it in hash order; sums go by range of hashes first."""
+    groups = groups.withColumn("_h", hash_order(F.col(key), seed)).withColumn("_range", F.substring("_h", 1, 4))
+    sums = groups.groupBy("_range").agg(F.sum(size).alias("_in"))
+    # At most 65,536 ranges, one row each.
+    base = F.coalesce(F.sum("_in").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    within = F.coalesce(F.sum(size).over(W.partitionBy("_range").orderBy("_h", key).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = groups.withColumn("_within", within).join(sums.select("_range", base.alias("_base")), "_range")
+    return placed.withColumn("_before", F.col("_base") + F.col("_within")).drop("_h", "_range", "_within", "_base")
 
 
 def sample_whole_names(obs: DataFrame, size: int, seed: int = 0) -> DataFrame:
-    """Whole names in hash order while their rows sum to at most size; a prefix of that order. One row per name is ordered."""
-    sizes = obs.groupBy("nid").agg(F.count(F.lit(1)).alias("_n"))
-    total = F.sum("_n").over(W.orderBy(hash_order(F.col("nid"), seed), "nid"))
-    return obs.join(sizes.withColumn("_total", total).where(F.col("_total") <= size).select("nid"), "nid", "left_semi")
+    """Whole names in hash order while their rows sum to at most size; a prefix of that order."""
+    named = told_apart(obs)
+    sizes = _hash_places(named.groupBy(WHO).agg(F.count(F.lit(1)).alias("_n")), WHO, seed, "_n")
+    return named.join(sizes.where(F.col("_before") + F.col("_n") <= size).select(WHO), WHO, "left_semi").drop(WHO)
 
 
 def sample_wrt_reference(obs: DataFrame, ref: DataFrame, *, per_ref_name: int, per_name: int, seed: int = 0) -> DataFrame:
     """Candidates to match a reference set: its own rows and those of its names' imagesets go; then per name of the
     reference the rows farthest in time from it on average, and of other names rows in hash order."""
-    free = obs.join(ref.select("aid"), "aid", "left_anti").join(ref.select("nid", "imgset").distinct(), ["nid", "imgset"], "left_anti")
-    own = free.join(ref.select("nid", F.col("t").alias("_rt")), "nid").groupBy(*obs.columns).agg(F.avg(F.abs(F.col("t") - F.col("_rt"))).alias("_d"))
-    nth = F.row_number().over(W.partitionBy("nid").orderBy(F.desc("_d"), "aid"))
+    seen = told_apart(ref)
+    free = told_apart(obs).join(ref.select("aid"), "aid", "left_anti").join(seen.select(WHO, "imgset").distinct(), [WHO, "imgset"], "left_anti")
+    own = free.join(seen.select(WHO, F.col("t").alias("_rt")), WHO).groupBy(*free.columns).agg(F.avg(F.abs(F.col("t") - F.col("_rt"))).alias("_d"))
+    nth = F.row_number().over(W.partitionBy(WHO).orderBy(F.desc("_d"), "aid"))
     truth = own.withColumn("_nth", nth).where(F.col("_nth") <= per_ref_name).select(*obs.columns)
-    others = sample_per_name(free.join(ref.select("nid"), "nid", "left_anti"), per_name, "hash", seed=seed)
+    others = sample_per_name(free.join(seen.select(WHO), WHO, "left_anti").drop(WHO), per_name, "hash", seed=seed)
     return truth.unionByName(others.select(*obs.columns))
 
 
-def folds(obs: DataFrame, k: int, seed: int = 0, group: str = "nid") -> DataFrame:
-    """obs with a fold: groups stay whole and are dealt in hash order."""
-    groups = obs.select(group).distinct().withColumn("fold", (F.row_number().over(W.orderBy(hash_order(F.col(group), seed), group)) - 1) % k)
-    return obs.join(groups, group)
+def folds(obs: DataFrame, k: int, seed: int = 0, group: str | None = None) -> DataFrame:
+    """obs with a fold: groups (names unless told otherwise) stay whole and are dealt in hash order."""
+    by = group or WHO
+    rows = obs if group else told_apart(obs)
+    groups = _hash_places(rows.select(by).distinct().withColumn("_one", F.lit(1)), by, seed, "_one")
+    dealt = rows.join(groups.select(by, (F.col("_before") % k).alias("fold")), by)
+    return dealt if group else dealt.drop(WHO)
 
 
 def stratified_folds(obs: DataFrame, k: int, label: str, group: str, seed: int = 0) -> DataFrame:

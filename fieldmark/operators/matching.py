@@ -16,6 +16,7 @@ from fieldmark.functions.weights import NAMED
 
 BLOCK_ROWS = 8192
 CHUNK_ROWS = 2048
+SLICE_ROWS = 256
 DIST_PLACES = 5
 
 
@@ -40,13 +41,24 @@ def knn(queries: DataFrame, database: DataFrame, k: int, *, exclude: str | None
             mat = lambda t: t.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(t), -1)
             x, y, qf, df = mat(q), mat(d), q.column("fx").to_numpy(), d.column("fx").to_numpy()
             own, other = (np.array(q.column(exclude).to_pylist()), np.array(d.column(exclude).to_pylist())) if exclude else (None, None)
-            for i in range(len(x)):
-                dist = np.round(np.sqrt(((y - x[i]) ** 2).sum(axis=1)), places)
-                at = np.flatnonzero(other != own[i]) if exclude else np.arange(len(y))
-                best = at[np.lexsort((df[at], dist[at]))[:k]]
-                out[0].append(np.full(len(best), qf[i]))
-                out[1].append(df[best])
-                out[2].append(dist[best])
+            yy = (y * y).sum(axis=1)
+            for at in range(0, len(x), SLICE_ROWS):
+                part = x[at : at + SLICE_ROWS]
+                xx = (part * part).sum(axis=1)
+                # Squared distances by one product choose candidates, with room for its rounding; those are measured anew.
+                near = xx[:, None] + yy - 2 * (part @ y.T)
+                if exclude:
+                    near[own[at : at + SLICE_ROWS, None] == other] = np.inf
+                slack = 1e-12 * (xx + yy.max())
+                kth = np.partition(near, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
+                limit = (np.sqrt(np.maximum(kth, 0) + slack) + 2 * 10.0**-places) ** 2 + slack
+                for i in range(len(part)):
+                    some = np.flatnonzero((near[i] <= limit[i]) & np.isfinite(near[i]))
+                    dist = np.round(np.sqrt(((y[some] - part[i]) ** 2).sum(axis=1)), places)
+                    best = np.lexsort((df[some], dist))[:k]
+                    out[0].append(np.full(len(best), qf[at + i]))
+                    out[1].append(df[some[best]])
+                    out[2].append(dist[best])
         kinds = (np.int64, np.int64, np.float64)
         return pa.table({c: np.concatenate(v) if v else np.empty(0, t) for c, v, t in zip(("q_fx", "d_fx", "dist"), out, kinds, strict=True)})
 

@@ -7,18 +7,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldmark.functions.geo import haversine_km, timespace_sec
+from fieldmark.operators.cohort import WHO, told_apart
 from fieldmark.operators.graph import components
 
 
-def gap_sessions(obs: DataFrame, gap: int, key: str = "nid") -> DataFrame:
-    """obs with session, from 1 by key: a new one where the time since the last is over `gap` seconds."""
-    w = W.partitionBy(key).orderBy("t", "aid")
+def gap_sessions(obs: DataFrame, gap: int, key: str | None = None) -> DataFrame:
+    """obs with session, from 1 by key (the name unless told otherwise): a new one where the time since the last is over
+    `gap` seconds. Each unknown observation is a session of its own."""
+    rows = obs if key else told_apart(obs)
+    w = W.partitionBy(key or WHO).orderBy("t", "aid")
     new = F.coalesce((F.col("t") - F.lag("t").over(w) > gap).cast("int"), F.lit(1))
-    return obs.withColumn("_new", new).withColumn("session", F.sum("_new").over(w)).drop("_new")
+    return rows.withColumn("_new", new).withColumn("session", F.sum("_new").over(w)).drop("_new", WHO)
 
 
-def session_stats(sessions: DataFrame, key: str = "nid") -> DataFrame:
-    return sessions.groupBy(key, "session").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("start"), F.max("t").alias("end"))
+def session_stats(sessions: DataFrame, key: str | None = None) -> DataFrame:
+    """Per key (the name unless told otherwise, unknown ones by minus the observation's id) and session: n, start, end."""
+    rows = sessions if key else told_apart(sessions).drop("nid").withColumnRenamed(WHO, "nid")
+    return rows.groupBy(key or "nid", "session").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("start"), F.max("t").alias("end"))
 
 
 def chunks_of_time(obs: DataFrame, gap: int) -> DataFrame:
@@ -70,7 +75,23 @@ def relabel_by_time(clusters: DataFrame, obs: DataFrame, least: int = 1) -> Data
     return both.join(per.withColumn("label", F.row_number().over(W.orderBy("_t", "occurrence")) - 1).select("occurrence", "label"), "occurrence").select("aid", "label")
 
 
-def waypoint_ranges(rows: DataFrame, waypoints: DataFrame) -> DataFrame:
-    """(waypoint, n, start, end): rows by position in [first, last) of a waypoint."""
-    met = rows.join(waypoints, (F.col("pos") >= F.col("first")) & (F.col("pos") < F.col("last")))
+def waypoint_ranges(rows: DataFrame, waypoints: DataFrame, cell: int = 64) -> DataFrame:
+    """(waypoint, n, start, end): rows by position in [first, last) of a waypoint.
+
+    Positions are cut into cells; a waypoint joins the rows of the cells that it touches by equality.
+    """
+    spans = waypoints.where(F.col("last") > F.col("first")).withColumn("_cell", F.explode(F.sequence(F.floor(F.col("first") / cell), F.floor((F.col("last") - 1) / cell))))
+    met = rows.withColumn("_cell", F.floor(F.col("pos") / cell)).join(spans, "_cell").where((F.col("pos") >= F.col("first")) & (F.col("pos") < F.col("last")))
     return met.groupBy("waypoint").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("start"), F.max("t").alias("end"))
+
+
+def positions(rows: DataFrame, by: str, cell: int = 4096) -> DataFrame:
+    """rows with pos, from 0 in the order of a distinct whole number: counts by cell of the number first, then within cells."""
+    placed = rows.withColumn("_cell", F.floor(F.col(by) / cell))
+    counts = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n")).withColumn("_block", F.floor(F.col("_cell") / cell))
+    blocks = counts.groupBy("_block").agg(F.sum("_n").alias("_bn"))
+    before = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("_block", before("_bn", W.orderBy("_block")).alias("_base"))
+    first = counts.join(blocks, "_block").select("_cell", (F.col("_base") + before("_n", W.partitionBy("_block").orderBy("_cell"))).alias("_first"))
+    nth = F.row_number().over(W.partitionBy("_cell").orderBy(by)) - 1
+    return placed.withColumn("_nth", nth).join(first, "_cell").withColumn("pos", F.col("_first") + F.col("_nth")).drop("_cell", "_nth", "_first")

@@ -7,12 +7,32 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldmark.functions.weights import idf, selectivity
+from fieldmark.lineage import store
 from fieldmark.operators.matching import knn
 
 
-def seed_vocabulary(descriptors: DataFrame, n: int) -> DataFrame:
-    """(word, vec): the n descriptors of least id as centroids."""
-    return descriptors.orderBy("fx").limit(n).select(F.col("fx").alias("word"), "vec")
+#: Rows of a vocabulary that may be broadcast; a larger one is joined by shuffle.
+BROADCAST_WORDS = 10_000
+
+
+def _small(words: DataFrame) -> DataFrame:
+    return F.broadcast(words) if words.count() <= BROADCAST_WORDS else words
+
+
+def train_vocabulary(descriptors: DataFrame, n: int, rounds: int = 10, seed: int = 0) -> DataFrame:
+    """(word, vec): n centroids by k-means over all descriptors (fx, vec), begun with those whose ids hash least.
+
+    Sums are combined by task before the shuffle; a word that no descriptor is nearest to stays where it is.
+    """
+    first = descriptors.select(F.md5(F.concat(F.col("fx").cast("string"), F.lit(f":{seed}"))).alias("h"), "fx", "vec").orderBy("h", "fx").limit(n)
+    # n rows, numbered in one task.
+    words = store(first.select((F.row_number().over(W.orderBy("h", "fx")) - 1).cast("long").alias("word"), F.col("vec").cast("array<double>").alias("vec")), "vocabulary")
+    head = words.select(F.size("vec").alias("d")).first()
+    for _ in range(rounds if head else 0):
+        held = assign(descriptors, words).join(descriptors.select("fx", "vec"), "fx")
+        means = held.groupBy("word").agg(F.array(*[F.avg(F.col("vec")[i].cast("double")) for i in range(head["d"])]).alias("mean"))
+        words = store(words.join(means, "word", "left").select("word", F.coalesce("mean", "vec").alias("vec")), "vocabulary")
+    return words
 
 
 def assign(descriptors: DataFrame, words: DataFrame, n: int = 1) -> DataFrame:
@@ -52,14 +72,13 @@ def word_weights_maw(assigned: DataFrame, total: DataFrame) -> DataFrame:
 
 def aggregate_residuals(assigned: DataFrame, descriptors: DataFrame, words: DataFrame) -> DataFrame:
     """(aid, word, rvec): normalised sum of an observation's unit residuals at a word; null where it vanishes."""
-    both = assigned.select("aid", "fx", "word").join(descriptors.select("fx", "vec"), "fx").join(F.broadcast(words.select("word", F.col("vec").alias("centre"))), "word")
-    parts = both.select("aid", "word", "fx", F.posexplode(F.zip_with("vec", "centre", lambda a, b: a.cast("double") - b.cast("double"))).alias("i", "r"))
-    norm = F.sqrt(F.sum(F.col("r") * F.col("r")).over(W.partitionBy("fx", "word")))
-    unit = parts.withColumn("u", F.when(norm > 1e-12, F.col("r") / norm).otherwise(0.0))
-    sums = unit.groupBy("aid", "word", "i").agg(F.sum("u").alias("s"))
-    vec = sums.groupBy("aid", "word").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]).alias("v"))
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    return vec.withColumn("_n", length).select("aid", "word", F.when(F.col("_n") > 1e-9, F.transform("v", lambda x: x / F.col("_n"))).alias("rvec"))
+    both = assigned.select("aid", "fx", "word").join(descriptors.select("fx", "vec"), "fx").join(_small(words.select("word", F.col("vec").alias("centre"))), "word")
+    head = words.select(F.size("vec").alias("d")).first()
+    squares = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
+    parts = both.select("aid", "word", F.zip_with("vec", "centre", lambda a, b: a.cast("double") - b.cast("double")).alias("r")).withColumn("_n", squares("r"))
+    unit = parts.withColumn("u", F.transform("r", lambda x: F.when(F.col("_n") > 1e-12, x / F.col("_n")).otherwise(0.0)))
+    sums = unit.groupBy("aid", "word").agg(F.array(*[F.sum(F.col("u")[i]) for i in range(head["d"] if head else 0)]).cast("array<double>").alias("v"))
+    return sums.withColumn("_n", squares("v")).select("aid", "word", F.when(F.col("_n") > 1e-9, F.transform("v", lambda x: x / F.col("_n"))).alias("rvec"))
 
 
 def smk_scores(queries: DataFrame, database: DataFrame, weights: DataFrame, alpha: float = 3.0, least: float = 0.0, places: int = 6) -> DataFrame:

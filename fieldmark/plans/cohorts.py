@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.functions.keys import encounter_text, match_truth
+from fieldmark.functions.keys import encounter_text, match_truth, name_key
 from fieldmark.functions.tags import tag_predicate
 from fieldmark.operators import cohort, deltas, grouping, pairs
-from fieldmark.plans.registry import OBS_SQL, VIEWS, observations, query
+from fieldmark.plans.registry import APART_SQL, OBS_SQL, VIEWS, observations, query
 from fieldmark.schema import ring_distance
 from fieldmark.sources.tables import table
 
 WITH = f"WITH {OBS_SQL} "
+#: Queries that group by name return its key: minus the observation's id where it is unknown.
+APART = f"WITH {APART_SQL} "
+
+
+def _key() -> Column:
+    return name_key(F.col("aid"), F.col("nid")).alias("nid")
 
 
 def _filter(name: str, cfg: dict, where: str) -> None:
@@ -274,9 +280,9 @@ def pair_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _sample(rule: str, order: str) -> None:
-    @query(WITH + f"SELECT aid, nid FROM obs QUALIFY row_number() OVER (PARTITION BY nid ORDER BY {order}) BETWEEN 2 AND 4", name=f"sample_per_name_{rule}")
+    @query(APART + f"SELECT aid, nid FROM obs QUALIFY row_number() OVER (PARTITION BY nid ORDER BY {order}) BETWEEN 2 AND 4", name=f"sample_per_name_{rule}")
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return cohort.sample_per_name(observations(spark, sf), 3, rule, offset=1, seed=7).select("aid", "nid")
+        return cohort.sample_per_name(observations(spark, sf), 3, rule, offset=1, seed=7).select("aid", _key())
 
 
 _sample("mintime", "t NULLS LAST, aid")
@@ -285,75 +291,75 @@ _sample("hash", "md5(aid || ':7'), aid")
 _sample("qual_and_view", "quality DESC NULLS LAST, view, aid")
 
 
-@query(WITH + ", n AS (SELECT nid, row_number() OVER (ORDER BY nid) AS i FROM (SELECT DISTINCT nid FROM obs)) SELECT aid, nid FROM obs WHERE nid IN (SELECT nid FROM n WHERE i BETWEEN 6 AND 25)")
+@query(APART + ", n AS (SELECT nid, row_number() OVER (ORDER BY nid) AS i FROM (SELECT DISTINCT nid FROM obs)) SELECT aid, nid FROM obs WHERE nid IN (SELECT nid FROM n WHERE i BETWEEN 6 AND 25)")
 def sample_names_slice(spark: SparkSession, sf: str) -> DataFrame:
-    return cohort.names_slice(observations(spark, sf), 20, 5).select("aid", "nid")
+    return cohort.names_slice(observations(spark, sf), 20, 5).select("aid", _key())
 
 
-@query(WITH + ", n AS (SELECT nid, count(*) AS c FROM obs GROUP BY nid), s AS (SELECT nid, sum(c) OVER (ORDER BY md5(nid || ':3'), nid) AS total FROM n) SELECT aid, nid FROM obs WHERE nid IN (SELECT nid FROM s WHERE total <= 3000)")
+@query(APART + ", n AS (SELECT nid, count(*) AS c FROM obs GROUP BY nid), s AS (SELECT nid, sum(c) OVER (ORDER BY md5(nid || ':3'), nid) AS total FROM n) SELECT aid, nid FROM obs WHERE nid IN (SELECT nid FROM s WHERE total <= 3000)")
 def sample_greedy_size(spark: SparkSession, sf: str) -> DataFrame:
-    return cohort.sample_whole_names(observations(spark, sf), 3000, seed=3).select("aid", "nid")
+    return cohort.sample_whole_names(observations(spark, sf), 3000, seed=3).select("aid", _key())
 
 
-@query(WITH + ", s AS (SELECT nid, imgset, row_number() OVER (PARTITION BY nid ORDER BY imgset) AS i FROM (SELECT DISTINCT nid, imgset FROM obs)) SELECT aid, nid FROM obs JOIN s USING (nid, imgset) WHERE i = 2")
+@query(APART + ", s AS (SELECT nid, imgset, row_number() OVER (PARTITION BY nid ORDER BY imgset) AS i FROM (SELECT DISTINCT nid, imgset FROM obs)) SELECT aid, nid FROM obs JOIN s USING (nid, imgset) WHERE i = 2")
 def sample_nth_occurrence(spark: SparkSession, sf: str) -> DataFrame:
-    return cohort.nth_occurrence(observations(spark, sf), 1).select("aid", "nid")
+    return cohort.nth_occurrence(observations(spark, sf), 1).select("aid", _key())
 
 
-@query(WITH + ", g AS (SELECT nid, (row_number() OVER (ORDER BY md5(nid || ':5'), nid) - 1) % 4 AS fold FROM (SELECT DISTINCT nid FROM obs)) SELECT aid, nid, fold FROM obs JOIN g USING (nid)")
+@query(APART + ", g AS (SELECT nid, (row_number() OVER (ORDER BY md5(nid || ':5'), nid) - 1) % 4 AS fold FROM (SELECT DISTINCT nid FROM obs)) SELECT aid, nid, fold FROM obs JOIN g USING (nid)")
 def crossval_folds(spark: SparkSession, sf: str) -> DataFrame:
-    return cohort.folds(observations(spark, sf), 4, seed=5).select("aid", "nid", F.col("fold").cast("long").alias("fold"))
+    return cohort.folds(observations(spark, sf), 4, seed=5).select("aid", _key(), F.col("fold").cast("long").alias("fold"))
 
 
-@query(WITH + """, c AS (SELECT nid, view, count(*) AS n FROM obs GROUP BY nid, view), m AS (SELECT nid, view FROM c QUALIFY row_number() OVER (PARTITION BY nid ORDER BY n DESC, view DESC) = 1),
+@query(APART + """, c AS (SELECT nid, view, count(*) AS n FROM obs GROUP BY nid, view), m AS (SELECT nid, view FROM c QUALIFY row_number() OVER (PARTITION BY nid ORDER BY n DESC, view DESC) = 1),
 g AS (SELECT nid, (row_number() OVER (PARTITION BY view ORDER BY md5(nid || ':5'), nid) - 1) % 3 AS fold FROM m) SELECT aid, nid, fold FROM obs JOIN g USING (nid)""")
 def stratified_folds(spark: SparkSession, sf: str) -> DataFrame:
-    return cohort.stratified_folds(observations(spark, sf), 3, "view", "nid", seed=5).select("aid", "nid", F.col("fold").cast("long").alias("fold"))
+    return cohort.stratified_folds(observations(spark, sf).withColumn("nid", _key()), 3, "view", "nid", seed=5).select("aid", _key(), F.col("fold").cast("long").alias("fold"))
 
 
-@query(WITH + """, p AS (SELECT aid, nid, row_number() OVER (PARTITION BY nid ORDER BY md5(aid || ':2'), aid) - 1 AS i, count(*) OVER (PARTITION BY nid) AS n FROM obs WHERE nid > 0)
+@query(APART + """, p AS (SELECT aid, nid, row_number() OVER (PARTITION BY nid ORDER BY md5(aid || ':2'), aid) - 1 AS i, count(*) OVER (PARTITION BY nid) AS n FROM obs WHERE nid > 0)
 SELECT (i // 3)::INT AS split, CASE WHEN i % 3 < 1 THEN 'query' ELSE 'database' END AS role, aid, nid FROM p WHERE n >= 3 AND i < 15 AND (i // 3 + 1) * 3 <= n
 UNION ALL SELECT s::INT, 'confusor', aid, nid FROM p, range(5) x(s) WHERE n < 3""")
 def crossval_roles(spark: SparkSession, sf: str) -> DataFrame:
     return cohort.crossval(observations(spark, sf).where("nid > 0"), queries=1, database=2, splits=5, seed=2)
 
 
-@query(WITH + "SELECT aid, row_number() OVER (PARTITION BY species ORDER BY md5(aid || ':1'), aid) <= floor(count(*) OVER (PARTITION BY species) * 0.8::DOUBLE) AS train FROM obs")
+@query(APART + "SELECT aid, row_number() OVER (PARTITION BY species ORDER BY md5(aid || ':1'), aid) <= floor(count(*) OVER (PARTITION BY species) * 0.8::DOUBLE) AS train FROM obs")
 def train_test_split(spark: SparkSession, sf: str) -> DataFrame:
     return cohort.train_test(observations(spark, sf), 0.8, "species", seed=1).select("aid", "train")
 
 
-@query(WITH + """, f AS (SELECT o.* FROM obs o WHERE NOT exemplar AND (nid, imgset) NOT IN (SELECT (nid, imgset) FROM obs WHERE exemplar)), r AS (SELECT nid, t AS rt FROM obs WHERE exemplar),
+@query(APART + """, f AS (SELECT o.* FROM obs o WHERE NOT exemplar AND (nid, imgset) NOT IN (SELECT (nid, imgset) FROM obs WHERE exemplar)), r AS (SELECT nid, t AS rt FROM obs WHERE exemplar),
 d AS (SELECT f.aid, f.nid, avg(abs(f.t - rt)) AS d FROM f JOIN r USING (nid) GROUP BY f.aid, f.nid)
 SELECT aid, nid FROM d QUALIFY row_number() OVER (PARTITION BY nid ORDER BY d DESC, aid) <= 2
 UNION ALL SELECT aid, nid FROM f WHERE nid NOT IN (SELECT nid FROM r) QUALIFY row_number() OVER (PARTITION BY nid ORDER BY md5(aid || ':0'), aid) <= 1""")
 def sample_wrt_reference(spark: SparkSession, sf: str) -> DataFrame:
     o = observations(spark, sf).select("aid", "nid", "imgset", "t", "exemplar")
-    return cohort.sample_wrt_reference(o, o.where("exemplar"), per_ref_name=2, per_name=1).select("aid", "nid")
+    return cohort.sample_wrt_reference(o, o.where("exemplar"), per_ref_name=2, per_name=1).select("aid", _key())
 
 
-@query("WITH RECURSIVE " + OBS_SQL + """, k AS (SELECT aid, nid, t, row_number() OVER (PARTITION BY nid ORDER BY t, aid) AS i FROM obs),
+@query("WITH RECURSIVE " + APART_SQL + """, k AS (SELECT aid, nid, t, row_number() OVER (PARTITION BY nid ORDER BY t, aid) AS i FROM obs),
 s AS (SELECT aid, nid, t, i, t AS last, true AS keep FROM k WHERE i = 1
   UNION ALL SELECT k.aid, k.nid, k.t, k.i, CASE WHEN k.t - s.last >= 43200 THEN k.t ELSE s.last END, k.t - s.last >= 43200 FROM s JOIN k ON k.nid = s.nid AND k.i = s.i + 1)
 SELECT aid, nid FROM s WHERE keep""")
 def min_timedelta_subset(spark: SparkSession, sf: str) -> DataFrame:
-    return cohort.min_timedelta(observations(spark, sf), 43200).select("aid", "nid")
+    return cohort.min_timedelta(observations(spark, sf), 43200).select("aid", _key())
 
 
-@query(WITH + ", g AS (SELECT nid FROM obs GROUP BY nid HAVING count(*) FILTER (view = 'click') >= 12 AND count(*) FILTER (view = 'error') >= 12) SELECT aid, nid FROM obs WHERE nid IN (SELECT nid FROM g)")
+@query(APART + ", g AS (SELECT nid FROM obs GROUP BY nid HAVING count(*) FILTER (view = 'click') >= 12 AND count(*) FILTER (view = 'error') >= 12) SELECT aid, nid FROM obs WHERE nid IN (SELECT nid FROM g)")
 def intragroup_view_pername(spark: SparkSession, sf: str) -> DataFrame:
-    return cohort.view_pername(observations(spark, sf), {"click": 12, "error": 12}).select("aid", "nid")
+    return cohort.view_pername(observations(spark, sf), {"click": 12, "error": 12}).select("aid", _key())
 
 
-@query(WITH + ", s AS (SELECT nid, imgset, count(*) AS n FROM obs GROUP BY nid, imgset), b AS (SELECT nid, imgset FROM s QUALIFY row_number() OVER (PARTITION BY nid ORDER BY n DESC, imgset) = 1) SELECT aid, nid FROM obs JOIN b USING (nid, imgset)")
+@query(APART + ", s AS (SELECT nid, imgset, count(*) AS n FROM obs GROUP BY nid, imgset), b AS (SELECT nid, imgset FROM s QUALIFY row_number() OVER (PARTITION BY nid ORDER BY n DESC, imgset) = 1) SELECT aid, nid FROM obs JOIN b USING (nid, imgset)")
 def intragroup_same_imageset(spark: SparkSession, sf: str) -> DataFrame:
-    return cohort.same_imageset(observations(spark, sf)).select("aid", "nid")
+    return cohort.same_imageset(observations(spark, sf)).select("aid", _key())
 
 
-@query(WITH + """, s AS (SELECT nid, imgset, count(*) AS n FROM obs GROUP BY nid, imgset), b AS (SELECT nid, imgset FROM s QUALIFY row_number() OVER (PARTITION BY nid ORDER BY n DESC, imgset) = 1),
+@query(APART + """, s AS (SELECT nid, imgset, count(*) AS n FROM obs GROUP BY nid, imgset), b AS (SELECT nid, imgset FROM s QUALIFY row_number() OVER (PARTITION BY nid ORDER BY n DESC, imgset) = 1),
 o AS (SELECT obs.* FROM obs JOIN b USING (nid, imgset)) SELECT aid, nid FROM o WHERE nid IN (SELECT nid FROM o GROUP BY nid HAVING count(*) BETWEEN 4 AND 7)""")
 def intragroup_chain(spark: SparkSession, sf: str) -> DataFrame:
-    return cohort.intragroup(observations(spark, sf), imageset=True, least=4, most=7).select("aid", "nid")
+    return cohort.intragroup(observations(spark, sf), imageset=True, least=4, most=7).select("aid", _key())
 
 
 @query("WITH x AS (SELECT *, md5(text) AS h FROM documents) SELECT doc_id, row_number() OVER (PARTITION BY h ORDER BY doc_id) AS nth FROM x QUALIFY nth > 1")

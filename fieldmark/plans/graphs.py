@@ -6,20 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fieldmark.functions.keys import name_key
 from fieldmark.operators import components_deep, deltas, graph, metrics, sessions
-from fieldmark.plans.registry import OBS_SQL, ROOTS_SQL, observations, query, review_edges
+from fieldmark.plans.registry import APART_SQL, OBS_SQL, ROOTS_SQL, observations, query, review_edges
 from fieldmark.sources.tables import table
 
 WITH = f"WITH {OBS_SQL} "
+APART = f"WITH {APART_SQL} "
 REC = f"WITH RECURSIVE {ROOTS_SQL} "
 
 
-@query(WITH + ", g AS (SELECT *, coalesce((t - lag(t) OVER (PARTITION BY nid ORDER BY t, aid) > 86400)::INT, 1) AS new FROM obs) SELECT aid, nid, sum(new) OVER (PARTITION BY nid ORDER BY t, aid)::BIGINT AS session FROM g")
+@query(APART + ", g AS (SELECT *, coalesce((t - lag(t) OVER (PARTITION BY nid ORDER BY t, aid) > 86400)::INT, 1) AS new FROM obs) SELECT aid, nid, sum(new) OVER (PARTITION BY nid ORDER BY t, aid)::BIGINT AS session FROM g")
 def sessions_gap(spark: SparkSession, sf: str) -> DataFrame:
-    return sessions.gap_sessions(observations(spark, sf), 86400).select("aid", "nid", "session")
+    return sessions.gap_sessions(observations(spark, sf), 86400).select("aid", name_key(F.col("aid"), F.col("nid")).alias("nid"), "session")
 
 
-@query(WITH + ', g AS (SELECT *, coalesce((t - lag(t) OVER (PARTITION BY nid ORDER BY t, aid) > 86400)::INT, 1) AS new FROM obs), s AS (SELECT *, sum(new) OVER (PARTITION BY nid ORDER BY t, aid)::BIGINT AS session FROM g) SELECT nid, session, count(*) AS n, min(t) AS start, max(t) AS "end" FROM s GROUP BY nid, session')
+@query(APART + ', g AS (SELECT *, coalesce((t - lag(t) OVER (PARTITION BY nid ORDER BY t, aid) > 86400)::INT, 1) AS new FROM obs), s AS (SELECT *, sum(new) OVER (PARTITION BY nid ORDER BY t, aid)::BIGINT AS session FROM g) SELECT nid, session, count(*) AS n, min(t) AS start, max(t) AS "end" FROM s GROUP BY nid, session')
 def sessions_stats(spark: SparkSession, sf: str) -> DataFrame:
     return sessions.session_stats(sessions.gap_sessions(observations(spark, sf), 86400))
 
@@ -41,7 +43,7 @@ def occurrence_timespace(spark: SparkSession, sf: str) -> DataFrame:
 @query(WITH + """, k AS (SELECT aid, t, row_number() OVER (ORDER BY aid) - 1 AS pos FROM obs), w AS (SELECT n_nationkey::BIGINT AS waypoint, n_nationkey * 100 AS first, n_nationkey * 100 + 80 AS last FROM nation)
 SELECT waypoint, count(*) AS n, min(t) AS start, max(t) AS "end" FROM k JOIN w ON pos >= first AND pos < last GROUP BY waypoint""")
 def waypoint_ranges(spark: SparkSession, sf: str) -> DataFrame:
-    rows = observations(spark, sf).withColumn("pos", F.row_number().over(W.orderBy("aid")) - 1)
+    rows = sessions.positions(observations(spark, sf), "aid")
     w = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("waypoint"), (F.col("n_nationkey") * 100).alias("first"), (F.col("n_nationkey") * 100 + 80).alias("last"))
     return sessions.waypoint_ranges(rows, w)
 
@@ -108,17 +110,25 @@ def graph_collapse(spark: SparkSession, sf: str) -> DataFrame:
     return graph.collapse(*_graph(spark, sf))
 
 
-@query()
+BRIDGES_SQL = f"""WITH RECURSIVE {ROOTS_SQL},
+me AS (SELECT DISTINCT a, b FROM edges WHERE state = 'match'),
+way(a, b, node) AS (SELECT a, b, a FROM me UNION SELECT w.a, w.b, m.b FROM way w JOIN m ON m.a = w.node AND NOT (least(m.a, m.b) = w.a AND greatest(m.a, m.b) = w.b)),
+br AS (SELECT a, b FROM me WHERE (a, b) NOT IN (SELECT (a, b) FROM way WHERE node = way.b)),
+m2 AS (SELECT m.a, m.b FROM m WHERE (least(m.a, m.b), greatest(m.a, m.b)) NOT IN (SELECT (a, b) FROM br)),
+r2(node, reach) AS (SELECT node, node FROM nodes UNION SELECT r2.node, m2.b FROM r2 JOIN m2 ON r2.reach = m2.a)"""
+
+
+@query(BRIDGES_SQL + " SELECT root, a, b FROM br JOIN roots ON node = a")
 def graph_bridges(spark: SparkSession, sf: str) -> DataFrame:
     return components_deep.bridges(review_edges(spark, sf))
 
 
-@query()
+@query(BRIDGES_SQL + " SELECT node, min(reach) AS root FROM r2 GROUP BY node")
 def graph_two_edge_components(spark: SparkSession, sf: str) -> DataFrame:
     return components_deep.two_edge_components(review_edges(spark, sf))
 
 
-@query()
+@query(BRIDGES_SQL + " SELECT root, count(*) AS size FROM roots WHERE root NOT IN (SELECT root FROM br JOIN roots ON node = a) GROUP BY root HAVING count(*) > 1")
 def graph_pos_redundant_k2(spark: SparkSession, sf: str) -> DataFrame:
     return components_deep.positive_redundant(review_edges(spark, sf), 2)
 

@@ -10,24 +10,23 @@ from fieldmark.operators import matching, words
 from fieldmark.plans.registry import DESC_SQL, descriptors, query
 
 K, KNORM = 4, 1
-SLOT = "aid % 8 = 0"
 
-#: Query features against the features of the other observations, the K + 1 nearest with their normaliser.
+#: Every feature against the features of all other observations, the K + 1 nearest with their normaliser.
 NEAR_SQL = f"""WITH {DESC_SQL},
-x AS (SELECT q.fx AS q_fx, q.aid AS q_aid, q.nid AS q_nid, d.fx AS d_fx, d.aid AS d_aid, d.nid AS d_nid, round(list_distance(q.vec, d.vec), 5) AS dist FROM d q JOIN d ON q.aid % 8 = 0 AND d.aid % 8 <> 0),
+x AS (SELECT q.fx AS q_fx, q.aid AS q_aid, q.nid AS q_nid, d.fx AS d_fx, d.aid AS d_aid, d.nid AS d_nid, round(list_distance(q.vec, d.vec), 5) AS dist FROM d q JOIN d ON q.aid <> d.aid),
 near AS (SELECT *, row_number() OVER (PARTITION BY q_fx ORDER BY dist, d_fx) AS rank FROM x QUALIFY rank <= {K + KNORM}),
 v AS (SELECT n.*, m.dist AS norm FROM near n JOIN near m ON m.q_fx = n.q_fx AND m.rank = {K + KNORM} WHERE n.rank <= {K}),
 s AS (SELECT *, round(norm - dist, 5) AS score FROM v)"""
 _DEC = "sum(score::DECIMAL(18, 5))::DOUBLE"
 ANNOT_SQL = NEAR_SQL + f", an AS (SELECT q_aid, d_aid, d_nid, {_DEC} AS score FROM s GROUP BY ALL)"
 NAME_SQL = NEAR_SQL + f", f AS (SELECT q_aid, d_nid, q_fx, max(score) AS score FROM s GROUP BY ALL), nm AS (SELECT q_aid, d_nid, {_DEC} AS score FROM f GROUP BY ALL), an AS (SELECT q_aid, d_aid, d_nid, {_DEC} AS score FROM s GROUP BY ALL)"
-RANK_SQL = NAME_SQL + ", rk AS (SELECT *, row_number() OVER (PARTITION BY q_aid ORDER BY score DESC, d_nid) AS rank FROM nm), tr AS (SELECT DISTINCT aid AS q_aid, nid AS q_nid FROM d WHERE aid % 8 = 0)"
+RANK_SQL = NAME_SQL + ", rk AS (SELECT *, row_number() OVER (PARTITION BY q_aid ORDER BY score DESC, d_nid) AS rank FROM nm), tr AS (SELECT DISTINCT aid AS q_aid, nid AS q_nid FROM d)"
 SUM_SQL = RANK_SQL + """, sm AS (SELECT q_aid, min(rank) FILTER (d_nid = q_nid) AS gt_rank, arg_min(score, rank) FILTER (d_nid = q_nid) AS gt_score, min(rank) FILTER (d_nid <> q_nid) AS gf_rank, arg_min(score, rank) FILTER (d_nid <> q_nid) AS gf_score FROM rk JOIN tr USING (q_aid) GROUP BY q_aid)"""
 
 
 def _near(spark: SparkSession, sf: str, k: int = K, knorm: int = KNORM) -> DataFrame:
     d = descriptors(spark, sf)
-    return matching.neighbours(d.where(SLOT), d.where(f"NOT ({SLOT})"), k, knorm)
+    return matching.neighbours(d, d, k, knorm, exclude="aid")
 
 
 def _scored(spark: SparkSession, sf: str, weight: str = "lnbnn") -> DataFrame:
@@ -35,7 +34,7 @@ def _scored(spark: SparkSession, sf: str, weight: str = "lnbnn") -> DataFrame:
 
 
 def _truth(spark: SparkSession, sf: str) -> DataFrame:
-    return descriptors(spark, sf).where(SLOT).select(F.col("aid").alias("q_aid"), F.col("nid").alias("q_nid")).distinct()
+    return descriptors(spark, sf).select(F.col("aid").alias("q_aid"), F.col("nid").alias("q_nid")).distinct()
 
 
 def _rank(spark: SparkSession, sf: str) -> DataFrame:
@@ -75,7 +74,7 @@ def _weight(name: str) -> None:
 for _name in _WEIGHTS:
     _weight(_name)
 
-_NEAR3 = f"""WITH {DESC_SQL}, x AS (SELECT q.fx AS q_fx, q.nid AS q_nid, d.fx AS d_fx, d.nid AS d_nid, round(list_distance(q.vec, d.vec), 5) AS dist FROM d q JOIN d ON q.aid % 8 = 0 AND d.aid % 8 <> 0),
+_NEAR3 = f"""WITH {DESC_SQL}, x AS (SELECT q.fx AS q_fx, q.nid AS q_nid, d.fx AS d_fx, d.nid AS d_nid, round(list_distance(q.vec, d.vec), 5) AS dist FROM d q JOIN d ON q.aid <> d.aid),
 near AS (SELECT *, row_number() OVER (PARTITION BY q_fx ORDER BY dist, d_fx) AS rank FROM x QUALIFY rank <= 7),
 top AS (SELECT q_fx, list(DISTINCT d_nid) AS l FROM near WHERE rank <= 4 GROUP BY q_fx)"""
 
@@ -92,10 +91,10 @@ def match_votes_name_rule(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _excluded(name: str, column: str) -> None:
-    @query(f"WITH {DESC_SQL}, x AS (SELECT q.fx AS q_fx, d.fx AS d_fx, round(list_distance(q.vec, d.vec), 5) AS dist FROM d q JOIN d ON q.aid % 8 = 0 AND q.{column} <> d.{column}) SELECT q_fx, d_fx, dist, row_number() OVER (PARTITION BY q_fx ORDER BY dist, d_fx) AS rank FROM x QUALIFY rank <= 5", name=name)
+    @query(f"WITH {DESC_SQL}, x AS (SELECT q.fx AS q_fx, d.fx AS d_fx, round(list_distance(q.vec, d.vec), 5) AS dist FROM d q JOIN d ON q.{column} <> d.{column}) SELECT q_fx, d_fx, dist, row_number() OVER (PARTITION BY q_fx ORDER BY dist, d_fx) AS rank FROM x QUALIFY rank <= 5", name=name)
     def run(spark: SparkSession, sf: str) -> DataFrame:
         d = descriptors(spark, sf)
-        return matching.knn(d.where(SLOT), d, 5, exclude=column).select("q_fx", "d_fx", "dist", "rank")
+        return matching.knn(d, d, 5, exclude=column).select("q_fx", "d_fx", "dist", "rank")
 
 
 _excluded("match_self_excluded", "aid")
@@ -153,14 +152,20 @@ def match_candidate_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return matching.candidate_pairs(rank, reviewed, 5)
 
 
-#: Words are the 32 descriptors of least id.
-WORDS_SQL = f"""WITH {DESC_SQL}, w AS (SELECT fx AS word, vec FROM d ORDER BY fx LIMIT 32),
+WORDS, ROUNDS = 32, 2
+_ROUND = """
+a{i} AS (SELECT d.fx, w.word, row_number() OVER (PARTITION BY d.fx ORDER BY round(list_distance(d.vec, w.vec), 5), w.word) AS rank FROM d, w{i} w),
+m{i} AS (SELECT word, list(m ORDER BY i) AS vec FROM (SELECT word, x.i, avg(d.vec[x.i]) AS m FROM a{i} JOIN d USING (fx), range(1, 65) x(i) WHERE rank = 1 GROUP BY ALL) GROUP BY word),
+w{n} AS (SELECT word, coalesce(m.vec, w.vec) AS vec FROM w{i} w LEFT JOIN m{i} m USING (word)),"""
+#: Words are centroids of two rounds of k-means over all descriptors, begun with the 32 whose ids hash least.
+WORDS_SQL = f"""WITH {DESC_SQL}, w0 AS (SELECT row_number() OVER (ORDER BY md5(fx || ':0'), fx) - 1 AS word, vec FROM d QUALIFY word < {WORDS}),""" + "".join(_ROUND.format(i=i, n=i + 1) for i in range(ROUNDS)) + f"""
+w AS (SELECT * FROM w{ROUNDS}),
 a AS (SELECT d.fx, d.aid, w.word, round(list_distance(d.vec, w.vec), 5) AS dist, row_number() OVER (PARTITION BY d.fx ORDER BY round(list_distance(d.vec, w.vec), 5), w.word) AS rank FROM d, w)"""
 
 
 def _assigned(spark: SparkSession, sf: str, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     d = descriptors(spark, sf)
-    vocab = words.seed_vocabulary(d, 32)
+    vocab = words.train_vocabulary(d, WORDS, ROUNDS)
     return words.assign(d, vocab, n).join(d.select("fx", "aid"), "fx"), d, vocab
 
 
@@ -206,9 +211,9 @@ c AS (SELECT word, ln((SELECT count(DISTINCT aid) FROM d) / count(DISTINCT aid))
 p AS (SELECT x.aid AS q_aid, y.aid AS d_aid, idf, CASE WHEN x.rvec IS NULL OR y.rvec IS NULL THEN 1.0 ELSE greatest(-1.0, least(1.0, list_dot_product(x.rvec, y.rvec))) END AS u FROM v x JOIN v y ON x.word = y.word JOIN c ON c.word = x.word),
 k AS (SELECT q_aid, d_aid, sum(idf * CASE WHEN u >= 0 THEN sign(u) * pow(abs(u), 3) ELSE 0 END) AS s FROM p GROUP BY ALL),
 ga AS (SELECT q_aid AS aid, CASE WHEN s > 0 THEN 1 / sqrt(s) ELSE 0 END AS gamma FROM k WHERE q_aid = d_aid)
-SELECT k.q_aid, k.d_aid, round(s * a.gamma * b.gamma, 5) AS score FROM k JOIN ga a ON a.aid = k.q_aid JOIN ga b ON b.aid = k.d_aid WHERE k.q_aid % 8 = 0 AND k.d_aid % 8 <> 0""")
+SELECT k.q_aid, k.d_aid, round(s * a.gamma * b.gamma, 5) AS score FROM k JOIN ga a ON a.aid = k.q_aid JOIN ga b ON b.aid = k.d_aid WHERE k.q_aid <> k.d_aid""")
 def smk_scores(spark: SparkSession, sf: str) -> DataFrame:
     a, d, vocab = _assigned(spark, sf, 1)
     rvecs = words.aggregate_residuals(a, d, vocab)
     weights = words.word_weights(a, d.agg(F.count_distinct("aid").alias("n")))
-    return words.smk_scores(rvecs.where(SLOT), rvecs.where(f"NOT ({SLOT})"), weights, places=5)
+    return words.smk_scores(rvecs, rvecs, weights, places=5).where("q_aid <> d_aid")

@@ -37,6 +37,10 @@ OBS_SQL = """obs AS (
   FROM events)"""
 
 
+#: The same with names by key: an unknown one is its own, minus the observation's id.
+APART_SQL = OBS_SQL.replace("THEN 0 ELSE user_id END AS nid", "THEN -event_id ELSE user_id END AS nid")
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as observations: a user is a name (every seventh unknown), an event's type its viewpoint, a day an imageset."""
     e = table(spark, sf_dir, "events")

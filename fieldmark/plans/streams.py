@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmark.lineage import fresh_path
-from fieldmark.plans.registry import query, review_edges
+from fieldmark.plans.registry import ROOTS_SQL, query, review_edges
 from fieldmark.sources.tables import table
 from fieldmark.streaming.incremental import growing_components, moving_average, once, read_stream
 
@@ -47,7 +47,7 @@ def stream_moving_average(spark: SparkSession, sf: str) -> DataFrame:
     return last.select("key", F.col("s.n").alias("n"), F.round("s.ewma", 6).alias("ewma"))
 
 
-@query()
+@query(f"WITH RECURSIVE {ROOTS_SQL} SELECT node, root FROM roots WHERE node IN (SELECT a FROM m)")
 def stream_components(spark: SparkSession, sf: str) -> DataFrame:
     """Match edges arriving in three batches; the same components as of all at once."""
     edges = review_edges(spark, sf).where("state = 'match'").withColumn("part", F.pmod(F.xxhash64("a", "b"), F.lit(3)))

@@ -1,9 +1,11 @@
 """Operators on small literal inputs."""
 
+import hashlib
 import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -319,3 +321,56 @@ def test_assign_sequentially(spark):
     t = spark.createDataFrame([(1, 1, "a", 0.0, 0.0, 10.0, 10.0), (1, 2, "a", 5.0, 0.0, 10.0, 10.0)], "image long, id long, cls string, x double, y double, w double, h double")
     p = spark.createDataFrame([(1, 7, "a", 1.0, 0.0, 10.0, 10.0, 0.9), (1, 8, "a", 0.0, 0.0, 10.0, 10.0, 0.8), (1, 9, "b", 0.0, 0.0, 10.0, 10.0, 0.7)], "image long, id long, cls string, x double, y double, w double, h double, conf double")
     assert sorted((r["p"], r["t"]) for r in components_deep.assign_sequentially(t, p, 0.3).collect()) == [(7, 1), (8, 2)]
+
+
+#: Thirteen observations, four of them of unknown names.
+SMALL_DB = [(a, {2: 1, 3: 1, 5: 2, 6: 2, 7: 3, 8: 4, 10: 5, 12: 6, 13: 7}.get(a, 0), 100 * a) for a in range(1, 14)]
+
+
+def test_unknown_names_are_told_apart(spark):
+    obs = spark.createDataFrame(SMALL_DB, "aid long, nid long, t long").withColumn("imgset", F.lit(1)).withColumn("view", F.lit("left"))
+    keys = {}
+    for r in cohort.told_apart(obs).collect():
+        keys.setdefault(r[cohort.WHO], []).append(r["aid"])
+    assert keys == {-11: [11], -9: [9], -4: [4], -1: [1], 1: [2, 3], 2: [5, 6], 3: [7], 4: [8], 5: [10], 6: [12], 7: [13]}
+    ids = lambda df: sorted(r["aid"] for r in df.collect())
+    everyone = list(range(1, 14))
+    assert ids(cohort.min_timedelta(obs, 10_000)) == [a for a in everyone if a not in (3, 6)]
+    assert ids(cohort.sample_per_name(obs, 1, "mintime")) == [a for a in everyone if a not in (3, 6)]
+    assert ids(cohort.pername(obs, least=2)) == [2, 3, 5, 6] and ids(cohort.same_imageset(obs)) == everyone
+    assert ids(cohort.view_pername(obs, {"left": 2})) == [2, 3, 5, 6] and ids(cohort.nth_occurrence(obs)) == everyone
+    assert ids(cohort.names_slice(obs, 3, 3)) == [1, 2, 3, 5, 6]
+    dealt = {r["aid"]: r["fold"] for r in cohort.folds(obs, 11).collect()}
+    assert sorted(set(dealt.values())) == list(range(11)) and dealt[2] == dealt[3] and dealt[5] == dealt[6]
+    found = sessions.gap_sessions(obs, 50)
+    assert {(r["nid"], r["session"], r["n"]) for r in sessions.session_stats(found).collect()} == {(k, i + 1, 1) for k, v in keys.items() for i in range(len(v))}
+
+
+def test_positions_and_waypoints(spark):
+    rng = random.Random(4)
+    numbers = rng.sample(range(-500, 90_000), 700)
+    rows = sessions.positions(spark.createDataFrame([(n, 2 * n) for n in numbers], "aid long, t long"), "aid", cell=16)
+    got = {r["aid"]: r["pos"] for r in rows.collect()}
+    assert got == {n: i for i, n in enumerate(sorted(numbers))}
+    spans = [(1, 0, 100), (2, 63, 65), (3, 5, 5), (4, 690, 900), (5, -10, 3)]
+    out = {r["waypoint"]: (r["n"], r["start"], r["end"]) for r in sessions.waypoint_ranges(rows, spark.createDataFrame(spans, "waypoint long, first long, last long")).collect()}
+    t = [2 * n for n in sorted(numbers)]
+    assert out == {w: (len(t[max(a, 0) : b]), t[max(a, 0)], t[min(b, 700) - 1]) for w, a, b in spans if b > a}
+
+
+def test_vocabulary_and_neighbours_by_brute_force(spark):
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.standard_normal((6, 5)) * 10, 30, axis=0) + rng.standard_normal((180, 5))
+    d = spark.createDataFrame([(i, i % 9, v.tolist()) for i, v in enumerate(x)], "fx long, aid long, vec array<double>")
+    got = {(r["q_fx"], r["rank"]): r["d_fx"] for r in matching.knn(d, d, 4, exclude="aid").collect()}
+    for i in range(180):
+        dist = np.round(np.sqrt(((x - x[i]) ** 2).sum(axis=1)), 5)
+        dist[np.arange(180) % 9 == i % 9] = np.inf
+        assert [got[i, k] for k in range(1, 5)] == np.lexsort((np.arange(180), dist))[:4].tolist()
+    centres = np.array([r["vec"] for r in words.train_vocabulary(d, 8, 3).orderBy("word").collect()])
+    start = sorted(range(180), key=lambda i: hashlib.md5(f"{i}:0".encode()).hexdigest())[:8]
+    want = x[start].copy()
+    for _ in range(3):
+        at = np.round(np.sqrt(((x[:, None] - want[None]) ** 2).sum(axis=2)), 5).argmin(axis=1)
+        want = np.array([x[at == k].mean(axis=0) if (at == k).any() else want[k] for k in range(8)])
+    assert np.allclose(centres, want)

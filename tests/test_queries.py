@@ -1,4 +1,4 @@
-"""Every registered query that has SQL gives DuckDB's rows on the smallest tables; the others run."""
+"""Every registered query that has SQL gives DuckDB's rows on the smallest tables; the others give rows, and the same ones again."""
 
 import os
 
@@ -35,7 +35,7 @@ def test_query(spark, sf, con, name):
     cols = sorted(df.columns)
     rows = sorted(tuple(cell(r[c]) for c in cols) for r in df.collect())
     if name not in SQL:
-        assert rows is not None
+        assert rows and rows == sorted(tuple(cell(r[c]) for c in cols) for r in QUERIES[name](spark, sf).collect())
         return
     out = con.execute(SQL[name])
     names = [d[0] for d in out.description]
