@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fieldmark.operators.prefix import sums_before
+
 
 def append_new(table: DataFrame, rows: DataFrame, key: tuple[str, ...]) -> DataFrame:
     """table and those of rows whose key it lacks; of rows that share a key the first in order of all columns is taken."""
@@ -95,7 +97,8 @@ def export_closure(child: DataFrame, keys: DataFrame, on: str, parents: list[tup
 def merge_by_superkey(into: DataFrame, other: DataFrame, key: str, id_column: str) -> DataFrame:
     """into, and the rows of other whose superkey it lacks, with ids that continue its own."""
     top = into.agg(F.coalesce(F.max(id_column), F.lit(-1)).alias("_top"))
-    fresh = other.join(into.select(key), key, "left_anti").withColumn("_nth", F.row_number().over(W.orderBy(key)))
+    fresh = other.join(into.select(key), key, "left_anti")
+    fresh = sums_before(fresh.withColumn("_one", F.lit(1)), key, "_one").withColumn("_nth", F.col("_one_before") + 1)
     fresh = fresh.crossJoin(F.broadcast(top)).withColumn(id_column, (F.col("_top") + F.col("_nth")).cast(into.schema[id_column].dataType)).select(*into.columns)
     return into.unionByName(fresh)
 

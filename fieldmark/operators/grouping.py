@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fieldmark.functions.geo import in_polygon
 from fieldmark.functions.keys import age_class, is_known, name_key
+from fieldmark.operators.prefix import sums_before
 
 
 def group_by_name(obs: DataFrame, distinguish: bool = True) -> DataFrame:
@@ -117,10 +118,10 @@ def mixed_property_names(obs: DataFrame, flag: Column) -> DataFrame:
 
 def balanced_parts(df: DataFrame, k: int, order: str, size: str) -> DataFrame:
     """df with part: rows in order cut into k runs of near equal sums, a row going where its middle falls."""
-    w = W.orderBy(order)
-    total = F.sum(size).over(W.partitionBy(F.lit(0)))
-    middle = F.sum(size).over(w) - F.col(size) / 2
-    return df.withColumn("part", F.least(F.floor(middle * k / total), F.lit(k - 1)).cast("int"))
+    total = df.agg(F.sum(size).alias("_total"))
+    middle = F.col(f"{size}_before") + F.col(size) / 2
+    placed = sums_before(df, order, size).crossJoin(F.broadcast(total))
+    return placed.select(*df.columns, F.least(F.floor(middle * k / F.col("_total")), F.lit(k - 1)).cast("int").alias("part"))
 
 
 def geofence(rows: DataFrame, areas: dict[str, list[tuple[float, float]]]) -> DataFrame:

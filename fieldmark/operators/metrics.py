@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldmark.functions.geometry import iou
+from fieldmark.operators.prefix import sums_before
 
 
 def pr_grid(pred: DataFrame, steps: int = 100) -> DataFrame:
@@ -49,8 +50,7 @@ def confusion(pred: DataFrame) -> DataFrame:
 def auc(pred: DataFrame) -> DataFrame:
     """One row: area under the ROC curve from scores counted by value, ties halved."""
     per = pred.groupBy("score").agg(F.count_if("truth").alias("p"), F.count_if(~F.col("truth")).alias("n"))
-    below = F.coalesce(F.sum("n").over(W.orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    wins = per.withColumn("w", F.col("p") * (below + F.col("n") / 2.0))
+    wins = sums_before(per, "score", "n").withColumn("w", F.col("p") * (F.col("n_before") + F.col("n") / 2.0))
     return wins.agg(F.try_divide(F.sum("w"), (F.sum("p") * F.sum("n")).cast("double")).alias("auc"))
 
 
@@ -67,9 +67,8 @@ def binary_report(pred: DataFrame) -> DataFrame:
 def threshold_at_fpr(pred: DataFrame, most: float) -> DataFrame:
     """One row: the least score at which no more than this share of negatives passes."""
     per = pred.groupBy("score").agg(F.count_if(~F.col("truth")).alias("n"))
-    above = F.sum("n").over(W.orderBy(F.desc("score")))
-    total = F.sum("n").over(W.partitionBy(F.lit(0)))
-    return per.withColumn("fpr", F.try_divide(above, total.cast("double"))).where(F.col("fpr") <= most).agg(F.min("score").alias("thresh"))
+    per = sums_before(per, "score", "n").crossJoin(F.broadcast(per.agg(F.sum("n").alias("all"))))
+    return per.withColumn("fpr", F.try_divide(F.col("all") - F.col("n_before"), F.col("all").cast("double"))).where(F.col("fpr") <= most).agg(F.min("score").alias("thresh"))
 
 
 def iou_pairs(truth: DataFrame, pred: DataFrame) -> DataFrame:
