@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldmark.llm import ann, decontam, jaccard, lm, mixing, pii, quality, sharding, toxicity, warc
+from fieldmark.llm import alignment, ann, decontam, divergence, jaccard, langid, lm, mixing, pii, quality, sharding, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": sharding.op8_sharding,
     "op9_pii": pii.op9_pii,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_alignment": alignment.op11_alignment,
+    "op12_langid": langid.op12_langid,
+    "op13_divergence": divergence.op13_divergence,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.ORACLE_SQL, "op3_jaccard": jaccard.ORACLE_SQL, "op4_warc": warc.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.ORACLE_SQL, "op3_jaccard": jaccard.ORACLE_SQL, "op4_warc": warc.ORACLE_SQL, "op13_divergence": divergence.ORACLE_SQL}
