@@ -13,9 +13,9 @@ list's main component is paired with every member of another component. Pairs wi
 components are exact while no group is expanded into all its pairs.
 
 Edge cases: null and empty texts have an empty set (0 shingles) and link with nothing; texts of fewer words than n are
-one shingle; repeated rows are copies of each other; rows with a null id take part in classes, but never name a
-component (a component of such rows only is null); an empty table gives an empty result; other columns do not matter,
-whatever their names.
+one shingle; repeated rows are copies of each other; rows with a null id link like all others and hold components
+together, but never name one (a component of such rows only is null); sets are told apart and compared by 64-bit hashes
+of their elements; an empty table gives an empty result; other columns do not matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -430,11 +430,17 @@ def classes_and_links(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     spark = docs.sparkSession
     small_batches(spark)
     own, counts = sketch(docs, key, text, n)
+    keyed = own
+    if own.where(F.col("id").isNull() & (F.col("n") > 0)).limit(1).count():
+        # Rows without id are found again by their texts' hashes.
+        docs = docs.select(F.coalesce(F.col(quoted(key)).cast("long"), F.xxhash64(quoted(text))).alias("_key"), F.col(quoted(text)).alias("_text"))
+        key, text = "_key", "_text"
+        keyed = sketch(docs, key, text, n)[0]
     orders = spark.sparkContext.broadcast(counts)
     # A class is described by its document of least id.
-    first = own.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("node").agg(F.min("id").alias("id"))
-    others = store(own.where(F.col("id").isNotNull()).join(first, ["id", "node"], "left_anti").select("id", "node").distinct(), "join-others")
-    repeated = own.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count() > 0
+    first = keyed.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("node").agg(F.min("id").alias("id"))
+    others = store(keyed.where(F.col("id").isNotNull()).join(first, ["id", "node"], "left_anti").select("id", "node").distinct(), "join-others")
+    repeated = keyed.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count() > 0
     reps = describe(docs, key, text, n, num, den, orders).where(F.col("id").isNotNull()).join(_bounded(others), ["id", "node"], "left_anti")
     reps = store((reps.dropDuplicates(["node"]) if repeated else reps).withColumnRenamed("id", "rep"), "join-classes")
     free_shuffles(spark)
@@ -551,12 +557,12 @@ WITH RECURSIVE t AS (
 s AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
     ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM t),
-c AS (SELECT g, min(doc_id) AS rep, len(g) AS n FROM (SELECT doc_id, list_sort(g) AS g FROM s WHERE len(g) > 0) GROUP BY g),
-e AS (SELECT rep, n, unnest(g) AS tok FROM c),
-p AS (SELECT x.rep AS a, y.rep AS b, count(*) AS inter, any_value(x.n) AS na, any_value(y.n) AS nb FROM e x JOIN e y ON x.tok = y.tok AND x.rep <> y.rep AND least(x.n, y.n) * 10 >= greatest(x.n, y.n) * 9 GROUP BY x.rep, y.rep),
+c AS MATERIALIZED (SELECT row_number() OVER (ORDER BY g) AS k, g, min(doc_id) AS rep, len(g) AS n FROM (SELECT doc_id, list_sort(g) AS g FROM s WHERE len(g) > 0) GROUP BY g),
+e AS (SELECT k, n, unnest(g) AS tok FROM c),
+p AS (SELECT x.k AS a, y.k AS b, count(*) AS inter, any_value(x.n) AS na, any_value(y.n) AS nb FROM e x JOIN e y ON x.tok = y.tok AND x.k <> y.k AND least(x.n, y.n) * 10 >= greatest(x.n, y.n) * 9 GROUP BY x.k, y.k),
 l AS (SELECT a, b FROM p WHERE 100 * inter >= 90 * (na + nb - inter)),
-r(a, b) AS (SELECT rep, rep FROM c UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
-m AS (SELECT a AS rep, min(b) AS component_id FROM r GROUP BY a)
+r(a, b) AS (SELECT k, k FROM c UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+m AS (SELECT a AS k, min(c.rep) AS component_id FROM r JOIN c ON c.k = r.b GROUP BY a)
 SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, CASE WHEN len(s.g) = 0 THEN s.doc_id ELSE m.component_id END AS component_id
-FROM s LEFT JOIN c ON list_sort(s.g) = c.g LEFT JOIN m ON m.rep = c.rep
+FROM s LEFT JOIN c ON list_sort(s.g) = c.g LEFT JOIN m ON m.k = c.k
 """
