@@ -3,14 +3,15 @@
 Mentions are found by one pattern and taken apart: a name into given names and surname, a number into its digits without
 separators, an address into lower case. Each distinct part gets one surrogate for the whole corpus, by a keyed hash, so
 "Dr. Anna Keller", "ANNA KELLER", "Mrs Keller" and a later bare "Keller" stay one person, and a phone number written in
-two ways stays one number. Surrogates keep the type and its format: separators, lengths and letter case, country prefixes,
+two ways stays one number: all its digits name it, and one without a country code is read as of country 1, whose two
+forms are the only ones found so. Surrogates keep the type and its format: separators, lengths and letter case, country prefixes,
 valid check digits of cards and IBANs, octets in range for addresses, the domain of an e-mail address mapped by itself;
 names keep their title and take a given name of the same gender and an invented surname, both of the same script (Latin,
 Cyrillic or Greek). A surrogate that two parts of a kind would share, or that is a part found in the corpus, is drawn
 anew; from the eighth draw on draws grow by one character each, so drawing ends with all distinct and none real.
 
 Names are found after a title, after a phrase that gives a name, with a common given name in front, and, once a document
-has named somebody so, by the surname alone. Other names, and those in scripts without capitals, are not found.
+has named somebody so, by the surname alone if it has two letters at least. Other names, and those in scripts without capitals, are not found.
 
 Scale: one pass finds mentions, and only texts that have any are stored; another takes the other texts over. Parts are
 combined to a distinct table by shuffle; surrogates are joined back to texts by mention (Spark splits hot ones), gathered
@@ -73,8 +74,8 @@ _LEFT, _RIGHT = "(?<![\\p{L}\\p{N}@.+-])", "(?![\\p{L}\\p{N}@])"
 PATTERN = _LEFT + "(?:" + "|".join(PATTERNS.values()) + ")" + _RIGHT
 #: Kinds whose parts are their letters and digits, laid into the places of the mention.
 _SPACED = ("iban", "card", "ssn", "phone")
-#: Digits of a phone number that name it, whatever stands before them.
-PHONE_DIGITS = 9
+#: Country codes by the numbering plan: one digit, two, else three.
+_COUNTRY = "(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 #: Draws before draws grow.
 PLAIN_DRAWS = 8
 
@@ -165,10 +166,12 @@ def _iban(key: Column, seed: Column) -> Column:
 
 
 def _phone(key: Column, seed: Column) -> Column:
-    """Digits for digits; the first is not 0 unless it was."""
-    digits = _scramble(key, seed)
-    first = F.when(F.substring(key, 1, 1) == "0", "0").otherwise((_draw(seed, F.lit(-1), 9) + 1).cast("string"))
-    return F.concat(first, F.substring(digits, F.lit(2), F.length(digits)))
+    """The country code stays; digits for the other digits, the first of which is not 0 unless it was."""
+    code = F.regexp_extract(key, f"^{_COUNTRY}", 0)
+    own = F.substring(key, F.length(code) + 1, F.length(key))
+    digits = _scramble(own, seed)
+    first = F.when(F.substring(own, 1, 1) == "0", "0").otherwise((_draw(seed, F.lit(-1), 9) + 1).cast("string"))
+    return F.concat(code, first, F.substring(digits, F.lit(2), F.length(digits)))
 
 
 def _email(key: Column, seed: Column, secret: Column, attempt: Column) -> Column:
@@ -257,8 +260,9 @@ def parts_of(known: DataFrame) -> DataFrame:
     part = lambda slot, key, female: F.struct(F.lit(slot).alias("slot") if isinstance(slot, str) else slot.alias("slot"), key.alias("key"), female.alias("female"))
     none = F.lit(None).cast("boolean")
     compact = F.regexp_replace(F.upper(e), "[^0-9A-Z]", "")
-    digits = F.regexp_replace(F.regexp_replace(e, "^\\+[0-9]{1,3}(?=[ .(-])", ""), "[^0-9]", "")
-    key = F.when(kind == "email", F.lower(e)).when(kind.isin("iban", "card", "ssn"), compact).when(kind == "phone", F.substring(digits, -PHONE_DIGITS, PHONE_DIGITS)).otherwise(e)
+    # All digits name a number, its country's before them; forms without a country are those of country 1.
+    digits = F.concat(F.when(e.startswith("+"), "").otherwise("1"), F.regexp_replace(e, "[^0-9]", ""))
+    key = F.when(kind == "email", F.lower(e)).when(kind.isin("iban", "card", "ssn"), compact).when(kind == "phone", digits).otherwise(e)
     title, pieces = _title(e), _pieces(_named(e))
     last = F.size(pieces) - F.size(_pieces(surname(e)))
     told = F.when(title.rlike(f"^(?:{FEMALE_TITLES})\\b"), True).when(title.rlike(f"^(?:{MALE_TITLES})\\b"), False)
@@ -341,7 +345,7 @@ def replace_entities(docs: DataFrame, *, text: str = "text", key: str | None = N
     hits = store(hits.withColumn("_row", F.xxhash64("_text")).withColumn("_crc", F.crc32(F.col("_text").cast("binary"))), "pii-hits")
     # Where somebody has been named, the surname alone is a mention too.
     names = F.array_distinct(F.transform(F.filter("_first", lambda e: entity_type(e) == "name"), surname))
-    names = F.filter(names, lambda s: F.length(s) > 2)
+    names = F.filter(names, lambda s: F.length(s) > 1)
     alone = F.when(F.size("_s") > 0, F.concat(F.lit(f"{PATTERN}|{_LEFT}(?:"), F.array_join("_s", "|"), F.lit(f"){_RIGHT}"))).otherwise(PATTERN)
     hits = hits.withColumn("_s", names).withColumn("_pattern", alone).withColumn("_e", F.when(F.size("_s") > 0, F.regexp_extract_all("_text", F.col("_pattern"), F.lit(0))).otherwise(F.col("_first")))
     each = hits.select("_row", "_crc", F.explode(F.array_distinct("_e")).alias("entity")).distinct()
