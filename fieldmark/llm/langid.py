@@ -168,7 +168,7 @@ class Profiles:
             return ["und"] * len(texts), np.zeros(len(texts))
         at = np.searchsorted(self.grams, code)
         at = np.where((at < len(self.grams)) & (self.grams[np.minimum(at, len(self.grams) - 1)] == code), at, len(self.grams))
-        far = np.stack([np.bincount(doc, weights=np.where(at < len(self.grams), np.abs(r[at] - rank), self.most), minlength=len(texts)) for r in self.ranks])
+        far = np.stack([np.bincount(doc, weights=np.where(r[at] < self.most, np.abs(r[at] - rank), self.most), minlength=len(texts)) for r in self.ranks])
         number = np.bincount(doc, minlength=len(texts))
         best = far.argmin(axis=0)
         score = np.where(number > 0, 1 - far[best, np.arange(len(texts))] / (self.most * np.maximum(number, 1)), 0.0)
