@@ -6,6 +6,7 @@ one of its neighbours.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -20,17 +21,8 @@ SLICE_ROWS = 256
 DIST_PLACES = 5
 
 
-def knn(queries: DataFrame, database: DataFrame, k: int, *, exclude: str | None = None, places: int = DIST_PLACES) -> DataFrame:
-    """(q_fx, d_fx, dist, rank): each query feature's k nearest by Euclidean distance, rounded; ties to the lesser d_fx.
-
-    exclude: a column of both sides; database rows of the query's own value do not count, and others take their places.
-    Both sides are dealt by hash into blocks of bounded size; each pair of blocks is one unit of work, whose best k by
-    query meet in a window. Nothing is broadcast.
-    """
-    keep = [exclude] if exclude else []
-    nb, nc = max(1, -(-database.count() // BLOCK_ROWS)), max(1, -(-queries.count() // CHUNK_ROWS))
-    left = queries.select(F.col("fx").cast("long").alias("fx"), "vec", *keep).withColumn("_c", F.pmod(F.xxhash64("fx"), F.lit(nc)).cast("int")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
-    right = database.select(F.col("fx").cast("long").alias("fx"), "vec", *keep).withColumn("_b", F.pmod(F.xxhash64("fx"), F.lit(nb)).cast("int")).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))))
+def tile_of(k: int, exclude: str | None = None, places: int = DIST_PLACES) -> Callable[[Any, Any], Any]:
+    """The work of one tile, for cogrouped Arrow tables with fx, vec (and exclude): the k nearest d of each q."""
 
     def tile(q: Any, d: Any) -> Any:
         import numpy as np
@@ -62,7 +54,22 @@ def knn(queries: DataFrame, database: DataFrame, k: int, *, exclude: str | None
         kinds = (np.int64, np.int64, np.float64)
         return pa.table({c: np.concatenate(v) if v else np.empty(0, t) for c, v, t in zip(("q_fx", "d_fx", "dist"), out, kinds, strict=True)})
 
-    near = left.groupBy("_b", "_c").cogroup(right.groupBy("_b", "_c")).applyInArrow(tile, "q_fx long, d_fx long, dist double")
+    return tile
+
+
+def knn(queries: DataFrame, database: DataFrame, k: int, *, exclude: str | None = None, places: int = DIST_PLACES) -> DataFrame:
+    """(q_fx, d_fx, dist, rank): each query feature's k nearest by Euclidean distance, rounded; ties to the lesser d_fx.
+
+    exclude: a column of both sides; database rows of the query's own value do not count, and others take their places.
+    Both sides are dealt by hash into blocks of bounded size; each pair of blocks is one unit of work, whose best k by
+    query meet in a window. Nothing is broadcast.
+    """
+    keep = [exclude] if exclude else []
+    nb, nc = max(1, -(-database.count() // BLOCK_ROWS)), max(1, -(-queries.count() // CHUNK_ROWS))
+    left = queries.select(F.col("fx").cast("long").alias("fx"), "vec", *keep).withColumn("_c", F.pmod(F.xxhash64("fx"), F.lit(nc)).cast("int")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
+    right = database.select(F.col("fx").cast("long").alias("fx"), "vec", *keep).withColumn("_b", F.pmod(F.xxhash64("fx"), F.lit(nb)).cast("int")).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))))
+
+    near = left.groupBy("_b", "_c").cogroup(right.groupBy("_b", "_c")).applyInArrow(tile_of(k, exclude, places), "q_fx long, d_fx long, dist double")
     nth = F.row_number().over(W.partitionBy("q_fx").orderBy("dist", "d_fx"))
     return near.withColumn("rank", nth).where(F.col("rank") <= k)
 
@@ -81,21 +88,21 @@ def votes(near: DataFrame, k: int, knorm: int, rule: str = "last") -> DataFrame:
     rule 'last': the last neighbour. 'name': the first of the knorm after the k whose name is neither among the k nor
     the query's; else the last.
     """
-    last = F.max(F.when(F.col("rank") == k + knorm, F.col("dist")))
+    w = W.partitionBy("q_fx")
+    last = F.max(F.when(F.col("rank") == k + knorm, F.col("dist"))).over(w)
     if rule == "last":
-        norm = near.groupBy("q_fx").agg(last.alias("norm"))
-    else:
-        top = near.where(F.col("rank") <= k).groupBy("q_fx").agg(F.collect_set("d_nid").alias("_top"))
-        valid = ~F.array_contains("_top", F.col("d_nid")) & (F.col("d_nid") != F.col("q_nid")) & (F.col("rank") > k)
-        norm = near.join(top, "q_fx").groupBy("q_fx").agg(F.coalesce(F.min_by(F.when(valid, F.col("dist")), F.when(valid, F.col("rank"))), last).alias("norm"))
-    return near.where(F.col("rank") <= k).join(norm, "q_fx")
+        return near.withColumn("norm", last).where(F.col("rank") <= k)
+    valid = ~F.array_contains("_top", F.col("d_nid")) & (F.col("d_nid") != F.col("q_nid")) & (F.col("rank") > k)
+    first = F.min_by(F.when(valid, F.col("dist")), F.when(valid, F.col("rank"))).over(w)
+    named = near.withColumn("_top", F.collect_set(F.when(F.col("rank") <= k, F.col("d_nid"))).over(w))
+    return named.withColumn("norm", F.coalesce(first, last)).where(F.col("rank") <= k).drop("_top")
 
 
 def name_normalizer(near: DataFrame, k: int, knorm: int) -> DataFrame:
     """(q_fx, norm_k): 0-based place among the normalisers by the rule 'name', the last if none is valid."""
-    top = near.where(F.col("rank") <= k).groupBy("q_fx").agg(F.collect_set("d_nid").alias("_top"))
+    top = F.collect_set(F.when(F.col("rank") <= k, F.col("d_nid"))).over(W.partitionBy("q_fx"))
+    rows = near.withColumn("_top", top).where(F.col("rank") > k)
     valid = ~F.array_contains("_top", F.col("d_nid")) & (F.col("d_nid") != F.col("q_nid"))
-    rows = near.where(F.col("rank") > k).join(top, "q_fx")
     return rows.groupBy("q_fx").agg(F.coalesce(F.min(F.when(valid, F.col("rank") - k - 1)), F.lit(knorm - 1)).alias("norm_k"))
 
 
