@@ -96,20 +96,26 @@ def _recount(key: tuple[Any, ...], chunk: Any, kept: Any) -> Any:
 
     terms = kept.column("term")
     words = [w.encode().decode("latin-1") for w in terms.to_pylist()]
-    out: list[Any] = []
-    if words and len(chunk):
-        machine = ahocorasick.Automaton()
-        for i, w in enumerate(words):
-            machine.add_word(f" {w} ", i)
-        machine.make_automaton()
-        for lang, sources, sizes, blobs in zip(*(chunk.column(c).to_pylist() for c in ("lang", "sources", "sizes", "blobs")), strict=True):
-            for source, size, blob in zip(sources, sizes, blobs, strict=True):
-                text = f" {pa.decompress(blob, decompressed_size=size, codec='zstd', asbytes=True).decode('latin-1')} "
-                counts = np.bincount(np.fromiter(map(itemgetter(1), machine.iter(text)), dtype=np.int64), minlength=len(words))
-                at = np.flatnonzero(counts)
-                out.append(pa.table({"lang": pa.array([lang] * len(at), pa.string()), "term": terms.take(pa.array(at)), "source": pa.array([source] * len(at), pa.string()), "count": pa.array(counts[at])}))
-    empty = pa.table({"lang": pa.array([], pa.string()), "term": pa.array([], pa.string()), "source": pa.array([], pa.string()), "count": pa.array([], pa.int64())})
-    return pa.concat_tables([t.cast(empty.schema) for t in out]) if out else empty
+    machine = ahocorasick.Automaton()
+    for i, w in enumerate(words):
+        machine.add_word(f" {w} ", i)
+    machine.make_automaton()
+    names: list[str] = []
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.empty(0, dtype=np.int64),) * 3]
+    langs = chunk.column("lang").to_pylist()
+    for sources, sizes, blobs in zip(*(chunk.column(c).to_pylist() for c in ("sources", "sizes", "blobs")), strict=True):
+        for source, size, blob in zip(sources if words else [], sizes, blobs):
+            text = f" {pa.decompress(blob, decompressed_size=size, codec='zstd', asbytes=True).decode('latin-1')} "
+            counts = np.bincount(np.fromiter(map(itemgetter(1), machine.iter(text)), dtype=np.int64), minlength=len(words))
+            at = np.flatnonzero(counts)
+            found.append((at, np.full(len(at), len(names)), counts[at]))
+            names.append(source)
+    term, source_, count = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(term, kind="stable")
+    which, first = np.unique(term[order], return_index=True)
+    ends = pa.array(np.append(first, len(term)), pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, v) for v in (pa.array(names, pa.string()).take(pa.array(source_[order])), pa.array(count[order]))]
+    return pa.table([pa.array(langs[:1] * len(which), pa.string()), terms.take(pa.array(which)).combine_chunks().cast(pa.string()), *lists], names=["lang", "term", "sources", "counts"])
 
 
 def postings(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", least: int = LEAST_DOCS) -> tuple[DataFrame, DataFrame]:
@@ -119,11 +125,12 @@ def postings(docs: DataFrame, *, text: str = "text", lang: str = "lang", source:
     chunks = store(docs.select(said(lang).alias("lang"), said(source).alias("source"), said(text).cast("binary").alias("text")).mapInArrow(_gather, _CHUNK_SCHEMA), "divergence-chunks")
     groups = store(chunks.select("lang", F.explode("sources").alias("source")).distinct(), "divergence-groups")
     seen = chunks.select("chunk", "lang", F.explode(F.arrays_zip("terms", "docs")).alias("x")).select("chunk", "lang", F.col("x.terms").alias("term"), F.col("x.docs").alias("docs"))
-    kept = seen.groupBy("lang", "term").agg(F.sum("docs").alias("_docs")).where(F.col("_docs") >= least).select("lang", "term")
     # Chunks are numbered apart for each language, so a chunk's terms are its language's.
-    of_chunk = seen.select(F.col("chunk").alias("of"), "lang", "term").join(kept, ["lang", "term"]).select("of", "term")
-    counted = chunks.select("chunk", "lang", "sources", "sizes", "blobs").groupBy("chunk").cogroup(of_chunk.groupBy("of")).applyInArrow(_recount, "lang string, term string, source string, count long")
-    out = store(counted.groupBy("lang", "term", "source").agg(F.sum("count").alias("count")), "divergence-postings")
+    kept = seen.withColumn("_all", F.sum("docs").over(W.partitionBy("lang", "term"))).where(F.col("_all") >= least).select(F.col("chunk").alias("of"), "term")
+    counted = chunks.select("chunk", "lang", "sources", "sizes", "blobs").groupBy("chunk").cogroup(kept.groupBy("of")).applyInArrow(_recount, "lang string, term string, sources array<string>, counts array<long>")
+    # Dealt once, by term, while a term's sources still stand in one row.
+    apart = counted.repartition("lang", "term").select("lang", "term", F.explode(F.arrays_zip("sources", "counts")).alias("x")).select("lang", "term", F.col("x.sources").alias("source"), F.col("x.counts").alias("count"))
+    out = store(apart.groupBy("lang", "term", "source").agg(F.sum("count").alias("count")), "divergence-postings")
     discard(chunks)
     free_shuffles(docs.sparkSession)
     return out, groups
@@ -192,9 +199,14 @@ def audit(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: st
     groups = store(groups, "divergence-stats")
     used = post.join(groups, ["lang", "source"]).withColumn("p", share(F.col("count"), F.col("n"), F.col("kinds")))
 
-    telling = used.withColumn("q", share(F.sum("count").over(W.partitionBy("lang", "term")), F.col("all"), F.col("kinds"))).where(F.col("p") > F.col("q"))
-    telling = telling.select("lang", "source", F.col("term").alias("item"), surplus("p", "q").alias("value"))
-    telling = telling.withColumn("rank", F.row_number().over(W.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))).where(F.col("rank") <= top)
+    of_term = used.groupBy("lang", "term", "all", "kinds").agg(F.collect_list(F.struct("g", "p", "p0")).alias("x"), F.sum("count").alias("c"))
+    of_term = store(of_term.select("lang", "term", share("c", "all", "kinds").alias("q"), "x"), "divergence-terms")
+    free_shuffles(docs.sparkSession)
+    used = of_term.select("lang", "term", "q", F.explode("x").alias("x")).select("lang", "term", "q", "x.*")
+
+    telling = used.where(F.col("p") > F.col("q")).select("g", F.col("term").alias("item"), surplus("p", "q").alias("value"))
+    telling = telling.withColumn("rank", F.row_number().over(W.partitionBy("g").orderBy(F.desc("value"), "item"))).where(F.col("rank") <= top)
+    telling = telling.join(groups.select("g", "lang", "source"), "g").select("lang", "source", "item", "value", "rank")
 
     here = groups.select("lang", "g", "p0", "kinds")
     other = groups.select("lang", F.col("g").alias("h"), F.col("p0").alias("q0"))
@@ -203,7 +215,7 @@ def audit(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: st
     distinct = used.groupBy("lang", "g", "p0", "p").agg(F.count(F.lit(1)).alias("terms")).join(other, "lang").where(F.col("g") != F.col("h"))
     mine = distinct.groupBy("g", "h").agg(F.sum(F.col("terms") * (surplus("p", "q0") - surplus("p0", "q0"))).alias("value"))
     theirs = distinct.groupBy(F.col("h").alias("g"), F.col("g").alias("h")).agg(F.sum(F.col("terms") * (surplus("q0", "p") - surplus("q0", "p0"))).alias("value"))
-    common = used.groupBy("lang", "term").agg(F.collect_list(F.struct("g", "p", "p0")).alias("x")).where(F.size("x") > 1).select("x").mapInArrow(_both, "g long, h long, value long")
+    common = of_term.where(F.size("x") > 1).select("x").mapInArrow(_both, "g long, h long, value long")
     sums = floor_.unionByName(mine).unionByName(theirs).unionByName(common).groupBy("g", "h").agg(F.sum("value").alias("value"))
     pairs = sums.join(groups.select("g", "lang", "source"), "g").join(groups.select(F.col("g").alias("h"), F.col("source").alias("item")), "h").select("lang", "source", "item", "value")
     pairs = pairs.withColumn("rank", F.row_number().over(W.partitionBy("lang", "source").orderBy(F.desc("value"), "item")))
