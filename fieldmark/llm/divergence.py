@@ -127,11 +127,17 @@ def postings(docs: DataFrame, *, text: str = "text", lang: str = "lang", source:
     seen = chunks.select("chunk", "lang", F.explode(F.arrays_zip("terms", "docs")).alias("x")).select("chunk", "lang", F.col("x.terms").alias("term"), F.col("x.docs").alias("docs"))
     # Chunks are numbered apart for each language, so a chunk's terms are its language's.
     kept = seen.withColumn("_all", F.sum("docs").over(W.partitionBy("lang", "term"))).where(F.col("_all") >= least).select(F.col("chunk").alias("of"), "term")
+    # Stored step by step, so that shuffle files of one step are gone before the next one's are written.
+    kept = store(kept, "divergence-kept")
+    free_shuffles(docs.sparkSession)
     counted = chunks.select("chunk", "lang", "sources", "sizes", "blobs").groupBy("chunk").cogroup(kept.groupBy("of")).applyInArrow(_recount, "lang string, term string, sources array<string>, counts array<long>")
+    counted = store(counted, "divergence-counted")
+    discard(chunks, kept)
+    free_shuffles(docs.sparkSession)
     # Dealt once, by term, while a term's sources still stand in one row.
     apart = counted.repartition("lang", "term").select("lang", "term", F.explode(F.arrays_zip("sources", "counts")).alias("x")).select("lang", "term", F.col("x.sources").alias("source"), F.col("x.counts").alias("count"))
     out = store(apart.groupBy("lang", "term", "source").agg(F.sum("count").alias("count")), "divergence-postings")
-    discard(chunks)
+    discard(counted)
     free_shuffles(docs.sparkSession)
     return out, groups
 
