@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import itertools
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldmark.functions.geo import haversine_km, timespace_sec
+from fieldmark.functions.geo import EARTH_KM, haversine_km, timespace_sec
+from fieldmark.lineage import store
 from fieldmark.operators.cohort import WHO, told_apart
 from fieldmark.operators.graph import components
 
@@ -45,27 +49,82 @@ def chunks_of_time(obs: DataFrame, gap: int) -> DataFrame:
     return obs.withColumn("_cell", F.floor(F.col("t") / gap)).join(numbered, "_cell").drop("_cell")
 
 
+def _placed(rows: DataFrame, seconds: float, km_per_sec: float) -> DataFrame:
+    """rows with x, y, z in km on the sphere, wide cells (_w0 time, _w1.._w3 place) and narrow cells (_f0.._f3).
+
+    Two rows within the threshold lie in the same or in neighbouring wide cells; two rows of a narrow cell are within it.
+    """
+    slack = 1 + 1e-9
+    # The chord of an arc: half the threshold is left to a narrow cell's time, half to its diagonal in space.
+    chord = lambda km: 2 * EARTH_KM * math.sin(min(km / (2 * EARTH_KM), math.pi / 2))
+    wide, narrow = chord(seconds * km_per_sec) * slack, chord(seconds * km_per_sec / 2) / math.sqrt(3) / slack
+    lat, lon = F.radians("lat"), F.radians("lon")
+    at = rows.select("*", (F.cos(lat) * F.cos(lon) * EARTH_KM).alias("x"), (F.cos(lat) * F.sin(lon) * EARTH_KM).alias("y"), (F.sin(lat) * EARTH_KM).alias("z"))
+    # Rows without time share a cell of time.
+    t = F.coalesce(F.col("t").cast("double"), F.lit(0.0))
+    cells = [F.floor(t / (seconds * slack)).alias("_w0"), *[F.floor(F.col(c) / wide).alias(f"_w{i}") for i, c in enumerate("xyz", 1)]]
+    return at.select("*", *cells, F.floor(t / (seconds / 2 / slack)).alias("_f0"), *[F.floor(F.col(c) / narrow).alias(f"_f{i}") for i, c in enumerate("xyz", 1)])
+
+
+WIDE, NARROW = [f"_w{i}" for i in range(4)], [f"_f{i}" for i in range(4)]
+
+
+def _gap_sec(low: dict[str, Column], high: dict[str, Column], low2: dict[str, Column], high2: dict[str, Column], km_per_sec: float) -> Column:
+    """No more than the distance in seconds of any two points of two boxes (t, x, y, z)."""
+    gap = {c: F.greatest(low2[c] - high[c], low[c] - high2[c], F.lit(0.0)) for c in low}
+    return F.coalesce(gap["t"].cast("double"), F.lit(0.0)) + F.sqrt(gap["x"] * gap["x"] + gap["y"] * gap["y"] + gap["z"] * gap["z"]) / km_per_sec
+
+
 def occurrences(obs: DataFrame, seconds: int, km_per_sec: float = 0.002) -> DataFrame:
     """(aid, occurrence): single-linkage clusters at a distance in seconds, space turned into time by a speed.
 
     Rows with both time and place, with one of them and with neither are clustered apart; those with neither stand alone.
-    Distances are no less than the time gap, so rows are first cut at gaps (those without time: not), then joined with
-    rows of their own and the next time cell only. An occurrence is named by its least id.
+    An occurrence is named by its least id. Rows with time only are runs without a gap over the threshold.
+
+    Rows with a place are grouped by narrow cells of time and space, whose rows are all within the threshold. Only cells, one
+    row each, are joined, with those of neighbouring wide cells, of which geometry bounds the number however many rows a
+    cell holds. Cells whose first rows are near are linked; where such links leave two near cells in different clusters, their
+    rows within reach of the other's bounds are compared, so no link is lost.
     """
-    kind = F.when(F.col("t").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull(), 0).when(F.col("t").isNotNull(), 1).when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), 2).otherwise(3)
+    both = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    kind = F.when(F.col("t").isNotNull() & both, 0).when(F.col("t").isNotNull(), 1).when(both, 2).otherwise(3)
     rows = obs.select("aid", "t", "lat", "lon", kind.alias("kind"))
-    timed = rows.where("kind < 2").withColumn("_cell", F.floor(F.col("t") / seconds))
-    # Places only: cells of latitude as wide as the threshold's way.
-    degrees = max(seconds * km_per_sec / 111.0, 1e-6)
-    placed = rows.where("kind = 2").withColumn("_cell", F.floor(F.col("lat") / degrees))
-    cells = timed.unionByName(placed)
-    other = cells.select("kind", "_cell", *[F.col(c).alias(f"{c}2") for c in ("aid", "t", "lat", "lon")])
-    near = cells.withColumn("_cell", F.explode(F.array(F.col("_cell"), F.col("_cell") + 1))).join(other, ["kind", "_cell"]).where("aid <> aid2")
-    km = F.when(F.col("kind") != 1, haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")))
-    sec = F.when(F.col("kind") != 2, F.abs(F.col("t") - F.col("t2")))
-    edges = near.where(timespace_sec(km, sec, km_per_sec) <= seconds).select(F.col("aid").alias("a"), F.col("aid2").alias("b"))
-    roots = components(edges)
-    return rows.select("aid").join(roots.select(F.col("node").alias("aid"), "root"), "aid", "left").select("aid", F.coalesce("root", "aid").alias("occurrence"))
+    runs = chunks_of_time(rows.where("kind = 1"), seconds)
+    timed = runs.join(runs.groupBy("chunk").agg(F.min("aid").alias("occurrence")), "chunk").select("aid", "occurrence")
+    alone = rows.where("kind = 3").select("aid", F.col("aid").alias("occurrence"))
+    key = ["kind", *NARROW]
+    placed = store(_placed(rows.where("kind in (0, 2)"), seconds, km_per_sec), "placed")
+    first = F.min_by(F.struct("t", "lat", "lon"), "aid")
+    bounds = [f(c).alias(f"{n}_{c}") for c in ("t", "x", "y", "z") for f, n in ((F.min, "low"), (F.max, "high"))]
+    cells = store(placed.groupBy(*key, *WIDE).agg(F.min("aid").alias("rep"), first.alias("at"), *bounds), "cells")
+    # A narrow cell may be cut by walls of wide ones: its parts are linked by its least id.
+    least = cells.withColumn("least", F.min("rep").over(W.partitionBy(*key)))
+    parts = least.where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    steps = [s for s in itertools.product((0, 1), (-1, 0, 1), (-1, 0, 1), (-1, 0, 1)) if s >= (0, 0, 0, 0)]
+    step = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"s{i}") for i, v in enumerate(s)]) for s in steps]))
+    sides = {side: {c: F.col(f"{side}_{c}") for c in ("t", "x", "y", "z")} for side in ("low", "high", "low2", "high2")}
+    moved = cells.withColumn("s", step).where("kind = 0 or s.s0 = 0").select(*[(F.col(w) + F.col(f"s.s{i}")).alias(w) for i, w in enumerate(WIDE)], "s", *[c for c in cells.columns if c not in WIDE])
+    other = cells.select("kind", *WIDE, *[F.col(c).alias(f"{c}2") for c in ("rep", "at")], *[F.col(f"{n}_{c}").alias(f"{n}2_{c}") for n in ("low", "high") for c in ("t", "x", "y", "z")])
+    once = (F.col("s.s0") != 0) | (F.col("s.s1") != 0) | (F.col("s.s2") != 0) | (F.col("s.s3") != 0) | (F.col("rep") < F.col("rep2"))
+    near = moved.join(other, ["kind", *WIDE]).where(once & (F.col("rep") != F.col("rep2")) & (_gap_sec(*sides.values(), km_per_sec) <= seconds * (1 + 1e-9)))
+    apart = lambda p, q: timespace_sec(haversine_km(p("lat"), p("lon"), q("lat"), q("lon")), F.abs(p("t") - q("t")), km_per_sec)
+    met = apart(lambda c: F.col(f"at.{c}"), lambda c: F.col(f"at2.{c}")) <= seconds
+    boxes = [f"{n}_{c}" for n in ("low", "high", "low2", "high2") for c in ("t", "x", "y", "z")]
+    pairs = store(near.select("rep", "rep2", met.alias("met"), *boxes), "cell-pairs")
+    found = components(pairs.where("met").select(F.col("rep").alias("a"), F.col("rep2").alias("b")).unionByName(parts))
+    comp = store(cells.select("rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("comp")), "cell-clusters")
+    open_ = pairs.where("not met").join(comp, "rep").join(comp.select(F.col("rep").alias("rep2"), F.col("comp").alias("comp2")), "rep2").where("comp <> comp2")
+    # Only rows in reach of the other cell's bounds are compared.
+    members = placed.join(cells.select("kind", *NARROW, *WIDE, "rep"), [*key, *WIDE]).select("rep", "aid", "t", "lat", "lon", "x", "y", "z")
+    point = {c: F.col(c) for c in ("t", "x", "y", "z")}
+    reach = lambda low, high: _gap_sec(point, point, sides[low], sides[high], km_per_sec) <= seconds * (1 + 1e-9)
+    of = lambda n: F.struct("t", "lat", "lon").alias(n)
+    left = open_.join(members, "rep").where(reach("low2", "high2")).select("rep", "rep2", "comp", "comp2", of("p"))
+    right = open_.select("rep", F.col("rep2"), "low_t", "low_x", "low_y", "low_z", "high_t", "high_x", "high_y", "high_z").join(members.withColumnRenamed("rep", "rep2"), "rep2").where(reach("low", "high")).select("rep", "rep2", of("q"))
+    more = left.join(right, ["rep", "rep2"]).where(apart(lambda c: F.col(f"p.{c}"), lambda c: F.col(f"q.{c}")) <= seconds).select(F.col("comp").alias("a"), F.col("comp2").alias("b")).distinct()
+    joined = components(more)
+    root = comp.join(joined.withColumnRenamed("node", "comp"), "comp", "left").select("rep", F.coalesce("root", "comp").alias("occurrence"))
+    return members.select("rep", "aid").join(root, "rep").select("aid", "occurrence").unionByName(timed).unionByName(alone)
 
 
 def relabel_by_time(clusters: DataFrame, obs: DataFrame, least: int = 1) -> DataFrame:
