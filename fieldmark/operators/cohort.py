@@ -244,3 +244,41 @@ def expand_grid(text: str) -> list[dict[str, Any]]:
 
     lists = [[value(x) for x in v[1:-1].split(",")] if v.startswith("[") else [value(v)] for _, v in pairs]
     return [{"_name": name, **dict(zip([k for k, _ in pairs], combo, strict=True))} for combo in itertools.product(*lists)]
+
+
+def first_in_hash_order(obs: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """n rows, or all if fewer, in hash order of aid; of a greater n, a smaller one takes the first."""
+    places = _hash_places(obs.select("aid").withColumn("_one", F.lit(1)), "aid", seed, "_one")
+    return obs.join(places.where(F.col("_before") < n).select("aid"), "aid", "left_semi")
+
+
+def expand_consistently(obs: DataFrame, configs: list[dict[str, Any]], seed: int = 0) -> DataFrame:
+    """(config, role, aid): the query and database cohorts of each configuration, of sizes that can be compared.
+
+    A configuration has query and database (dicts for filter_rows), and may have query_size, database_size (no size: all),
+    const_query, const_database (true unless told otherwise) and apart (true: its queries are not in its database).
+    Where a size is to be constant, no cohort is larger than the smallest before it, so smaller configurations come
+    first. Rows are taken in one hash order, so configurations with the same filter share their queries. A cohort
+    may be empty; those after it with a constant size then are too.
+    """
+    if not configs:
+        return obs.select(F.lit(0).alias("config"), F.lit("query").alias("role"), "aid").limit(0)
+    out: list[DataFrame] = []
+    least: dict[str, int | None] = {"query": None, "database": None}
+    for i, cfg in enumerate(configs):
+        chosen: dict[str, DataFrame] = {}
+        for role in ("query", "database"):
+            rows = filter_rows(obs, **cfg.get(role, {})).select("aid")
+            if role == "database" and cfg.get("apart", True):
+                rows = rows.join(chosen["query"], "aid", "left_anti")
+            const = cfg.get(f"const_{role}", True)
+            limits = [n for n in (cfg.get(f"{role}_size"), least[role] if const else None) if n is not None]
+            there = rows.count()
+            size = min([there, *limits])
+            chosen[role] = first_in_hash_order(rows, size, seed) if size < there else rows
+            least[role] = size if const and (least[role] is None or size < least[role]) else least[role]
+            out.append(chosen[role].select(F.lit(i).alias("config"), F.lit(role).alias("role"), "aid"))
+    first, *rest = out
+    for rows in rest:
+        first = first.unionByName(rows)
+    return first

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmark.lineage import fresh_path
-from fieldmark.operators import graph
+from fieldmark.operators import cohort, graph
 from fieldmark.operators.digest import ordered_digest
 from fieldmark.operators.training_pairs import random_pairs, review_pairs
 from fieldmark.plans.graphs import BRIDGES_SQL
 from fieldmark.plans.registry import EDGES_SQL, OBS_SQL, ROOTS_SQL, observations, query, review_edges
+from fieldmark.sources.coco import write_coco
+from fieldmark.sources.tables import read_coco
 from fieldmark.streaming.incremental import read_stream
 from fieldmark.streaming.review_graph import ReviewGraph
 
@@ -69,3 +71,38 @@ def stream_review_graph(spark: SparkSession, sf: str) -> DataFrame:
     others = across.select(F.col("r1").alias("root")).union(across.select("r2")).groupBy("root").agg(F.count(F.lit(1)).alias("others"))
     zero = F.lit(0).cast("long")
     return held.roots().join(inside, "root", "left").join(others, "root", "left").select("node", "root", F.coalesce("inside", zero).alias("inside"), F.coalesce("others", zero).alias("others"))
+
+
+def _cohorts(role: str, *tests: str) -> str:
+    return " UNION ALL ".join(f"SELECT {i} AS config, '{role}' AS role, aid FROM obs WHERE {t}" for i, t in enumerate(tests))
+
+
+def _sized(of: str) -> str:
+    return f"""SELECT config, role, aid FROM {of} JOIN (SELECT config, min(count(*)) OVER (ORDER BY config) AS most FROM {of} GROUP BY config) USING (config)
+QUALIFY row_number() OVER (PARTITION BY config ORDER BY md5(aid || ':0'), aid) <= most"""
+
+
+CONFIGS = [
+    {"query": {"is_exemplar": True, "min_numfeat": 60}, "database": {"is_known": True, "max_numfeat": 50}},
+    {"query": {"is_exemplar": True}, "database": {"is_known": True}},
+    {"query": {"is_exemplar": True, "require_gps": True}, "database": {}},
+]
+
+
+@query("WITH " + OBS_SQL + f""", q AS ({_cohorts("query", "exemplar AND numfeat >= 60", "exemplar", "exemplar AND lat IS NOT NULL AND lon IS NOT NULL")}),
+qs AS ({_sized("q")}), d AS (SELECT * FROM ({_cohorts("database", "nid > 0 AND numfeat <= 50", "nid > 0", "true")}) WHERE (config, aid) NOT IN (SELECT (config, aid) FROM qs)), ds AS ({_sized("d")})
+SELECT * FROM qs UNION ALL SELECT * FROM ds""")
+def consistent_cohorts(spark: SparkSession, sf: str) -> DataFrame:
+    return cohort.expand_consistently(observations(spark, sf), CONFIGS)
+
+
+@query("WITH " + OBS_SQL + """, b AS (SELECT *, nid * 100000 + imgset AS image FROM obs), i AS (SELECT image, row_number() OVER (ORDER BY image) - 1 AS image_id FROM b GROUP BY image)
+SELECT row_number() OVER (ORDER BY aid) - 1 AS id, image_id, image || '.jpg' AS file_name, view AS category, numfeat::DOUBLE AS x, quality::DOUBLE AS y, value::DOUBLE AS w, 1::DOUBLE AS h FROM b JOIN i USING (image)""")
+def coco_export(spark: SparkSession, sf: str) -> DataFrame:
+    """Observations as boxes, a name's day as an image: written, and read back with their images."""
+    boxes = observations(spark, sf).select(F.col("aid").alias("id"), (F.col("nid") * 100000 + F.col("imgset")).alias("image_id"), F.col("view").alias("category"), F.col("numfeat").alias("x"), F.col("quality").alias("y"), F.col("value").alias("w"), F.lit(1.0).alias("h"))
+    images = boxes.select(F.col("image_id").alias("id")).distinct().select("id", F.concat(F.col("id").cast("string"), F.lit(".jpg")).alias("file_name"), F.lit(640).alias("width"), F.lit(480).alias("height"))
+    at = fresh_path(spark, "coco")
+    write_coco(images, boxes, at)
+    got, rows = read_coco(spark, f"{at}/coco-*.json")
+    return rows.join(got.select(F.col("id").alias("image_id"), "file_name"), "image_id").select("id", "image_id", "file_name", "category", "x", "y", "w", "h")
