@@ -204,7 +204,8 @@ def stratified_folds(obs: DataFrame, k: int, label: str, group: str, seed: int =
 
 def crossval(obs: DataFrame, *, queries: int, database: int, splits: int, seed: int = 0) -> DataFrame:
     """(split, role, aid, nid): names with enough rows give each split its own query and database rows; smaller names are
-    confusors of every split."""
+    confusors of every split, and so is each unknown observation, whose nid is minus its id."""
+    obs = told_apart(obs).drop("nid").withColumnRenamed(WHO, "nid")
     nth = F.row_number().over(W.partitionBy("nid").orderBy(hash_order(F.col("aid"), seed), "aid")) - 1
     need = queries + database
     placed = obs.withColumn("_i", nth).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("nid")))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldmark.operators.graph import labelled, positive_components
+from fieldmark.operators.graph import components, labelled, positive_components
 
 
 BUCKET_ROWS = 20_000
@@ -226,6 +226,13 @@ def augment(edges: DataFrame) -> DataFrame:
     return per_unit(rows, "root", run, "root long, a long, b long")
 
 
+def with_parts(members: DataFrame) -> DataFrame:
+    """(grp, old, n) with part: the least group that a group reaches by old names that groups share. A null name is shared by none."""
+    first = members.where("old is not null").groupBy("old").agg(F.min("grp").alias("b"))
+    roots = components(members.join(first, "old").select(F.col("grp").alias("a"), "b"))
+    return members.join(roots.select(F.col("node").alias("grp"), F.col("root").alias("part")), "grp", "left").withColumn("part", F.coalesce("part", "grp"))
+
+
 def consistent_labels(members: DataFrame) -> DataFrame:
     """(grp, name): old names for new groups that change least; members has part, grp, old, n (rows of grp with old).
 

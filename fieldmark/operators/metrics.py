@@ -79,15 +79,34 @@ def iou_pairs(truth: DataFrame, pred: DataFrame) -> DataFrame:
     return a.join(b, "image").select("image", "t", "p", "conf", iou(box("t"), box("p")).alias("iou"))
 
 
+def _won(overlaps: DataFrame, least: float) -> DataFrame:
+    """The overlaps that count: a prediction's box is the truth that it overlaps most, if by more than `least`; of several
+    predictions of one truth the surest counts."""
+    best = overlaps.where(F.col("iou") > least).withColumn("_n", F.row_number().over(W.partitionBy("image", "p").orderBy(F.desc("iou"), "t"))).where("_n = 1")
+    return best.withColumn("_m", F.row_number().over(W.partitionBy("image", "t").orderBy(F.desc("conf"), "p"))).where("_m = 1")
+
+
 def assign_boxes(overlaps: DataFrame, truth: DataFrame, pred: DataFrame, least: float) -> DataFrame:
     """One row (tp, fp, fn): a prediction's box is the truth that it overlaps most, if by more than `least`; of several
     predictions of one truth the surest counts."""
-    best = overlaps.where(F.col("iou") > least).withColumn("_n", F.row_number().over(W.partitionBy("image", "p").orderBy(F.desc("iou"), "t"))).where("_n = 1")
-    won = best.withColumn("_m", F.row_number().over(W.partitionBy("image", "t").orderBy(F.desc("conf"), "p"))).where("_m = 1")
-    tp = won.agg(F.count(F.lit(1)).alias("tp"))
+    tp = _won(overlaps, least).agg(F.count(F.lit(1)).alias("tp"))
     return tp.crossJoin(pred.agg(F.count(F.lit(1)).alias("_p"))).crossJoin(truth.agg(F.count(F.lit(1)).alias("_t"))).select("tp", (F.col("_p") - F.col("tp")).alias("fp"), (F.col("_t") - F.col("tp")).alias("fn"))
 
 
+def cumulative_tp_fp(overlaps: DataFrame, pred: DataFrame, least: float) -> DataFrame:
+    """(conf, tp, fp): boxes right and wrong among those predicted with at least this confidence, a row for each confidence.
+
+    Boxes are assigned as by assign_boxes; no confidence is read as the least of all.
+    """
+    right = _won(overlaps, least).groupBy("conf").agg(F.count(F.lit(1)).alias("_tp"))
+    per = pred.groupBy("conf").agg(F.count(F.lit(1)).alias("_all")).withColumnRenamed("conf", "_conf")
+    per = per.join(right, F.col("_conf").eqNullSafe(F.col("conf")), "left").select(F.col("_conf").alias("conf"), F.coalesce("_tp", F.lit(0)).alias("_tp"), "_all")
+    # Nulls come first in ascending order, so confidences are turned round within a pair.
+    placed = sums_before(per.withColumn("_at", F.struct(F.col("conf").isNull().alias("none"), (-F.col("conf")).alias("down"))), "_at", "_tp", "_all")
+    tp = F.col("_tp_before") + F.col("_tp")
+    return placed.select("conf", tp.alias("tp"), (F.col("_all_before") + F.col("_all") - tp).alias("fp"))
+
+
 def rank_histogram(ranks: DataFrame, edges: list[int]) -> DataFrame:
     """(config, bin, n): queries by rank in bins [edge, next), the last one closed."""
     last = len(edges) - 2

@@ -317,11 +317,11 @@ def stratified_folds(spark: SparkSession, sf: str) -> DataFrame:
     return cohort.stratified_folds(observations(spark, sf).withColumn("nid", _key()), 3, "view", "nid", seed=5).select("aid", _key(), F.col("fold").cast("long").alias("fold"))
 
 
-@query(APART + """, p AS (SELECT aid, nid, row_number() OVER (PARTITION BY nid ORDER BY md5(aid || ':2'), aid) - 1 AS i, count(*) OVER (PARTITION BY nid) AS n FROM obs WHERE nid > 0)
+@query(APART + """, p AS (SELECT aid, nid, row_number() OVER (PARTITION BY nid ORDER BY md5(aid || ':2'), aid) - 1 AS i, count(*) OVER (PARTITION BY nid) AS n FROM obs)
 SELECT (i // 3)::INT AS split, CASE WHEN i % 3 < 1 THEN 'query' ELSE 'database' END AS role, aid, nid FROM p WHERE n >= 3 AND i < 15 AND (i // 3 + 1) * 3 <= n
 UNION ALL SELECT s::INT, 'confusor', aid, nid FROM p, range(5) x(s) WHERE n < 3""")
 def crossval_roles(spark: SparkSession, sf: str) -> DataFrame:
-    return cohort.crossval(observations(spark, sf).where("nid > 0"), queries=1, database=2, splits=5, seed=2)
+    return cohort.crossval(observations(spark, sf), queries=1, database=2, splits=5, seed=2)
 
 
 @query(APART + "SELECT aid, row_number() OVER (PARTITION BY species ORDER BY md5(aid || ':1'), aid) <= floor(count(*) OVER (PARTITION BY species) * 0.8::DOUBLE) AS train FROM obs")

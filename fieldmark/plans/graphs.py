@@ -145,11 +145,11 @@ def graph_augment(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def relabel_consistent(spark: SparkSession, sf: str) -> DataFrame:
-    """Components get back the names of the users whose events they hold, each user's name once."""
+    """Components get back old names, each name once: a user's own, or where the value is over 50 the one that three users share."""
     e, roots = _graph(spark, sf)
-    own = roots.join(table(spark, sf, "events").select(F.col("event_id").alias("node"), "user_id"), "node")
-    members = own.groupBy(F.col("user_id").alias("part"), F.col("root").alias("grp"), F.col("user_id").alias("old")).agg(F.count(F.lit(1)).alias("n"))
-    return components_deep.consistent_labels(members)
+    old = F.when(F.col("value") > 50, F.floor(F.col("user_id") / 3) * 3).otherwise(F.col("user_id"))
+    own = roots.join(table(spark, sf, "events").select(F.col("event_id").alias("node"), old.alias("old")), "node")
+    return components_deep.consistent_labels(components_deep.with_parts(own.groupBy(F.col("root").alias("grp"), "old").agg(F.count(F.lit(1)).alias("n"))))
 
 
 @query("""SELECT l_partkey AS a, l_suppkey AS b, arg_max(l_returnflag, (l_shipdate, l_orderkey, l_linenumber, l_returnflag)) AS state, count(*) AS reviews FROM lineitem GROUP BY 1, 2""")
@@ -252,6 +252,14 @@ def box_assignment(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.assign_boxes(metrics.iou_pairs(truth, pred), truth, pred, 0.5)
 
 
+@query(f"""WITH {_IOU}, b AS (SELECT * FROM v WHERE iou > 0.5 QUALIFY row_number() OVER (PARTITION BY image, p ORDER BY iou DESC, t) = 1), w AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY image, t ORDER BY conf DESC, p) = 1),
+c AS (SELECT conf, count(*) AS n, coalesce(any_value(k), 0) AS k FROM pb LEFT JOIN (SELECT conf, count(*) AS k FROM w GROUP BY conf) USING (conf) GROUP BY conf)
+SELECT conf, sum(k) OVER o AS tp, sum(n) OVER o - sum(k) OVER o AS fp FROM c WINDOW o AS (ORDER BY conf DESC)""")
+def box_tp_fp(spark: SparkSession, sf: str) -> DataFrame:
+    truth, pred = _boxes(spark, sf)
+    return metrics.cumulative_tp_fp(metrics.iou_pairs(truth, pred), pred, 0.5)
+
+
 @query()
 def nms(spark: SparkSession, sf: str) -> DataFrame:
     return components_deep.suppress(_boxes(spark, sf)[1], 0.5)

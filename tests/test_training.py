@@ -68,3 +68,23 @@ def test_digest_is_that_of_any_partitioning(spark):
         assert tuple(ordered_digest(df.repartition(n), "k", "v", width=4).collect()[0]) == want
     assert tuple(ordered_digest(df.limit(0), "k", "v").collect()[0]) == plain_digest([], 4)
     assert tuple(ordered_digest(df.where("k <> 7"), "k", "v", width=4).collect()[0])[1] != want[1]
+
+
+def test_old_names_by_parts(spark):
+    import itertools
+
+    from fieldmark.operators.components_deep import consistent_labels, with_parts
+
+    rng = random.Random(5)
+    rows = {(g, f"p{g // 3}-{rng.randrange(4)}") for g in range(12) for _ in range(3)} | {(20, None)}
+    n = {k: rng.randrange(1, 9) for k in sorted(rows, key=str)}
+    parted = with_parts(spark.createDataFrame([(*k, v) for k, v in n.items()], "grp long, old string, n long"))
+    part = {r["grp"]: r["part"] for r in parted.collect()}
+    assert part[20] == 20 and all(part[g] <= g and (part[g] == 20 or part[g] // 3 == g // 3) for g in part)
+    assert all(part[g] == part[h] for (g, o), (h, p) in itertools.combinations(n, 2) if o == p and o is not None)
+    got = {r["grp"]: r["name"] for r in consistent_labels(parted.where("old is not null")).collect()}
+    assert len(set(got.values())) == len(got)
+    for p in range(4):
+        groups, names = [g for g in range(12) if g // 3 == p], sorted({o for g, o in n if o and g // 3 == p}) + [None] * 3
+        best = max(sum(n.get((g, o), 0) for g, o in zip(groups, c, strict=True) if o) for c in itertools.permutations(names, 3))
+        assert sum(n.get((g, got[g]), 0) for g in groups) == best
