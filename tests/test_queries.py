@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from fieldmark.plans import cohorts, graphs, links, matches, records, reports, streams, training  # noqa: F401
+from fieldmark.plans import cohorts, graphs, links, matches, records, reports, stores, streams, training  # noqa: F401
 from fieldmark.plans.registry import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
