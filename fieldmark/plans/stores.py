@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fieldmark.operators.associations import association_times, matrix_rows
 from fieldmark.operators.stores import merge_stores, store_part
 from fieldmark.plans.registry import query
 from fieldmark.sources.tables import table
@@ -60,3 +61,24 @@ def store_parts(spark: SparkSession, sf: str) -> DataFrame:
     part = store_part(mine, "names", table(spark, sf, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("nid")))
     rows = lambda kind, df, a, b: df.select(F.lit(kind).alias("kind"), F.col(a).alias("a"), b.cast("long").alias("b"))
     return rows("annot", part["annots"], "aid", F.col("nid")).union(rows("name", part["names"], "nid", F.lit(None))).union(rows("pair", part["annotmatch"], "aid1", F.col("aid2")))
+
+
+_MET = """m AS (SELECT DISTINCT l_orderkey AS grp, 's' || l_suppkey AS name FROM lineitem),
+p AS (SELECT x.name AS name1, y.name AS name2, epoch_us(o_orderdate) // 1000000 AS t FROM m x JOIN m y ON x.grp = y.grp AND x.name <= y.name JOIN orders ON o_orderkey = x.grp)"""
+
+
+def _met(spark: SparkSession, sf: str) -> DataFrame:
+    """An order as an occurrence, its suppliers as names."""
+    at = table(spark, sf, "orders").select(F.col("o_orderkey").alias("grp"), F.floor(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', o_orderdate)") / 1000000).cast("long").alias("t"))
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("grp"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("name"))
+    return association_times(rows.join(at, "grp"))
+
+
+@query(f"WITH {_MET}, d AS (SELECT name1, name2, t, count(*) AS groups FROM p GROUP BY ALL) SELECT name1, name2, sum(groups)::BIGINT AS groups, count(*) AS n, string_agg(t, ',' ORDER BY t::VARCHAR) AS times FROM d GROUP BY name1, name2")
+def association_list(spark: SparkSession, sf: str) -> DataFrame:
+    return _met(spark, sf).withColumn("times", F.array_join("times", ","))
+
+
+@query(f"WITH {_MET}, c AS (SELECT name1, name2, count(*) AS n FROM p GROUP BY ALL), s AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS pos FROM (SELECT DISTINCT name FROM m)) SELECT r.pos, r.name, string_agg(coalesce(n::VARCHAR, ''), ',' ORDER BY q.pos) AS cells FROM s r CROSS JOIN s q LEFT JOIN c ON c.name2 = r.name AND c.name1 = q.name GROUP BY ALL")
+def association_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    return matrix_rows(_met(spark, sf))
