@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fieldmark.lineage import fresh_path
 from fieldmark.operators.associations import association_times, matrix_rows
 from fieldmark.operators.stores import merge_stores, store_part
-from fieldmark.plans.registry import query
+from fieldmark.plans.registry import OBS_SQL, observations, query
 from fieldmark.sources.tables import table
+from fieldmark.sources.voc import read_voc, write_voc
 
 # Two stores of orders as annots and customers as names: one has all but the open orders, the other all but the filled ones
 # and numbers its rows in its own way, so that pending orders stand in both.
@@ -82,3 +84,20 @@ def association_list(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {_MET}, c AS (SELECT name1, name2, count(*) AS n FROM p GROUP BY ALL), s AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS pos FROM (SELECT DISTINCT name FROM m)) SELECT r.pos, r.name, string_agg(coalesce(n::VARCHAR, ''), ',' ORDER BY q.pos) AS cells FROM s r CROSS JOIN s q LEFT JOIN c ON c.name2 = r.name AND c.name1 = q.name GROUP BY ALL")
 def association_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return matrix_rows(_met(spark, sf))
+
+
+# A name's day is an image, twice as high as wide for every other name; observations are boxes in it, turned by nothing.
+_VOC = OBS_SQL + """, b AS (SELECT *, nid * 100000 + imgset AS image FROM obs),
+i AS (SELECT image, row_number() OVER (ORDER BY image) AS pos, CASE WHEN any_value(nid) % 2 = 0 THEN 400 ELSE 1600 END AS w, 800 AS h FROM b GROUP BY image),
+s AS (SELECT *, 900.0::DOUBLE / greatest(w, h) AS f, CASE WHEN w > h THEN 900 ELSE trunc(900 * (w / h))::BIGINT END AS sw, CASE WHEN w > h THEN trunc(900 * (h / w))::BIGINT ELSE 900 END AS sh FROM i)"""
+
+
+@query(f"WITH {_VOC} SELECT '2000_' || lpad(pos::VARCHAR, 6, '0') AS name, sw::BIGINT AS width, sh::BIGINT AS height, view AS category, quality::VARCHAR AS view, trunc(3 * numfeat * f)::BIGINT AS xmin, trunc(numfeat * f)::BIGINT AS ymin, least(trunc((3 * numfeat + 40) * f)::BIGINT, sw - 1)::BIGINT AS xmax, least(trunc((numfeat + 60) * f)::BIGINT, sh - 1)::BIGINT AS ymax FROM b JOIN s USING (image) WHERE quality <> -1 AND view <> 'error'")
+def voc_export(spark: SparkSession, sf: str) -> DataFrame:
+    """Observations as boxes, written as archives of XML and read back; errors are no species of the export."""
+    obs = observations(spark, sf).withColumn("image_id", F.col("nid") * 100000 + F.col("imgset"))
+    boxes = obs.where("quality <> -1").select(F.col("aid").alias("id"), "image_id", F.col("view").alias("category"), F.col("quality").alias("view"), (3 * F.col("numfeat")).alias("x"), F.col("numfeat").alias("y"), F.lit(40).alias("w"), F.lit(60).alias("h"), F.lit(0.0).alias("theta"))
+    images = obs.groupBy(F.col("image_id").alias("id")).agg(F.any_value("nid").alias("nid")).select("id", F.concat(F.col("id").cast("string"), F.lit(".jpg")).alias("file_name"), F.when(F.col("nid") % 2 == 0, 400).otherwise(1600).alias("width"), F.lit(800).alias("height"), F.when(F.col("nid") == 0, "test").alias("subset"))
+    at = fresh_path(spark, "voc")
+    write_voc(images, boxes, at, year=2000, species=["click", "view", "purchase", "signup"])
+    return read_voc(spark, at).select("name", "width", "height", F.explode("boxes").alias("b")).select("name", "width", "height", "b.*")

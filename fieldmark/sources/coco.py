@@ -27,6 +27,8 @@ class CocoWriter(DataSourceWriter):
     """Rows are (part, image, boxes), in order of part. Each attempt writes files of its own names; only those of the attempts
     that Spark commits are moved to their place, and what is left of others goes with the staging folder."""
 
+    KIND, ENDING = "coco", "json"
+
     def __init__(self, path: str, overwrite: bool) -> None:
         self.path, self.overwrite, self.job = path.rstrip("/"), overwrite, uuid.uuid4().hex
 
@@ -60,7 +62,7 @@ class CocoWriter(DataSourceWriter):
         fs, root = self._fs()
         if self.overwrite:
             for f in fs.get_file_info(FileSelector(root, allow_not_found=True)):
-                if f.base_name.startswith("coco-") and f.extension == "json":
+                if f.base_name.startswith(f"{self.KIND}-") and f.extension == self.ENDING:
                     fs.delete_file(f.path)
         for m in messages:
             for own, to in m.files if m else []:
