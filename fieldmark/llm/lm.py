@@ -4,14 +4,15 @@ A text is a sequence of lower-cased words and one end. Exchange clustering assig
 all others by their last letters, to classes so that the class bigram likelihood of all training text is greatest. Then
 every other word of the training text, however rare, is assigned a class of its own: the one that makes what stands before
 the word likeliest, its last letters counting as some occurrences more. A token's probability is that of its class after
-the class of the token before it, times that of the word in its class. As what stands before, a word that is not among
-the most frequent goes by the class of its last letters, as do words that training has not seen; in each class, unseen
-words have half a count together, as in the unigram base. Transitions are interpolated with class frequencies.
+the class of the token before it, times that of the word in its class. Every word of the training text goes by its own
+class, also as what stands before; only while classes are being assigned, what stands before goes by last letters if it
+is not among the most frequent, and so do words that training has not seen; in each class, unseen words have half a count
+together, as in the unigram base. Transitions are interpolated with class frequencies.
 
 Scale: word counts and contexts cover all training text, combined by task before the shuffle, and grow with it. The words
 above a frequency that at most HEAD_WORDS reach travel to every task with their counts and classes; the rest of each
-document's words, each rare, meet theirs in a shuffled join, so where the line falls changes no result. Bigrams for the
-exchange are counted into a dense matrix of fixed size by task and summed by chunk; only that matrix reaches the driver.
+document's words, each rare, meet theirs in a shuffled join, with the classes beside them where these are known, and where
+two rare words stand together in a join for each; so where the line falls changes no result. Bigrams for the exchange are counted into a dense matrix of fixed size by task and summed by chunk; only that matrix reaches the driver.
 
 Edge cases: null and empty texts are one end token; a null id counts as the empty text for the fold; without training
 text every base probability is 1 and N is 0; repeated rows are scored each; long texts are scored whole; an empty table
@@ -107,6 +108,7 @@ class ClassModel:
         self.classes = np.zeros(self.types, dtype=np.int64)
         #: log10 of what divides (c + 0.5) in a class; log10 P(class | class before).
         self.share, self.move = np.zeros(1), np.zeros((1, 1))
+        self.sets: Any = None
 
     @classmethod
     def of(cls, fields: dict[str, Any]) -> ClassModel:
@@ -120,8 +122,10 @@ class ClassModel:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        own = _places(words, pa.array(list(self.own), pa.string()))
-        by_end = _places(pc.utf8_slice_codeunits(words, -2), pa.array(list(self.shared), pa.string()))
+        if self.sets is None:
+            self.sets = pa.array(list(self.own), pa.string()), pa.array(list(self.shared), pa.string())
+        own = _places(words, self.sets[0])
+        by_end = _places(pc.utf8_slice_codeunits(words, -2), self.sets[1])
         return np.where(own >= 0, own + 2, np.where(by_end >= 0, by_end + 2 + len(self.own), OTHER))
 
     def type_of(self, word: str) -> int:
@@ -129,14 +133,25 @@ class ClassModel:
 
         return int(self.types_of(pa.array([word], pa.string()))[0])
 
+    def fields(self) -> dict[str, Any]:
+        """What tasks need."""
+        return {k: v for k, v in vars(self).items() if k != "head"} | {"sets": None}
+
     def cluster(self, bigrams: np.ndarray, classes: int = CLASSES) -> None:
-        """Classes of types; own: how often each class is followed by each own word, and by the end."""
+        """Classes of types; pairs: how often each class is followed by each."""
         self.classes = exchange(bigrams, classes)
         hot = np.zeros((self.types, classes))
         hot[np.arange(self.types), self.classes] = 1
-        by_type = hot.T @ bigrams
-        self.pairs = by_type @ hot
-        self.typed = by_type[:, : 2 + len(self.own)]
+        self.pairs = hot.T @ bigrams @ hot
+
+    def name_head(self, head: dict[str, tuple[int, int]]) -> None:
+        """From now on the words of head (with count and class) are the types of their own."""
+        self.head = {w: i for i, w in enumerate(head)}
+        self.logs = np.log10(np.array([c for c, _ in head.values()], dtype=float) + 0.5)
+        self.of_head = np.array([k for _, k in head.values()], dtype=np.int64)
+        self.classes = np.concatenate([self.classes[:2], self.of_head, self.classes[2 + len(self.own) :]])
+        self.own = {w: i + 2 for w, i in self.head.items()}
+        self.types, self.sets = len(self.classes), None
 
     def fit(self, pairs: np.ndarray, mass: np.ndarray, words: np.ndarray, back: float = 5.0) -> None:
         """pairs: tokens of class l before class k; mass and words: tokens and distinct words of each class."""
@@ -199,6 +214,24 @@ def _before(values: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray
     return before, last
 
 
+def _after(values: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
+    """What stands after each word, an end after a text's last."""
+    after = np.concatenate([values[1:], [end]])[: len(values)]
+    after[np.cumsum(sizes)[sizes > 0] - 1] = end
+    return after
+
+
+def _met(m: ClassModel, words: Any, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(type, class, class before and class after of each word; class before each end). Neighbours that are no types of
+    their own have class -1; such words themselves that of their ending."""
+    types = m.types_of(words)[codes]
+    at = m.classes[types]
+    last = int(m.classes[END])
+    known = np.where((types >= 2) & (types < 2 + len(m.own)), at, -1)
+    before, at_end = _before(known, sizes, last)
+    return types, at, before, _after(known, sizes, last), at_end
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, c) over all texts, combined by task first."""
     name = texts.columns[0]
@@ -263,11 +296,10 @@ def type_bigrams(texts: DataFrame, model: Any) -> np.ndarray:
     return np.concatenate([np.frombuffer(r["counts"], dtype=np.int64) for r in sorted(rows, key=lambda r: r["chunk"])]).reshape(n, n)
 
 
-def assign_words(texts: DataFrame, model: ClassModel) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray]:
-    """((word, c, k) of every word that is no type of its own: its count and class; tokens of class l before such words
-    of class k; tokens and distinct words of each class)."""
+def assign_words(texts: DataFrame, model: ClassModel) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """((word, c, k) of every word that is no type of its own: its count and class; tokens and distinct words of each class)."""
     name = texts.columns[0]
-    shipped = texts.sparkSession.sparkContext.broadcast(vars(model))
+    shipped = texts.sparkSession.sparkContext.broadcast(model.fields())
     n = len(model.pairs)
 
     def contexts(batches: Iterator[Any]) -> Iterator[Any]:
@@ -304,7 +336,6 @@ def assign_words(texts: DataFrame, model: ClassModel) -> tuple[DataFrame, np.nda
         import pyarrow as pa
 
         m = ClassModel.of(shipped.value)
-        total = np.zeros((n, n), dtype=np.int64)
         mass, words = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
         kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32()]
         names = ["word", "c", "k", "l"]
@@ -324,12 +355,11 @@ def assign_words(texts: DataFrame, model: ClassModel) -> tuple[DataFrame, np.nda
                 add = np.add.reduceat(count[lo:hi, None] * step[left[lo:hi]], first[at : at + 4000] - lo, axis=0)
                 k[at : at + 4000] = (add + ending_of[ends[at : at + 4000]]).argmax(axis=1)
             c = np.add.reduceat(count, first)
-            np.add.at(total, (left, np.repeat(k, np.diff(offsets))), count)
             mass += np.bincount(k, weights=c, minlength=n).astype(np.int64)
             words += np.bincount(k, minlength=n)
             yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(c.astype(np.int64)), pa.array(k.astype(np.int32)), pa.nulls(len(k), pa.int32())], names=names)
         # Sums of the task: rows without a word; l is -1 for tokens, -2 for distinct words of a class.
-        rows = [(int(total[x, y]), y, x) for x, y in zip(*np.nonzero(total), strict=True)] + [(int(v), y, of) for of, vs in ((-1, mass), (-2, words)) for y, v in enumerate(vs) if v]
+        rows = [(int(v), y, of) for of, vs in ((-1, mass), (-2, words)) for y, v in enumerate(vs) if v]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.string())] + [pa.array([int(r[i]) for r in rows], kinds[i + 1]) for i in range(3)], names=names)
 
@@ -337,10 +367,50 @@ def assign_words(texts: DataFrame, model: ClassModel) -> tuple[DataFrame, np.nda
     seen = seen.groupBy("word").agg(F.collect_list(F.struct("l", "c")).alias("x"))
     both = store(seen.mapInArrow(assign, "word string, c long, k int, l int"), "lm-words")
     sums = both.where(F.col("word").isNull()).groupBy("l", "k").agg(F.sum("c").alias("c")).collect()
-    pairs, mass, words = np.zeros((n, n)), np.zeros(n), np.zeros(n)
+    mass, words = np.zeros(n), np.zeros(n)
     for r in sums:
-        (mass if r["l"] == -1 else words if r["l"] == -2 else pairs[r["l"]])[r["k"]] += r["c"]
-    return both.where(F.col("word").isNotNull()).select("word", "c", "k"), pairs, mass, words
+        (mass if r["l"] == -1 else words)[r["k"]] += r["c"]
+    return both.where(F.col("word").isNotNull()).select("word", "c", "k"), mass, words
+
+
+def class_pairs(texts: DataFrame, model: ClassModel, rare: DataFrame) -> np.ndarray:
+    """How often each class follows each in all texts, every word going by its own: those of the model's head, and of rare."""
+    name = texts.columns[0]
+    shipped = texts.sparkSession.sparkContext.broadcast(model.fields())
+    n = len(model.pairs)
+
+    def run(batches: Iterator[Any]) -> Iterator[Any]:
+        import pyarrow as pa
+
+        m = ClassModel.of(shipped.value)
+        last = int(m.classes[END])
+        total = np.zeros(n * n, dtype=np.int64)
+        names = ["word", "l", "r", "p", "c"]
+        for b in batches:
+            for words, codes, sizes in _groups(b.column(name)):
+                types, at, before, after, at_end = _met(m, words, codes, sizes)
+                there = (types >= 2) & (types < 2 + len(m.own))
+                both = there & (before >= 0)
+                total += np.bincount(np.concatenate([before[both] * n + at[both], at_end[at_end >= 0] * n + last]), minlength=n * n)
+                tail = np.flatnonzero(~there)
+                ahead = words.take(pa.array(codes[tail - 1], mask=before[tail] >= 0))
+                yield pa.RecordBatch.from_arrays([words.take(pa.array(codes[tail])), *[pa.array(x[tail].astype(np.int32)) for x in (before, after)], ahead, pa.array(np.ones(len(tail), dtype=np.int64))], names=names)
+        l, r = np.divmod(np.flatnonzero(total), n)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(l), pa.string()), pa.array(l.astype(np.int32)), pa.array(r.astype(np.int32)), pa.nulls(len(l), pa.string()), pa.array(total[total > 0])], names=names)
+
+    rows = store(texts.mapInArrow(run, "word string, l int, r int, p string, c long"), "lm-pairs")
+    own = rare.select("word", "k")
+    add = lambda df: df.groupBy("l", "r").agg(F.sum("c").alias("c"))
+    beside = rows.where(F.col("word").isNotNull() & ((F.col("l") >= 0) | (F.col("r") >= 0))).join(own, "word").groupBy("l", "k", "r").agg(F.sum("c").alias("c"))
+    sides = F.array(F.struct("l", F.col("k").alias("r")), F.struct(F.col("k").alias("l"), "r"))
+    beside = beside.select(F.explode(sides).alias("x"), "c").select("x.l", "x.r", "c").where((F.col("l") >= 0) & (F.col("r") >= 0))
+    among = rows.where(F.col("p").isNotNull()).join(own.select(F.col("word").alias("p"), F.col("k").alias("before")), "p").join(own, "word").select(F.col("before").alias("l"), F.col("k").alias("r"), "c")
+    known = rows.where(F.col("word").isNull()).select("l", "r", "c")
+    out = np.zeros((n, n))
+    for x in add(add(known).unionByName(add(beside)).unionByName(add(among))).collect():
+        out[x["l"], x["r"]] = x["c"]
+    discard(rows)
+    return out
 
 
 def train(texts: DataFrame) -> tuple[ClassModel, DataFrame]:
@@ -357,15 +427,14 @@ def train(texts: DataFrame) -> tuple[ClassModel, DataFrame]:
     shared = sorted(r["e"] for r in by_end.orderBy(F.desc("c"), "e").limit(SHARED_TYPES).collect())
     discard(counts)
     model = ClassModel(own, shared, sums["n"] + ends, sums["v"] + (ends > 0), ends)
-    model.cluster(type_bigrams(texts, spark.sparkContext.broadcast(vars(model))))
-    words, pairs, mass, distinct = assign_words(texts, model)
+    model.cluster(type_bigrams(texts, spark.sparkContext.broadcast(model.fields())))
+    words, mass, distinct = assign_words(texts, model)
     # Own words and the end have the classes of their types.
     fixed = np.array([ends, 0, *[r["c"] for r in own_rows]], dtype=float)
     there = np.array([ends > 0, False, *[True] * len(own)])
     at = model.classes[: len(fixed)]
-    typed = np.zeros_like(pairs)
-    np.add.at(typed.T, at, np.where(there, model.typed, 0).T)
-    model.fit(pairs + typed, mass + np.bincount(at, weights=fixed, minlength=len(mass)), distinct + np.bincount(at, weights=there, minlength=len(mass)))
+    mass += np.bincount(at, weights=fixed, minlength=len(mass))
+    distinct += np.bincount(at, weights=there, minlength=len(mass))
     # The least count that at most HEAD_WORDS words reach, by steps of an eighth of an octave.
     step = F.floor(F.log2("c") * 8)
     left, bar = HEAD_WORDS, None
@@ -377,9 +446,8 @@ def train(texts: DataFrame) -> tuple[ClassModel, DataFrame]:
     head = {r["word"]: (r["c"], model.classes[model.own[r["word"]]]) for r in own_rows}
     head |= {r["word"]: (r["c"], r["k"]) for r in words.where(step >= bar).collect()} if bar is not None else {}
     rare = words.where(step < bar) if bar is not None else words
-    model.head = {w: i for i, w in enumerate(head)}
-    model.logs = np.log10(np.array([c for c, _ in head.values()], dtype=float) + 0.5)
-    model.of_head = np.array([k for _, k in head.values()], dtype=np.int64)
+    model.name_head(head)
+    model.fit(class_pairs(texts, model, rare), mass, distinct)
     return model, rare
 
 
@@ -387,7 +455,7 @@ def score(docs: DataFrame, model: ClassModel, rare: DataFrame, *, text: str = "t
     """carry columns with n_tokens, n_known, base_score and score (log10) of each row of docs."""
     spark = docs.sparkSession
     small_batches(spark)
-    shipped = spark.sparkContext.broadcast(vars(model))
+    shipped = spark.sparkContext.broadcast(model.fields())
     names = ["rid", "n_tokens", "n_known", "base", "own", "rare"]
 
     def run(batches: Iterator[Any]) -> Iterator[Any]:
@@ -395,7 +463,6 @@ def score(docs: DataFrame, model: ClassModel, rare: DataFrame, *, text: str = "t
         from pyspark import TaskContext
 
         m = ClassModel.of(shipped.value)
-        heads = pa.array(list(m.head), pa.string())
         end = float(np.log10(m.ends + 0.5))
         last = int(m.classes[END])
         emit = m.logs - m.share[m.of_head]
@@ -404,18 +471,19 @@ def score(docs: DataFrame, model: ClassModel, rare: DataFrame, *, text: str = "t
         for batch in batches:
             start = 0
             for words, codes, sizes in _groups(batch.column("text")):
-                own, place = m.classes[m.types_of(words)][codes], _places(words, heads)[codes]
-                before, at_end = _before(own, sizes, last)
+                types, own, before, after, at_end = _met(m, words, codes, sizes)
                 doc = np.repeat(np.arange(len(sizes)), sizes)
-                there = place >= 0
-                at, of = place[there], doc[there]
+                there = (types >= 2) & (types < 2 + len(m.own))
+                at, of = types[there] - 2, doc[there]
                 by_text = lambda v, d=of, k=len(sizes): np.bincount(d, weights=v, minlength=k)
                 in_head = by_text(m.logs[at])
-                steps = by_text(m.move[before[there], m.of_head[at]] + emit[at]) + m.move[at_end, last] + end - m.share[last]
+                steps = by_text(np.where(before[there] >= 0, m.move[before[there], own[there]], 0) + emit[at]) + np.where(at_end >= 0, m.move[at_end, last], 0) + end - m.share[last]
                 known_words = np.bincount(of, minlength=len(sizes)) + int(m.ends > 0)
-                # What only the joined counts and classes can tell: words outside the head.
+                # What only the joined counts and classes can tell: words outside the head, and steps from and to them.
                 tail = np.flatnonzero(~there)
-                found = pa.StructArray.from_arrays([words.take(pa.array(codes[tail])), *[pa.array(x[tail].astype(np.int32)) for x in (before, own)]], names=["w", "l", "k"])
+                ahead = pa.array(codes[tail - 1], mask=before[tail] >= 0)
+                numbers = (before[tail], own[tail], after[tail], own[tail - 1])
+                found = pa.StructArray.from_arrays([words.take(pa.array(codes[tail])), words.take(ahead), *[pa.array(x.astype(np.int32)) for x in numbers]], names=["w", "p", "l", "k", "r", "pk"])
                 cuts = np.cumsum(np.concatenate([[0], np.bincount(doc[tail], minlength=len(sizes))]))
                 values = (rid + np.arange(len(sizes)), sizes + 1, known_words, in_head + end - (sizes + 1) * m.whole, steps)
                 arrays = [batch.column("carried").slice(start, len(sizes)), *[pa.array(v, k) for v, k in zip(values, kinds, strict=True)], pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), found)]
@@ -425,17 +493,22 @@ def score(docs: DataFrame, model: ClassModel, rare: DataFrame, *, text: str = "t
 
     taken = {"n_tokens", "n_known", "base_score", "score"}
     kept = docs.select(F.struct(F.lit(True).alias("row"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]).alias("carried"), F.col(text).alias("text"))
-    schema = f"carried {kept.schema['carried'].dataType.simpleString()}, rid long, n_tokens long, n_known long, base double, own double, rare array<struct<w:string,l:int,k:int>>"
+    schema = f"carried {kept.schema['carried'].dataType.simpleString()}, rid long, n_tokens long, n_known long, base double, own double, rare array<struct<w:string,p:string,l:int,k:int,r:int,pk:int>>"
     # Row ids are given once: they are read from the table, never made anew.
     rows = store(kept.mapInArrow(run, schema), "lm-rows")
-    steps = [(x, y, float(model.move[x, y] - model.share[y])) for x in range(len(model.move)) for y in range(len(model.move))]
-    step = F.broadcast(spark.createDataFrame(steps, "l int, k int, s double"))
-    tail = rows.select("rid", F.explode("rare").alias("r")).select("rid", F.col("r.w").alias("word"), F.col("r.l").alias("l"), F.col("r.k").alias("by_end"))
-    met = tail.join(rare, "word", "left").withColumn("k", F.coalesce("k", "by_end")).join(step, ["l", "k"])
+    # Numbers written out as text make one literal.
+    numbers = lambda x: F.split(F.lit(",".join(map(repr, x.ravel().tolist()))), ",").cast("array<double>")
+    move, share, none = numbers(model.move), numbers(model.share), F.lit(0.0)
+    step = lambda l, k: F.when((l >= 0) & (k >= 0), F.get(move, l * len(model.move) + k)).otherwise(none)
+    tail = rows.select("rid", F.explode("rare").alias("x")).select("rid", F.col("x.w").alias("word"), "x.p", "x.l", F.col("x.k").alias("by_end"), "x.r", "x.pk")
+    met = tail.select("rid", "word", "l", "by_end", "r").join(rare, "word", "left").withColumn("k", F.coalesce("k", "by_end"))
     log = F.log10(F.coalesce("c", F.lit(0)) + 0.5)
-    met = met.groupBy("rid").agg(F.sum(log).alias("t"), F.sum(log + F.col("s")).alias("u"), F.count("c").alias("m"))
+    met = met.select("rid", log.alias("t"), (log - F.get(share, F.col("k")) + step(F.col("l"), F.col("k")) + step(F.col("k"), F.col("r"))).alias("u"), F.col("c").isNotNull().cast("int").alias("m"))
+    # Two words outside the head, one after the other.
+    pairs = tail.where(F.col("p").isNotNull()).select("rid", "word", "p", "by_end", "pk").join(rare.select(F.col("word").alias("p"), F.col("k").alias("l")), "p", "left").join(rare.select("word", "k"), "word", "left")
+    pairs = pairs.select("rid", none.alias("t"), step(F.coalesce("l", "pk"), F.coalesce("k", "by_end")).alias("u"), F.lit(0).alias("m"))
+    met = met.unionByName(pairs).groupBy("rid").agg(F.sum("t").alias("t"), F.sum("u").alias("u"), F.sum("m").alias("m"))
     both = rows.drop("rare").join(met, "rid", "left")
-    none = F.lit(0.0)
     named = [F.col(f"carried.c{i}").alias(f"_{c}" if c.lower() in taken else c) for i, c in enumerate(carry)]
     return both.select(*named, "n_tokens", (F.col("n_known") + F.coalesce("m", F.lit(0))).alias("n_known"), (F.col("base") + F.coalesce("t", none)).alias("base_score"), (F.col("own") + F.coalesce("u", none)).alias("score"))
 

@@ -476,6 +476,38 @@ def test_lm_words_follow_their_contexts(spark, monkeypatch):
     assert len({k[w] for w in nouns}) == 1 and len({k[w] for w in verbs}) == 1 and k[nouns[0]] == k["cat"] != k[verbs[0]]
 
 
+@pytest.mark.parametrize("head", [2, 200_000])
+def test_lm_words_before_go_by_their_own_class(spark, monkeypatch, head):
+    """Transitions and scores against plain counts in which each word has its own class on both sides."""
+    monkeypatch.setattr(lm, "OWN_TYPES", 4)
+    monkeypatch.setattr(lm, "HEAD_WORDS", head)
+    rng = random.Random(7)
+    nouns, verbs = [f"n{i}ax" for i in range(9)], [f"v{i}ax" for i in range(9)]
+    texts = [" ".join(w for _ in range(rng.randrange(9)) for w in (rng.choice(["the", "a"]), rng.choice(nouns), rng.choice(["will", "can"]), rng.choice(verbs), rng.choice(verbs))) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    model, rare = lm.train(docs.select("text"))
+    k = {w: int(model.of_head[i]) for w, i in model.head.items()} | {r["word"]: r["k"] for r in rare.collect()}
+    k[None] = int(model.classes[lm.END])
+    c = Counter(w for t in texts for w in [*t.split(), None])
+    n = len(model.move)
+    pairs, mass, distinct = np.zeros((n, n)), np.zeros(n), np.zeros(n)
+    for t in texts:
+        for x, y in zip([None, *t.split()], [*t.split(), None], strict=True):
+            pairs[k[x], k[y]] += 1
+    for w, x in c.items():
+        mass[k[w]] += x
+        distinct[k[w]] += 1
+    base = np.where(distinct > 0, mass + 0.5, 0)
+    with np.errstate(divide="ignore"):
+        move = np.log10((pairs + 5 * base / base.sum()) / (pairs.sum(axis=1, keepdims=True) + 5))
+    assert np.allclose(model.move, move)
+    by_end = int(model.classes[model.type_of("zzax")])
+    for r in lm.score(spark.createDataFrame([(0, texts[0]), (1, "the zzax n1ax v1ax v2ax zzax zzax"), (2, "")], "doc_id int, text string"), model, rare, carry=("doc_id",)).collect():
+        seq = [*(texts[0], "the zzax n1ax v1ax v2ax zzax zzax", "")[r["doc_id"]].split(), None]
+        at = [k.get(w, by_end) for w in seq]
+        assert r["score"] == pytest.approx(sum(move[x, y] + math.log10((c[w] + 0.5) / (mass[y] + 0.5 * (distinct[y] + 1))) for x, y, w in zip([k[None], *at], at, seq)))
+
+
 def test_lm_odd(spark, odd, small_lm):
     _, model, rare = small_lm
     docs = odd.withColumn("rid", F.lit(1)).withColumn("score", F.lit("x")).withColumn("base", F.lit(2)).withColumn("a.b", F.lit(3))
