@@ -158,6 +158,14 @@ def test_ann_verifies_few_of_clustered_vectors():
     assert hit >= 0.9 * 20 * 30 and index.verified < 0.05 * 30 * len(x)
 
 
+def test_ann_opens_all_windows_at_once(monkeypatch):
+    x = np.random.default_rng(4).standard_normal((400, 8))
+    index, calls, real = ann.CollisionIndex(np.arange(400), x), [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda *a, **b: calls.append(1) or real(*a, **b))
+    ids, scores = index.search(0, x[0], 400)
+    assert len(calls) <= 60 and sorted(ids.tolist()) == list(range(1, 400)) and np.allclose(scores, x[ids] @ x[0])
+
+
 def test_ann_recall_on_embeddings(spark):
     sf = "/root/testdata/sf0.01"
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
