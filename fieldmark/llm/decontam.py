@@ -93,12 +93,23 @@ def _starts(words: Column, size: int) -> Column:
     return F.sequence(F.lit(1), F.greatest(F.size(words) - (size - 1), F.lit(1)))
 
 
+def _runs(hashes: Column, size: int) -> Column:
+    """A hash of each run of `size` elements, of which there are as many at least: from runs of half as many, and so on."""
+    # A lambda with a second parameter would be given the index.
+    joined = lambda by: lambda h: F.zip_with(F.slice(h, 1, F.size(h) - by), F.slice(h, 1 + by, F.size(h) - by), lambda x, y: F.xxhash64(x, y))
+    span = 1
+    while span < size:
+        by = min(span, size - span)
+        hashes = _let(hashes, joined(by))
+        span += by
+    return hashes
+
+
 def windows(words: Column, size: int) -> Column:
-    """Of all runs of `size` words the hashes as a template and by values; null if there are fewer words."""
+    """Of all runs of `size` words the hashes as a template and by values, one if they are the same; null if there are fewer words."""
     as_template = F.transform(words, lambda w: F.xxhash64(F.when(_marked(w), F.substring(w, 1, 1)).otherwise(w)))
     as_values = F.transform(words, lambda w: F.xxhash64(_value(w)))
-    runs = lambda t, v: F.transform(_starts(words, size), lambda i: F.array(F.xxhash64(F.slice(t, i, size)), F.xxhash64(F.slice(v, i, size))))
-    return F.when(F.size(words) >= size, _let(as_template, lambda t: _let(as_values, lambda v: runs(t, v))))
+    return F.when(F.size(words) >= size, F.zip_with(_runs(as_template, size), _runs(as_values, size), lambda t, v: F.when(t == v, F.array(t)).otherwise(F.array(t, v))))
 
 
 def readings(words: Column, size: int) -> Column:
@@ -115,8 +126,8 @@ def readings(words: Column, size: int) -> Column:
     def run(h: Column, i: Column) -> Column:
         part = F.slice(h, i, size)
         none = F.array(F.struct(F.array().cast("array<bigint>").alias("h"), F.lit(0).alias("n")))
-        exact = F.array(F.xxhash64(F.transform(part, lambda x: x["v"])))
-        return F.array_union(exact, F.transform(F.aggregate(part, none, grow), lambda a: F.xxhash64(a["h"])))
+        exact = _runs(F.transform(part, lambda x: x["v"]), size)
+        return F.array_union(exact, F.transform(F.aggregate(part, none, grow), lambda a: F.element_at(_runs(a["h"], size), 1)))
 
     return F.when(F.size(words) >= size, _let(each, lambda h: F.transform(_starts(words, size), lambda i: run(h, i))))
 

@@ -341,6 +341,19 @@ def leaks(spark, items, docs):
     return {(r["doc_id"], r["item_id"]): r for r in found.collect()}
 
 
+@pytest.mark.parametrize("size", [3, 5, 8])
+def test_decontam_windows(spark, size):
+    """One hash for a run without placeholders, which is also the item's reading of it; equal runs have equal hashes, others others."""
+    line = "we saw that the 12 cats sat by the old red wall and the 12 cats sat by the old red wall again"
+    row = spark.createDataFrame([(line,)], "text string").select(decontam.template_words(F.col("text")).alias("w"))
+    w, got, read = row.select("w", decontam.windows(F.col("w"), size), decontam.readings(F.col("w"), size)).first()
+    runs = [tuple(w[i : i + size]) for i in range(len(w) - size + 1)]
+    marked = [any(x.startswith(decontam._NUMBER) for x in run) for run in runs]
+    assert len(got) == len(runs) and [len(x) for x in got] == [1 + m for m in marked]
+    assert len({x[-1] for x in got}) == len(set(runs)) and all(x[-1] in y for x, y in zip(got, read, strict=True))
+    assert all((runs[i] == runs[j]) == (got[i][-1] == got[j][-1]) for i in range(len(runs)) for j in range(i))
+
+
 def test_decontam_renamed_openers(spark):
     item = "Tom has 5 apples. Tom eats 2 of them. Ann gives Tom 4 more. How many apples does Tom have now?"
     other = "He walks along the river bank before dawn. He carries two old red baskets of fruit to town"
