@@ -33,9 +33,10 @@ def stream_once(spark: SparkSession, sf: str) -> DataFrame:
 s AS (SELECT user_id, i, 0.1::DOUBLE * v + 0.9::DOUBLE AS e FROM k WHERE i = 1 UNION ALL SELECT k.user_id, k.i, 0.1::DOUBLE * k.v + 0.9::DOUBLE * s.e FROM s JOIN k ON k.user_id = s.user_id AND k.i = s.i + 1)
 SELECT user_id::VARCHAR AS key, count(*) AS n, round(arg_max(e, i), 6) AS ewma FROM s GROUP BY user_id""")
 def stream_moving_average(spark: SparkSession, sf: str) -> DataFrame:
-    """Moving average of span 19 over each user's events; the last state of each user."""
+    """Moving average of span 19 over each user's events; the last state of each user. All files make one batch, for events are in
+    no order among files."""
     schema = table(spark, sf, "events").schema
-    rows = read_stream(spark, f"{sf}/events.parque[t]", schema).select(F.col("user_id").cast("string").alias("key"), (F.col("value") > 50).cast("int").alias("value"), F.col("event_id").alias("pos"))
+    rows = read_stream(spark, f"{sf}/events.parque[t]", schema, files_per_batch=None).select(F.col("user_id").cast("string").alias("key"), (F.col("value") > 50).cast("int").alias("value"), F.col("event_id").alias("pos"))
     out = fresh_path(spark, "stream-average")
 
     def keep(batch: DataFrame, n: int) -> None:

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_stream(spark: SparkSession, path: str, schema: Any, files_per_batch: int = 1) -> DataFrame:
-    """A folder of Parquet files as a stream."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def read_stream(spark: SparkSession, path: str, schema: Any, files_per_batch: int | None = 1) -> DataFrame:
+    """A folder of Parquet files as a stream; None: all files that are there make one batch."""
+    read = spark.readStream.schema(schema)
+    return (read if files_per_batch is None else read.option("maxFilesPerTrigger", files_per_batch)).parquet(path)
 
 
 def sessions(stream: DataFrame, gap: str, late: str, key: str = "user_id", ts: str = "ts") -> DataFrame:
@@ -27,20 +28,23 @@ def once(stream: DataFrame, key: list[str], ts: str, late: str) -> DataFrame:
 
 def moving_average(stream: DataFrame, window: int, key: str = "key", value: str = "value", order: str = "pos") -> DataFrame:
     """(key, n, ewma): exponentially weighted mean of each key's values in order within a batch; starts at 1, weight
-    2 / (window + 1)."""
+    2 / (window + 1). A key's rows of a batch reach its task in any order and in several pieces: their two numbers are held
+    until all are there. What a later batch brings comes after, whatever its order."""
     alpha = 2.0 / (window + 1)
 
     def step(k: tuple[Any, ...], batches: Iterator[Any], state: Any) -> Iterator[Any]:
+        import numpy as np
         import pandas as pd
 
         n, mean = state.get if state.exists else (0, 1.0)
-        for pdf in batches:
-            for v in pdf.sort_values(order)[value]:
-                mean, n = alpha * float(v) + (1 - alpha) * mean, n + 1
+        pieces = [(pdf[order].to_numpy(), pdf[value].to_numpy(dtype="float64")) for pdf in batches]
+        at, values = (np.concatenate(side) for side in zip(*pieces, strict=True))
+        for v in values[np.argsort(at, kind="stable")]:
+            mean, n = alpha * float(v) + (1 - alpha) * mean, n + 1
         state.update((n, mean))
         yield pd.DataFrame({"key": [str(k[0])], "n": [n], "ewma": [mean]})
 
-    return stream.groupBy(key).applyInPandasWithState(step, "key string, n long, ewma double", "n long, mean double", "update", "NoTimeout")
+    return stream.select(key, value, order).groupBy(key).applyInPandasWithState(step, "key string, n long, ewma double", "n long, mean double", "update", "NoTimeout")
 
 
 def growing_components(table: Callable[[], DataFrame | None], write: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
