@@ -78,14 +78,32 @@ def corresponding_groups(left: DataFrame, right: DataFrame) -> DataFrame:
 def nearest_time(rows: DataFrame, donors: DataFrame, key: str, most: int, t: str = "t") -> DataFrame:
     """rows joined with the donor of equal key that is nearest in time, within `most`; ties to the lesser id.
 
-    Times are cut into spans of `most`, so a row meets donors of three spans only, not all of its key.
+    Times are cut into spans of `most`, so a row looks into three spans only, not into all of its key. Nothing is joined: rows
+    and donors of a span are put in order of time, once each way, and a row takes the donor last seen, or the last one with
+    another id where that is the row's own. So work grows with rows and donors, not with their pairs.
     """
     span = lambda c: F.floor(c / most)
-    left = rows.withColumn("_span", F.explode(F.array(*[span(F.col(t)) + d for d in (-1, 0, 1)])))
-    right = donors.select(F.col(key), F.col("aid").alias("donor"), F.col(t).alias("donor_t"), span(F.col(t)).alias("_span"), *[F.col(c).alias(f"donor_{c}") for c in donors.columns if c not in (key, "aid", t)])
-    gap = F.abs(F.col(t) - F.col("donor_t"))
-    met = left.join(right, [key, "_span"]).where((gap <= most) & (F.col("aid") != F.col("donor"))).withColumn("gap", gap)
-    return met.withColumn("_nth", F.row_number().over(W.partitionBy("aid").orderBy("gap", "donor"))).where(F.col("_nth") == 1).drop("_nth", "_span")
+    extra = [c for c in donors.columns if c not in (key, "aid", t)]
+    usable = lambda df: df.where(F.col(key).isNotNull() & F.col(t).isNotNull() & F.col("aid").isNotNull())
+    at = [F.col(key).alias("_key"), F.col(t).alias("_t"), F.col("aid").alias("_id")]
+    left = usable(rows).select(*at, F.struct(*rows.columns).alias("_row"), F.explode(F.array(*[span(F.col(t)) + d for d in (-1, 0, 1)])).alias("_span"))
+    right = usable(donors).select(*at, F.struct(F.col("aid").alias("donor"), F.col(t).alias("donor_t"), *[F.col(c).alias(f"donor_{c}") for c in extra]).alias("_own"), span(F.col(t)).alias("_span"))
+    both = left.unionByName(right, allowMissingColumns=True)
+    last = lambda c, w: F.last(c, ignorenulls=True).over(w)
+    sides = []
+    for order in (F.asc("_t"), F.desc("_t")):
+        # Of donors as near, the least id comes last; donors come before rows of their time.
+        w = W.partitionBy("_key", "_span").orderBy(order, F.col("_own").isNull(), F.desc("_id"))
+        seen, before = w.rowsBetween(W.unboundedPreceding, W.currentRow), w.rowsBetween(W.unboundedPreceding, -1)
+        one, two = f"_one{len(sides)}", f"_two{len(sides)}"
+        both = both.withColumn("_prior", last("_own", before)).withColumn("_other", F.when(F.col("_prior.donor") != F.col("_own.donor"), F.col("_prior")))
+        both = both.withColumn(one, last("_own", seen)).withColumn(two, last("_other", seen)).drop("_prior", "_other")
+        sides.append(F.when(F.col(f"{one}.donor") != F.col("_id"), F.col(one)).otherwise(F.col(two)))
+    gaps = [F.abs(F.col("_t") - s["donor_t"]) for s in sides]
+    later = gaps[0].isNull() | (F.struct(gaps[1].alias("gap"), sides[1]["donor"].alias("donor")) < F.struct(gaps[0].alias("gap"), sides[0]["donor"].alias("donor")))
+    found = both.where(F.col("_row").isNotNull()).select("_row", F.when(gaps[1].isNotNull() & later, sides[1]).otherwise(sides[0]).alias("_found"))
+    met = found.select("_row.*", "_found.*").withColumn("gap", F.abs(F.col(t) - F.col("donor_t"))).where(F.col("gap") <= most)
+    return met.withColumn("_nth", F.row_number().over(W.partitionBy("aid").orderBy("gap", "donor"))).where(F.col("_nth") == 1).drop("_nth")
 
 
 def pair_features(rows: DataFrame, by: list[str], values: list[str]) -> DataFrame:
