@@ -1,11 +1,12 @@
 """Review graphs beyond components: edge connectivity, what would raise it, spanning edges, and how two nodes are joined.
 
-What needs flows runs within one two-edge-connected part of a component at a time, which is as large as an individual is
-often seen; all else is joins and components over the whole table. Edges are as in `graph`: a < b and a state.
+What needs flows runs within one two-edge-connected part of a component at a time, and three-edge classes within one
+component, which is as large as an individual is often seen; all else is joins and components over the whole table. Edges are as in `graph`: a < b and a state.
 """
 
 from __future__ import annotations
 
+import random
 from collections import defaultdict, deque
 from collections.abc import Iterable
 from typing import Any
@@ -49,12 +50,74 @@ def neighbours_of(edges: Iterable[tuple[int, int]]) -> dict[int, set[int]]:
     return near
 
 
+def three_edge_classes(near: dict[int, set[int]]) -> dict[int, int]:
+    """edge_classes for k = 3, in time linear in nodes and edges.
+
+    Two edges cut a graph if the same cycles pass them. Each edge that a depth-first tree leaves out gets random bits, and an edge
+    of the tree the sum of those whose cycle it is on: none for a bridge, equal ones for edges that cut together, which lie
+    on one way down the tree, with at most one edge beside it. They cut the graph into a ring of segments; a node's label
+    sums, over all such sets, random bits of the segment it is in. Bits are 128, so no two sums agree by chance.
+    """
+    bits = random.Random(3).getrandbits
+    order: list[int] = []
+    up: dict[int, int | None] = {}
+    when: dict[int, int] = {}
+    cover: dict[int, int] = defaultdict(int)
+    beside: set[int] = set()
+    for start in sorted(near):
+        if start in up:
+            continue
+        up[start], when[start] = None, len(order)
+        order.append(start)
+        stack = [(start, iter(near[start]))]
+        while stack:
+            u, todo = stack[-1]
+            for v in todo:
+                if v not in up:
+                    up[v], when[v] = u, len(order)
+                    order.append(v)
+                    stack.append((v, iter(near[v])))
+                    break
+                if v != up[u] and when[v] < when[u]:
+                    own = bits(128)
+                    beside.add(own)
+                    cover[u] ^= own
+                    cover[v] ^= own
+            else:
+                stack.pop()
+    for v in reversed(order):
+        if up[v] is not None:
+            cover[up[v]] ^= cover[v]
+    left: dict[int, int] = defaultdict(int)
+    for v in order:
+        if up[v] is not None:
+            left[cover[v]] += 1
+    label: dict[int, int] = {}
+    least: dict[int, int] = {}
+    segment: dict[int, int] = defaultdict(int)
+    for v in order:
+        if up[v] is None:
+            label[v] = bits(128)
+            continue
+        c = cover[v]
+        left[c] -= 1
+        # Below a set's last edge in the tree lies what is above its first, unless an edge beside the tree is cut with them.
+        new = bits(128) if not c or left[c] or c in beside else 0
+        label[v] = label[up[v]] ^ new ^ (segment[c] if c else 0)
+        segment[c] = new
+    for v in sorted(near):
+        least.setdefault(label[v], v)
+    return {v: least[label[v]] for v in near}
+
+
 def edge_classes(near: dict[int, set[int]], k: int) -> dict[int, int]:
     """node -> least node of its class: nodes that no cut of fewer than k edges separates.
 
     A tree of cuts: each node in turn is cut from its parent, and takes along the later nodes on its side that have the
     same parent. Cuts of k edges or more separate nobody, so flows end at k.
     """
+    if k == 3:
+        return three_edge_classes(near)
     nodes = sorted(near)
     parent = {v: nodes[0] for v in nodes}
     joined: dict[int, int] = {v: v for v in nodes}
@@ -73,24 +136,25 @@ def edge_classes(near: dict[int, set[int]], k: int) -> dict[int, int]:
     return {v: least[joined[v]] for v in nodes}
 
 
-def _parts(edges: DataFrame) -> DataFrame:
-    """(part, a, b): match edges within the two-edge-connected parts."""
-    return labelled(edges.where("state = 'match' AND a <> b").select("a", "b").distinct(), two_edge_components(edges)).where("r1 = r2").select(F.col("r1").alias("part"), "a", "b")
+def _inside(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(part, a, b): match edges with both ends in one part."""
+    return labelled(edges.where("state = 'match' AND a <> b").select("a", "b").distinct(), roots).where("r1 = r2").select(F.col("r1").alias("part"), "a", "b")
 
 
 def k_edge_components(edges: DataFrame, k: int) -> DataFrame:
     """(node, root) of all nodes: no k - 1 match edges' loss separates nodes of one root, though paths may leave the class."""
     if k <= 1:
         return positive_components(edges)
-    two = two_edge_components(edges)
     if k == 2:
-        return two
+        return two_edge_components(edges)
+    # Three edges take time linear in a component; more are sought in its two-edge-connected parts.
+    parts = positive_components(edges) if k == 3 else two_edge_components(edges)
 
     def run(rows: list[Any]) -> list[tuple[Any, ...]]:
         return list(edge_classes(neighbours_of((r.a, r.b) for r in rows), k).items())
 
-    found = per_unit(_parts(edges), "part", run, "node long, root long")
-    return two.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    found = per_unit(_inside(edges, parts), "part", run, "node long, root long")
+    return parts.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
 def k_edge_subgraphs(edges: DataFrame, k: int) -> DataFrame:
@@ -117,7 +181,7 @@ def k_edge_subgraphs(edges: DataFrame, k: int) -> DataFrame:
                         todo.append(inner)
         return out
 
-    found = per_unit(_parts(edges), "part", run, "node long, root long")
+    found = per_unit(_inside(edges, two_edge_components(edges)), "part", run, "node long, root long")
     return nodes_of(edges).join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 

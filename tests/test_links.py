@@ -3,13 +3,14 @@
 import itertools
 import math
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldmark.operators import connectivity, pair_matching
+from fieldmark.operators import components_deep, connectivity, graph, pair_matching
 from fieldmark.operators import descriptor_index as di
 from fieldmark.operators.matching import knn
 from fieldmark.plans.registry import descriptors
@@ -219,6 +220,24 @@ def test_edge_classes_brute_force(seed, k):
         assert (got[s] == got[t]) == (flow(edges, s, t) >= k)
 
 
+def test_three_edge_classes_of_a_large_part():
+    """A long ladder: three ways join the ends of an inner rung, two ways all else. Flows between its nodes would take hours."""
+    near = connectivity.neighbours_of([e for i in range(0, 20000, 2) for e in ((i, i + 1), (i, i + 2), (i + 1, i + 3))])
+    began = time.perf_counter()
+    got = connectivity.edge_classes(near, 3)
+    assert time.perf_counter() - began < 60
+    assert got == {v: v - v % 2 if 2 <= v < 19998 else v for v in range(20002)}
+
+
+def test_k3_components_label_the_table_once(spark, monkeypatch):
+    """Components go over the whole table in many rounds, so once must do."""
+    rounds = []
+    monkeypatch.setattr(connectivity, "positive_components", lambda edges: rounds.append(1) or graph.positive_components(edges))
+    monkeypatch.setattr(components_deep, "positive_components", connectivity.positive_components)
+    connectivity.k_edge_components(as_edges(spark, [(1, 2), (2, 3), (1, 3)]), 3)
+    assert len(rounds) == 1
+
+
 def plain_subgraphs(edges, nodes, k):
     """Split by any pair that fewer than k ways join, inside what is left, until none is."""
     own = [(a, b) for a, b in edges if a in nodes and b in nodes]
