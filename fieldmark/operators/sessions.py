@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import itertools
 import math
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -75,6 +75,68 @@ def _gap_sec(low: dict[str, Column], high: dict[str, Column], low2: dict[str, Co
     return F.coalesce(gap["t"].cast("double"), F.lit(0.0)) + F.sqrt(gap["x"] * gap["x"] + gap["y"] * gap["y"] + gap["z"] * gap["z"]) / km_per_sec
 
 
+#: Wide cells along each side of a tile, and cells that are compared in one call.
+TILE, BUCKET_CELLS = 4, 20000
+
+
+def _tile_links(cells: DataFrame, seconds: float, km_per_sec: float) -> DataFrame:
+    """(a, b, met) of cells within reach: met ones as links to the least of those that they lead to within a tile, others as
+    pairs if their ends are still apart.
+
+    A tile has the cells of TILE wide cells each way and of the next one, so any two neighbours lie in one tile together, and
+    few cells in more than one. Geometry bounds its cells, which are compared in memory: pairs of cells are never stored.
+    """
+    import numpy as np
+
+    of = lambda w: F.explode(F.array_distinct(F.array(F.floor(F.col(w) / TILE), F.floor((F.col(w) - 1) / TILE))))
+    # Cells of one row need no bounds.
+    wide = F.when(F.col("n") > 1, F.struct(*[F.coalesce(f"{n}_{c}", F.lit(0)).cast("double").alias(f"{n}_{c}") for n in ("low", "high") for c in ("t", "x", "y", "z")]))
+    tiles = cells.select("kind", *WIDE, F.col("rep"), F.coalesce("at.t", F.lit(0)).cast("double").alias("t"), "at.lat", "at.lon", wide.alias("w"))
+    for w in WIDE:
+        tiles = tiles.withColumn(w, of(w))
+    tiles = tiles.select(F.xxhash64("kind", *WIDE).alias("tile"), "kind", "rep", "t", "lat", "lon", "w.*")
+    buckets = max(1, -(-cells.count() // BUCKET_CELLS))
+
+    def linked(rep: Any, p: dict[str, Any], low: Any, high: Any) -> list[Any]:
+        pairs = []
+        for at in range(0, len(rep), 256):
+            part = slice(at, at + 256)
+            gap = [np.maximum(np.maximum(low[c][None] - high[c][part, None], low[c][part, None] - high[c][None]), 0.0) for c in range(4)]
+            i, j = np.nonzero(gap[0] + np.sqrt(gap[1] ** 2 + gap[2] ** 2 + gap[3] ** 2) / km_per_sec <= seconds * (1 + 1e-9))
+            pairs.append((i[i + at < j] + at, j[i + at < j]))
+        i, j = (np.concatenate(side) for side in zip(*pairs, strict=True))
+        h = np.sin((p["lat"][j] - p["lat"][i]) / 2) ** 2 + np.cos(p["lat"][i]) * np.cos(p["lat"][j]) * np.sin((p["lon"][j] - p["lon"][i]) / 2) ** 2
+        met = 2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(h, 1.0))) / km_per_sec + np.abs(p["t"][i] - p["t"][j]) <= seconds
+        label, moved = np.arange(len(rep)), True
+        while moved:
+            x, y = label[i[met]], label[j[met]]
+            new = label.copy()
+            np.minimum.at(new, np.maximum(x, y), np.minimum(x, y))
+            while (new[new] != new).any():
+                new = new[new]
+            label, moved = new, (new != label).any()
+        own = np.nonzero(label != np.arange(len(rep)))[0]
+        open_ = ~met & (label[i] != label[j])
+        return [(rep[own], rep[label[own]], np.ones(len(own), bool)), (rep[i[open_]], rep[j[open_]], np.zeros(open_.sum(), bool))]
+
+    def bucket(pdf: Any) -> Any:
+        import pandas as pd
+
+        pdf = pdf.sort_values(["kind", "tile", "rep"])
+        rep, kind, tile = (pdf[c].to_numpy() for c in ("rep", "kind", "tile"))
+        p = {"t": pdf["t"].to_numpy(), "lat": np.radians(pdf["lat"].to_numpy()), "lon": np.radians(pdf["lon"].to_numpy())}
+        point = [p["t"], np.cos(p["lat"]) * np.cos(p["lon"]) * EARTH_KM, np.cos(p["lat"]) * np.sin(p["lon"]) * EARTH_KM, np.sin(p["lat"]) * EARTH_KM]
+        low, high = ([np.where(np.isnan(b), q, b) for q, b in zip(point, (pdf[f"{n}_{c}"].to_numpy(dtype="float64") for c in "txyz"), strict=True)] for n in ("low", "high"))
+        ends = np.concatenate(([0], np.nonzero((tile[1:] != tile[:-1]) | (kind[1:] != kind[:-1]))[0] + 1, [len(rep)]))
+        out = [(rep[:0], rep[:0], np.zeros(0, bool))]
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            if b - a > 1:
+                out += linked(rep[a:b], {c: v[a:b] for c, v in p.items()}, [v[a:b] for v in low], [v[a:b] for v in high])
+        return pd.DataFrame(dict(zip(("a", "b", "met"), (np.concatenate(side) for side in zip(*out, strict=True)), strict=True)))
+
+    return tiles.groupBy(F.pmod("tile", F.lit(buckets)).alias("bucket_")).applyInPandas(bucket, "a long, b long, met boolean")
+
+
 def occurrences(obs: DataFrame, seconds: int, km_per_sec: float = 0.002) -> DataFrame:
     """(aid, occurrence): single-linkage clusters at a distance in seconds, space turned into time by a speed.
 
@@ -82,7 +144,7 @@ def occurrences(obs: DataFrame, seconds: int, km_per_sec: float = 0.002) -> Data
     An occurrence is named by its least id. Rows with time only are runs without a gap over the threshold.
 
     Rows with a place are grouped by narrow cells of time and space, whose rows are all within the threshold. Only cells, one
-    row each, are joined, with those of neighbouring wide cells, of which geometry bounds the number however many rows a
+    row each, are compared with those of neighbouring wide cells, of which geometry bounds the number however many rows a
     cell holds. Cells whose first rows are near are linked; where such links leave two near cells in different clusters, their
     rows within reach of the other's bounds are compared, so no link is lost.
     """
@@ -96,24 +158,18 @@ def occurrences(obs: DataFrame, seconds: int, km_per_sec: float = 0.002) -> Data
     placed = store(_placed(rows.where("kind in (0, 2)"), seconds, km_per_sec), "placed")
     first = F.min_by(F.struct("t", "lat", "lon"), "aid")
     bounds = [f(c).alias(f"{n}_{c}") for c in ("t", "x", "y", "z") for f, n in ((F.min, "low"), (F.max, "high"))]
-    cells = store(placed.groupBy(*key, *WIDE).agg(F.min("aid").alias("rep"), first.alias("at"), *bounds), "cells")
+    cells = store(placed.groupBy(*key, *WIDE).agg(F.min("aid").alias("rep"), F.count(F.lit(1)).alias("n"), first.alias("at"), *bounds), "cells")
     # A narrow cell may be cut by walls of wide ones: its parts are linked by its least id.
     least = cells.withColumn("least", F.min("rep").over(W.partitionBy(*key)))
     parts = least.where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
-    steps = [s for s in itertools.product((0, 1), (-1, 0, 1), (-1, 0, 1), (-1, 0, 1)) if s >= (0, 0, 0, 0)]
-    step = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"s{i}") for i, v in enumerate(s)]) for s in steps]))
     sides = {side: {c: F.col(f"{side}_{c}") for c in ("t", "x", "y", "z")} for side in ("low", "high", "low2", "high2")}
-    moved = cells.withColumn("s", step).where("kind = 0 or s.s0 = 0").select(*[(F.col(w) + F.col(f"s.s{i}")).alias(w) for i, w in enumerate(WIDE)], "s", *[c for c in cells.columns if c not in WIDE])
-    other = cells.select("kind", *WIDE, *[F.col(c).alias(f"{c}2") for c in ("rep", "at")], *[F.col(f"{n}_{c}").alias(f"{n}2_{c}") for n in ("low", "high") for c in ("t", "x", "y", "z")])
-    once = (F.col("s.s0") != 0) | (F.col("s.s1") != 0) | (F.col("s.s2") != 0) | (F.col("s.s3") != 0) | (F.col("rep") < F.col("rep2"))
-    near = moved.join(other, ["kind", *WIDE]).where(once & (F.col("rep") != F.col("rep2")) & (_gap_sec(*sides.values(), km_per_sec) <= seconds * (1 + 1e-9)))
     apart = lambda p, q: timespace_sec(haversine_km(p("lat"), p("lon"), q("lat"), q("lon")), F.abs(p("t") - q("t")), km_per_sec)
-    met = apart(lambda c: F.col(f"at.{c}"), lambda c: F.col(f"at2.{c}")) <= seconds
-    boxes = [f"{n}_{c}" for n in ("low", "high", "low2", "high2") for c in ("t", "x", "y", "z")]
-    pairs = store(near.select("rep", "rep2", met.alias("met"), *boxes), "cell-pairs")
-    found = components(pairs.where("met").select(F.col("rep").alias("a"), F.col("rep2").alias("b")).unionByName(parts))
+    pairs = store(_tile_links(cells, seconds, km_per_sec).distinct(), "cell-links")
+    found = components(pairs.where("met").select("a", "b").unionByName(parts))
     comp = store(cells.select("rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("comp")), "cell-clusters")
-    open_ = pairs.where("not met").join(comp, "rep").join(comp.select(F.col("rep").alias("rep2"), F.col("comp").alias("comp2")), "rep2").where("comp <> comp2")
+    open_ = pairs.where("not met").select(F.col("a").alias("rep"), F.col("b").alias("rep2")).join(comp, "rep").join(comp.select(F.col("rep").alias("rep2"), F.col("comp").alias("comp2")), "rep2").where("comp <> comp2")
+    box = lambda i: cells.select(F.col("rep").alias(f"rep{i}"), *[F.col(f"{n}_{c}").alias(f"{n}{i}_{c}") for n in ("low", "high") for c in ("t", "x", "y", "z")])
+    open_ = store(open_.join(box(""), "rep").join(box("2"), "rep2"), "open-cells")
     # Only rows in reach of the other cell's bounds are compared.
     members = placed.join(cells.select("kind", *NARROW, *WIDE, "rep"), [*key, *WIDE]).select("rep", "aid", "t", "lat", "lon", "x", "y", "z")
     point = {c: F.col(c) for c in ("t", "x", "y", "z")}

@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from fieldmark.operators import sessions
 from fieldmark.operators.sessions import occurrences
 
 OBS = "aid long, t long, lat double, lon double"
@@ -56,3 +57,13 @@ def test_occurrences_of_nothing_and_of_copies(spark):
     assert occurrences(spark.createDataFrame([], OBS), 600).collect() == []
     copies = [(i, 100, 5.0, 5.0) for i in range(1, 60)] + [(99, None, None, 3.0)]
     assert {tuple(r) for r in occurrences(spark.createDataFrame(copies, OBS), 600).collect()} == {(i, 1) for i in range(1, 60)} | {(99, 99)}
+
+
+def test_occurrences_store_no_pairs(spark, monkeypatch):
+    """Of 1,500 rows each is near hundreds of others, in narrow cells of their own; what is stored grows with rows."""
+    rng, counts = random.Random(5), []
+    rows = [(i + 1, rng.randrange(3600), rng.uniform(-8, 8), rng.uniform(-8, 8)) for i in range(1500)]
+    keep = sessions.store
+    monkeypatch.setattr(sessions, "store", lambda df, label: counts.append(keep(df, label)) or counts[-1])
+    assert sorted(tuple(r) for r in occurrences(spark.createDataFrame(rows, OBS), 1200, 0.5).collect()) == brute(rows, 1200, 0.5)
+    assert max(df.count() for df in counts) < 5 * len(rows)
