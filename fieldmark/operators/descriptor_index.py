@@ -26,9 +26,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldmark.lineage import fresh_path, store
-from fieldmark.operators.matching import BLOCK_ROWS, CHUNK_ROWS, DIST_PLACES, tile_of
+from fieldmark.operators.matching import DIST_PLACES, tile_of
 from fieldmark.operators.words import train_vocabulary
 
+#: Rows of a cell's block, and queries that search it at once.
+BLOCK_ROWS, CHUNK_ROWS = 8192, 2048
 MAX_CELLS = 16_384
 #: Rows by which centroids are placed; every row is indexed.
 TRAIN_ROWS = 200_000

@@ -6,6 +6,7 @@ one of its neighbours.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from typing import Any
 
@@ -15,9 +16,9 @@ from pyspark.sql import functions as F
 
 from fieldmark.functions.weights import NAMED
 
-BLOCK_ROWS = 8192
-CHUNK_ROWS = 2048
-SLICE_ROWS = 256
+#: Rows of either side of a tile: as few as give each core several tiles, but no fewer and no more than these.
+LEAST_ROWS, MOST_ROWS = 2048, 32768
+SLICE_ROWS = 64
 DIST_PLACES = 5
 
 
@@ -32,25 +33,41 @@ def tile_of(k: int, exclude: str | None = None, places: int = DIST_PLACES) -> Ca
         if len(q) and len(d):
             mat = lambda t: t.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(t), -1)
             x, y, qf, df = mat(q), mat(d), q.column("fx").to_numpy(), d.column("fx").to_numpy()
-            own, other = (np.array(q.column(exclude).to_pylist()), np.array(d.column(exclude).to_pylist())) if exclude else (None, None)
-            yy = (y * y).sum(axis=1)
-            for at in range(0, len(x), SLICE_ROWS):
-                part = x[at : at + SLICE_ROWS]
-                xx = (part * part).sum(axis=1)
-                # Squared distances by one product choose candidates, with room for its rounding; those are measured anew.
-                near = xx[:, None] + yy - 2 * (part @ y.T)
-                if exclude:
-                    near[own[at : at + SLICE_ROWS, None] == other] = np.inf
-                slack = 1e-12 * (xx + yy.max())
-                kth = np.partition(near, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
-                limit = (np.sqrt(np.maximum(kth, 0) + slack) + 2 * 10.0**-places) ** 2 + slack
-                for i in range(len(part)):
-                    some = np.flatnonzero((near[i] <= limit[i]) & np.isfinite(near[i]))
-                    dist = np.round(np.sqrt(((y[some] - part[i]) ** 2).sum(axis=1)), places)
-                    best = np.lexsort((df[some], dist))[:k]
-                    out[0].append(np.full(len(best), qf[at + i]))
-                    out[1].append(df[some[best]])
-                    out[2].append(dist[best])
+            values = {v: i for i, v in enumerate(dict.fromkeys(d.column(exclude).to_pylist()))} if exclude else {}
+            own, other = (np.array([values.get(v, -1) for v in t.column(exclude).to_pylist()]) if exclude else np.full(len(t), -1) for t in (q, d))
+            xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+            # Vectors with no finite length have no distance. Equal values of exclude lie together on both sides.
+            a, b = np.argsort(own, kind="stable"), np.argsort(other, kind="stable")
+            a, b = a[np.isfinite(xx[a])], b[np.isfinite(yy[b])]
+            x, qf, own, xx, y, df, other, yy = x[a], qf[a], own[a], xx[a], y[b], df[b], other[b], yy[b]
+            left, right = np.hstack([-2 * x, np.ones((len(x), 1))]), np.hstack([y, yy[:, None]]).T
+            n = min(k, len(y))
+            fold = max(1, len(y) // max(512, n))
+            wide = len(y) // fold
+            for at in range(0, len(x) if n else 0, SLICE_ROWS):
+                part = slice(at, at + SLICE_ROWS)
+                # Squared distances, less the query's own square, by one product choose candidates, with room for its rounding;
+                # those are measured anew.
+                near = left[part] @ right
+                for v in np.unique(own[part]) if exclude else ():
+                    rows, columns = (slice(*np.searchsorted(side, (v, v + 1))) for side in (own[part], other))
+                    near[rows, columns] = np.inf
+                # The n-th of the least numbers of groups is no less than the n-th of all.
+                some = np.concatenate([near[:, : fold * wide].reshape(len(near), fold, wide).min(axis=1), near[:, fold * wide :]], axis=1)
+                kth = np.partition(some, n - 1, axis=1)[:, n - 1] + xx[part]
+                slack = 1e-12 * (xx[part] + yy.max())
+                limit = (np.sqrt(np.maximum(kth, 0) + slack) + 2 * 10.0**-places) ** 2 + slack - xx[part]
+                i, j = np.divmod(np.flatnonzero(near <= limit[:, None]), len(y))
+                met = np.isfinite(near[i, j])
+                i, j = i[met], j[met]
+                parts = [slice(c, c + 65536) for c in range(0, len(i), 65536)]
+                dist = np.round(np.sqrt(np.concatenate([((y[j[c]] - x[i[c] + at]) ** 2).sum(axis=1) for c in parts] or [np.empty(0)])), places)
+                best = np.lexsort((df[j], dist, i))
+                i, j, dist = i[best], j[best], dist[best]
+                best = np.arange(len(i)) - np.searchsorted(i, i, "left") < k
+                out[0].append(qf[i[best] + at])
+                out[1].append(df[j[best]])
+                out[2].append(dist[best])
         kinds = (np.int64, np.int64, np.float64)
         return pa.table({c: np.concatenate(v) if v else np.empty(0, t) for c, v, t in zip(("q_fx", "d_fx", "dist"), out, kinds, strict=True)})
 
@@ -62,10 +79,13 @@ def knn(queries: DataFrame, database: DataFrame, k: int, *, exclude: str | None
 
     exclude: a column of both sides; database rows of the query's own value do not count, and others take their places.
     Both sides are dealt by hash into blocks of bounded size; each pair of blocks is one unit of work, whose best k by
-    query meet in a window. Nothing is broadcast.
+    query meet in a window. Nothing is broadcast. A row goes to every block of the other side, so blocks are as large as
+    memory and the number of cores allow.
     """
     keep = [exclude] if exclude else []
-    nb, nc = max(1, -(-database.count() // BLOCK_ROWS)), max(1, -(-queries.count() // CHUNK_ROWS))
+    nd, nq = database.count(), queries.count()
+    side = min(MOST_ROWS, max(LEAST_ROWS, math.isqrt(nd * nq // (4 * queries.sparkSession.sparkContext.defaultParallelism))))
+    nb, nc = max(1, -(-nd // side)), max(1, -(-nq // side))
     left = queries.select(F.col("fx").cast("long").alias("fx"), "vec", *keep).withColumn("_c", F.pmod(F.xxhash64("fx"), F.lit(nc)).cast("int")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
     right = database.select(F.col("fx").cast("long").alias("fx"), "vec", *keep).withColumn("_b", F.pmod(F.xxhash64("fx"), F.lit(nb)).cast("int")).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))))
 
