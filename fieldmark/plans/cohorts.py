@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldmark.functions.keys import encounter_text, match_truth, name_key
 from fieldmark.functions.tags import tag_predicate
 from fieldmark.operators import cohort, deltas, grouping, pairs
-from fieldmark.plans.registry import APART_SQL, OBS_SQL, VIEWS, observations, query
+from fieldmark.plans.registry import APART_SQL, OBS_SQL, VIEWS, observations, query, rounded
 from fieldmark.schema import ring_distance
 from fieldmark.sources.tables import table
 
@@ -206,7 +206,7 @@ def pair_max_hours(spark: SparkSession, sf: str) -> DataFrame:
 SELECT nid, a, b, round(km, 4) AS km, CASE WHEN hours <> 0 THEN round(km / hours, 3) WHEN km < 0.5 THEN 0.0 ELSE 1e308 END::DOUBLE AS kmh FROM p WHERE km IS NOT NULL""")
 def pair_speed(spark: SparkSession, sf: str) -> DataFrame:
     s = pairs.speeds(observations(spark, sf)).where(F.col("km").isNotNull())
-    return s.select("nid", "a", "b", F.round("km", 4).alias("km"), F.when(F.col("kmh") == float("inf"), 1e308).otherwise(F.round("kmh", 3)).alias("kmh"))
+    return s.select("nid", "a", "b", rounded(F.col("km"), 4).alias("km"), F.when(F.col("kmh") == float("inf"), 1e308).otherwise(rounded(F.col("kmh"), 3)).alias("kmh"))
 
 
 @query("""WITH e AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem)

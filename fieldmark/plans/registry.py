@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,6 +26,12 @@ def query(sql: str | None = None, *, name: str | None = None) -> Callable[[Calla
     return add
 
 
+def rounded(value: Column, places: int) -> Column:
+    """value rounded as the SQL does: times a power of ten, the product to a whole number, halves away from 0. F.round goes by the
+    decimal digits that are printed, so the two differ where one of them is a half and the other is not quite."""
+    return F.round(value * 10.0**places, 0) / 10.0**places
+
+
 VIEWS = ["click", "view", "purchase", "signup", "error"]
 
 OBS_SQL = """obs AS (

@@ -2,9 +2,12 @@
 
 import random
 
+import duckdb
 import pytest
 
 from fieldmark.operators.pairs import nearest_time
+from fieldmark.plans import cohorts  # noqa: F401
+from fieldmark.plans.registry import QUERIES, SQL
 
 
 def nearest(rows, donors, most):
@@ -37,3 +40,14 @@ def test_nearest_time_makes_no_pairs(spark):
     plan = nearest_time(rows, rows.selectExpr("aid + 3000 AS aid", "view", "t"), "view", 1000)
     assert "Join" not in plan._jdf.queryExecution().executedPlan().toString()
     assert {(r.donor - r.aid, r.gap) for r in plan.where("aid < 1000").collect()} == {(3000, 0)}
+
+
+def test_speeds_round_as_the_sql(spark, tmp_path):
+    """Speeds just below a half of the last place, whose product with 1000 is that half."""
+    rows = "VALUES (312, 0, 1), (1022, 3, 1), (562, 0, 2), (1689, 10, 2)"
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE events AS SELECT e::BIGINT AS event_id, TIMESTAMP '2024-01-01' + to_seconds(s) AS ts, u::BIGINT AS user_id, 'view' AS event_type, 1.0::DOUBLE AS value FROM ({rows}) v(e, s, u)")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    got = sorted(tuple(r) for r in QUERIES["pair_speed"](spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(SQL["pair_speed"]).fetchall())
+    assert [r[4] for r in got] == [14573016.33, 2781939.661]
